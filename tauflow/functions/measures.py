@@ -39,7 +39,8 @@ def number_text(x: Column, decimals: int) -> Column:
     """Fixed decimals; ``NaN`` for missing and non-finite numbers."""
     x = x.cast("double")
     unusable = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    return F.when(unusable, "NaN").otherwise(F.format_string(f"%.{decimals}f", x))
+    # Rounds the exact binary value, ties to even; format_string would round the printed decimal.
+    return F.when(unusable, "NaN").otherwise(F.translate(F.format_number(x, decimals), ",", ""))
 
 
 def retry_delay_s(attempts: Column, base_s: float = 1.0, cap_s: float = 60.0) -> Column:

@@ -34,7 +34,7 @@ def _not_finite(c: str) -> tuple[str, Column]:
 
 
 def _missing(columns: Sequence[str], ts: str) -> list[tuple[str, Column]]:
-    return [(f"{c} missing", F.col(ts if c == "ts" else c).isNull()) for c in columns]
+    return [(f"no {c}", F.col(ts if c == "ts" else c).isNull()) for c in columns]
 
 
 def _device_rules() -> list[tuple[str, Column]]:
