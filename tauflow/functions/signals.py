@@ -14,9 +14,13 @@ _INT = r"^\s*[+-]?\d+\s*$"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def one_wire_reading(text: Column) -> Column:
     """Struct (celsius, valid) of a two-line 1-Wire reading."""
-    lines = F.split(F.trim(F.translate(text, "\r", "")), "\n")
+    lines = F.split(_stripped(F.translate(text, "\r", "")), "\n")
     second = F.get(lines, F.lit(1))
     # Everything behind the first "t=" has to be the number.
     digits = F.when(F.contains(second, F.lit("t=")), F.substr(second, F.locate("t=", second) + 2))
@@ -30,7 +34,7 @@ def one_wire_reading(text: Column) -> Column:
 
 def plain_reading(text: Column) -> Column:
     """Struct (celsius, valid) of a file that holds one number, in degrees or thousandths."""
-    word = F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    word = _stripped(text)
     v = F.when(word.rlike(_NUMBER), word.try_cast("double"))
     return F.struct(
         F.when(v > MILLI_ABOVE, v / 1000.0).otherwise(v).alias("celsius"), v.isNotNull().alias("valid")

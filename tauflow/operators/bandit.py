@@ -231,6 +231,8 @@ class ArmModels:
         return reward
 
 
+# No leading underscore: such names do not reach a stateful Python step.
+CONTEXT, OUTCOME = "policy_context", "outcome_reward"
 REPLAY_COLUMNS = [
     T.StructField("arm", T.IntegerType()),
     T.StructField("tau", T.DoubleType()),
@@ -243,14 +245,14 @@ REPLAY_COLUMNS = [
 def replay_rows(models: ArmModels, rows: pd.DataFrame) -> list[tuple]:
     """Decide and learn row by row; a row without an outcome (null reward) leaves its decision waiting."""
     out = []
-    for aoi, res, x, reward in zip(rows["state_aoi"], rows["state_res"], rows["_x"], rows["_r"]):
+    for aoi, res, x, reward in zip(rows["state_aoi"], rows["state_res"], rows[CONTEXT], rows[OUTCOME]):
         arm, why = models.decide(aoi, res, np.asarray(x, float))
         learned = 0.0 if pd.isna(reward) else models.learn(float(reward))
         out.append((arm, models.cfg.arms[arm].tau, models.cfg.arms[arm].kbits, why, learned))
     return out
 
 
-def with_context_and_reward(log: DataFrame, configs: dict[str, PolicyConfig], x: str = "_x", r: str = "_r") -> DataFrame:
+def with_context_and_reward(log: DataFrame, configs: dict[str, PolicyConfig], x: str = CONTEXT, r: str = OUTCOME) -> DataFrame:
     """Context and reward of each row of a state and outcome log, by the settings of its sensor."""
     context = reward = F.lit(None)
     for sensor, cfg in configs.items():

@@ -61,17 +61,18 @@ def collector_totals(accounted: DataFrame, decisions: DataFrame | None = None) -
         F.min("t_recv_ns").alias("first_recv_ns"),
         F.max("last_recv_ns").alias("last_recv_ns"),
     )
-    if decisions is None:
-        return totals.withColumn("decisions_count", F.lit(0).cast("bigint"))
-    decided = decisions.agg(
-        F.count(F.lit(1)).alias("decisions_count"), F.min("t_recv_ns").alias("_from"), F.max("t_recv_ns").alias("_to")
-    )
-    # Two one-row results side by side.
-    one = F.lit(1).alias("_one")
-    both = totals.select("*", one).join(decided.select("*", one), "_one")
-    return both.select(
-        *[c for c in totals.columns if not c.endswith("_recv_ns")],
-        F.least("first_recv_ns", "_from").alias("first_recv_ns"),
-        F.greatest("last_recv_ns", "_to").alias("last_recv_ns"),
-        "decisions_count",
+    none = F.lit(0).cast("bigint")
+    parts = totals.withColumn("decisions_count", none)
+    if decisions is not None:
+        decided = decisions.agg(
+            F.count(F.lit(1)).alias("decisions_count"),
+            F.min("t_recv_ns").alias("first_recv_ns"),
+            F.max("t_recv_ns").alias("last_recv_ns"),
+        )
+        parts = parts.unionByName(decided, allowMissingColumns=True)
+    # Two one-row results, folded into one.
+    return parts.agg(
+        *[F.sum(c).alias(c) for c in parts.columns if not c.endswith("_recv_ns")],
+        F.min("first_recv_ns").alias("first_recv_ns"),
+        F.max("last_recv_ns").alias("last_recv_ns"),
     )

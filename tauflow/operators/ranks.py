@@ -29,17 +29,17 @@ def value_bin(v: Column) -> Column:
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, v, c): how often each value occurs in each group; null and NaN are passed over."""
+    """(keys, _v, _c): how often each value occurs in each group; null and NaN are passed over."""
     v = F.col(value)
     df = df.where(v.isNotNull())
     if dict(df.dtypes)[value] in ("double", "float"):
         # Adding 0.0 makes the two zeros one value.
         df, v = df.where(~F.isnan(v)), v + F.lit(0.0)
     return (
-        df.select(*keys, v.alias("v"))
-        .groupBy(*keys, "v")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("bin", value_bin(F.col("v")))
+        df.select(*keys, v.alias("_v"))
+        .groupBy(*keys, "_v")
+        .agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_bin", value_bin(F.col("_v")))
     )
 
 
@@ -51,23 +51,23 @@ def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, p: float, n
     """Percentile with linear interpolation between the two neighbouring ranks."""
     counts = value_counts(df, keys, value)
     group = Window.partitionBy(*keys)
-    upto = F.col("upto")
+    upto = F.col("_upto")
     bins = (
-        counts.groupBy(*keys, "bin")
-        .agg(F.sum("c").alias("n"))
-        .withColumn("upto", F.sum("n").over(_running(keys, "bin")))
-        .withColumn("position", F.lit(p) * (F.sum("n").over(group) - 1))
-        .withColumn("k", F.floor("position"))
+        counts.groupBy(*keys, "_bin")
+        .agg(F.sum("_c").alias("_n"))
+        .withColumn("_upto", F.sum("_n").over(_running(keys, "_bin")))
+        .withColumn("_position", F.lit(p) * (F.sum("_n").over(group) - 1))
+        .withColumn("_k", F.floor("_position"))
         # Both neighbours, ranks k and k + 1, lie in at most two bins.
-        .where((upto > F.col("k")) & (upto - F.col("n") <= F.col("k") + 1))
-        .select(*keys, "bin", "position", "k", (upto - F.col("n")).alias("below"))
+        .where((upto > F.col("_k")) & (upto - F.col("_n") <= F.col("_k") + 1))
+        .select(*keys, "_bin", "_position", "_k", (upto - F.col("_n")).alias("_below"))
     )
-    ordered = counts.join(bins, [*keys, "bin"]).withColumn(
-        "upto", F.min("below").over(group) + F.sum("c").over(_running(keys, "v"))
+    ordered = counts.join(bins, [*keys, "_bin"]).withColumn(
+        "_upto", F.min("_below").over(group) + F.sum("_c").over(_running(keys, "_v"))
     )
-    low = F.min(F.when(upto > F.col("k"), F.col("v")))
-    high = F.min(F.when(upto > F.col("k") + 1, F.col("v")))
-    share = F.first("position") - F.first("k")
+    low = F.min(F.when(upto > F.col("_k"), F.col("_v")))
+    high = F.min(F.when(upto > F.col("_k") + 1, F.col("_v")))
+    share = F.first("_position") - F.first("_k")
     return ordered.groupBy(*keys).agg((low + (F.coalesce(high, low) - low) * share).alias(name))
 
 
@@ -78,20 +78,20 @@ def _exact_sum(v: Column, c: Column) -> Column:
 def _gap_bins(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per bin of gap lengths: count, sum, smallest, largest, and both totals up to and below the bin."""
     group = Window.partitionBy(*keys)
-    bins = counts.groupBy(*keys, "bin").agg(
-        F.sum("c").alias("n"),
-        _exact_sum(F.col("v"), F.col("c")).alias("s"),
-        F.min("v").alias("smallest"),
-        F.max("v").alias("largest"),
+    bins = counts.groupBy(*keys, "_bin").agg(
+        F.sum("_c").alias("_n"),
+        _exact_sum(F.col("_v"), F.col("_c")).alias("_s"),
+        F.min("_v").alias("_smallest"),
+        F.max("_v").alias("_largest"),
     )
     return (
-        bins.withColumn("n_upto", F.sum("n").over(_running(keys, "bin")))
-        .withColumn("s_upto", F.sum("s").over(_running(keys, "bin")).cast(EXACT))
-        .withColumn("n_all", F.sum("n").over(group))
-        .withColumn("s_all", F.sum("s").over(group).cast(EXACT))
-        .withColumn("n_below", F.col("n_upto") - F.col("n"))
-        .withColumn("s_below", (F.col("s_upto") - F.col("s")).cast(EXACT))
-        .where(F.col("s_all") > 0)
+        bins.withColumn("_n_upto", F.sum("_n").over(_running(keys, "_bin")))
+        .withColumn("_s_upto", F.sum("_s").over(_running(keys, "_bin")).cast(EXACT))
+        .withColumn("_n_all", F.sum("_n").over(group))
+        .withColumn("_s_all", F.sum("_s").over(group).cast(EXACT))
+        .withColumn("_n_below", F.col("_n_upto") - F.col("_n"))
+        .withColumn("_s_below", (F.col("_s_upto") - F.col("_s")).cast(EXACT))
+        .where(F.col("_s_all") > 0)
     )
 
 
@@ -103,27 +103,27 @@ def age_percentile(gaps: DataFrame, keys: Sequence[str], gap: str, p: float, nam
     """
     counts = value_counts(gaps, keys, gap)
     group = Window.partitionBy(*keys)
-    target = F.lit(p) * F.col("s_all").cast("double")
-    reached = F.col("s_upto").cast("double") + F.col("largest") * (F.col("n_all") - F.col("n_upto"))
+    target = F.lit(p) * F.col("_s_all").cast("double")
+    reached = F.col("_s_upto").cast("double") + F.col("_largest") * (F.col("_n_all") - F.col("_n_upto"))
     bins = (
         _gap_bins(counts, keys)
         .where(reached >= target)
-        .withColumn("first_bin", F.min("bin").over(group))
-        .where(F.col("bin") == F.col("first_bin"))
-        .select(*keys, "bin", "n_below", "s_below", "n_all", "s_all")
+        .withColumn("_first_bin", F.min("_bin").over(group))
+        .where(F.col("_bin") == F.col("_first_bin"))
+        .select(*keys, "_bin", "_n_below", "_s_below", "_n_all", "_s_all")
     )
-    product = (F.col("v").cast("decimal(20,0)") * F.col("c").cast("decimal(18,0)")).cast(EXACT)
-    shorter_n = F.col("n_below") + F.sum("c").over(_running(keys, "v")) - F.col("c")
-    shorter_s = (F.col("s_below") + F.sum(product).over(_running(keys, "v")) - product).cast("double")
+    product = (F.col("_v").cast("decimal(20,0)") * F.col("_c").cast("decimal(18,0)")).cast(EXACT)
+    shorter_n = F.col("_n_below") + F.sum("_c").over(_running(keys, "_v")) - F.col("_c")
+    shorter_s = (F.col("_s_below") + F.sum(product).over(_running(keys, "_v")) - product).cast("double")
     ordered = (
-        counts.join(bins, [*keys, "bin"])
-        .withColumn("shorter_n", shorter_n)
-        .withColumn("shorter_s", shorter_s)
-        .withColumn("left", F.col("n_all") - F.col("shorter_n"))
-        .where(F.col("shorter_s") + F.col("v") * F.col("left") >= target)
+        counts.join(bins, [*keys, "_bin"])
+        .withColumn("_shorter_n", shorter_n)
+        .withColumn("_shorter_s", shorter_s)
+        .withColumn("_left", F.col("_n_all") - F.col("_shorter_n"))
+        .where(F.col("_shorter_s") + F.col("_v") * F.col("_left") >= target)
     )
-    age = (target - F.col("shorter_s")) / F.col("left")
-    return ordered.groupBy(*keys).agg(F.min_by(age, "v").alias(name))
+    age = (target - F.col("_shorter_s")) / F.col("_left")
+    return ordered.groupBy(*keys).agg(F.min_by(age, "_v").alias(name))
 
 
 def age_percentile_loop(gaps: DataFrame, keys: Sequence[str], gap: str, p: float, name: str) -> DataFrame:
@@ -136,82 +136,82 @@ def age_percentile_loop(gaps: DataFrame, keys: Sequence[str], gap: str, p: float
     counts = value_counts(gaps, keys, gap)
     bins = _gap_bins(counts, keys)
     group = Window.partitionBy(*keys)
-    target = F.lit(p) * F.col("s_all").cast("double")
-    n_all, i = F.col("n_all"), F.col("i")
+    target = F.lit(p) * F.col("_s_all").cast("double")
+    n_all, i = F.col("_n_all"), F.col("_i")
 
     # Where a bin's gaps have all been counted from the long end, L(i) is known; the (i+1)-th shortest gap
     # is known to lie within the bin that covers this rank.
     no_sum = F.lit(None).cast("double")
     as_long = bins.select(
-        *keys, (n_all - F.col("n_below")).alias("i"), F.lit(1).alias("kind"), n_all, F.col("s_all"),
-        (F.col("s_all") - F.col("s_below")).cast("double").alias("longest"),
-        F.lit(None).cast("bigint").alias("smallest"), F.lit(None).cast("bigint").alias("largest"),
+        *keys, (n_all - F.col("_n_below")).alias("_i"), F.lit(1).alias("_kind"), n_all, F.col("_s_all"),
+        (F.col("_s_all") - F.col("_s_below")).cast("double").alias("_longest"),
+        F.lit(None).cast("bigint").alias("_smallest"), F.lit(None).cast("bigint").alias("_largest"),
     )
     as_short = bins.select(
-        *keys, F.col("n_below").alias("i"), F.lit(0).alias("kind"), n_all, F.col("s_all"),
-        no_sum.alias("longest"), "smallest", "largest",
+        *keys, F.col("_n_below").alias("_i"), F.lit(0).alias("_kind"), n_all, F.col("_s_all"),
+        no_sum.alias("_longest"), "_smallest", "_largest",
     )
-    in_rank_order = Window.partitionBy(*keys).orderBy("i", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    a = (target - F.col("longest")) / i
+    in_rank_order = Window.partitionBy(*keys).orderBy("_i", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    a = (target - F.col("_longest")) / i
     tested = (
         as_long.unionByName(as_short)
-        .withColumn("smallest", F.last("smallest", ignorenulls=True).over(in_rank_order))
-        .withColumn("largest", F.last("largest", ignorenulls=True).over(in_rank_order))
-        .where(F.col("kind") == 1)
-        .withColumn("a", a)
+        .withColumn("_smallest", F.last("_smallest", ignorenulls=True).over(in_rank_order))
+        .withColumn("_largest", F.last("_largest", ignorenulls=True).over(in_rank_order))
+        .where(F.col("_kind") == 1)
+        .withColumn("_a", a)
     )
     bracket = tested.groupBy(*keys).agg(
-        F.min(F.when((i == n_all) | (F.col("a") <= F.col("smallest")), i)).alias("i_to"),
-        F.coalesce(F.max(F.when((i < n_all) & (F.col("a") > F.col("largest")), i)), F.lit(0)).alias("i_from"),
+        F.min(F.when((i == n_all) | (F.col("_a") <= F.col("_smallest")), i)).alias("_i_to"),
+        F.coalesce(F.max(F.when((i < n_all) & (F.col("_a") > F.col("_largest")), i)), F.lit(0)).alias("_i_from"),
     )
     # Gaps that are among the i longest, or the (i+1)-th shortest, for some i in (i_from, i_to].
-    from_long = (n_all - F.col("n_upto") < F.col("i_to")) & (n_all - F.col("n_below") > F.col("i_from"))
-    from_short = (F.col("n_below") <= F.col("i_to")) & (F.col("n_upto") > F.col("i_from"))
+    from_long = (n_all - F.col("_n_upto") < F.col("_i_to")) & (n_all - F.col("_n_below") > F.col("_i_from"))
+    from_short = (F.col("_n_below") <= F.col("_i_to")) & (F.col("_n_upto") > F.col("_i_from"))
     kept = (
         bins.join(bracket, list(keys))
-        .withColumn("from_long", from_long)
-        .withColumn("from_short", from_short)
+        .withColumn("_from_long", from_long)
+        .withColumn("_from_short", from_short)
         .where(from_long | from_short)
-        .select(*keys, "bin", "n_below", "s_below", "n_all", "s_all", "i_from", "i_to", "from_long", "from_short")
+        .select(*keys, "_bin", "_n_below", "_s_below", "_n_all", "_s_all", "_i_from", "_i_to", "_from_long", "_from_short")
     )
-    in_bin = _running([*keys, "bin"], "v")
-    product = (F.col("v").cast("decimal(20,0)") * F.col("c").cast("decimal(18,0)")).cast(EXACT)
+    in_bin = _running([*keys, "_bin"], "_v")
+    product = (F.col("_v").cast("decimal(20,0)") * F.col("_c").cast("decimal(18,0)")).cast(EXACT)
     values = (
-        counts.join(kept, [*keys, "bin"])
-        .withColumn("v_n_upto", F.col("n_below") + F.sum("c").over(in_bin))
-        .withColumn("v_s_upto", (F.col("s_below") + F.sum(product).over(in_bin)).cast(EXACT))
+        counts.join(kept, [*keys, "_bin"])
+        .withColumn("_v_n_upto", F.col("_n_below") + F.sum("_c").over(in_bin))
+        .withColumn("_v_s_upto", (F.col("_s_below") + F.sum(product).over(in_bin)).cast(EXACT))
     )
     # Stretches of i over which the next long gap (v_long) and the next short gap (v_short) stay the same.
-    common = [*keys, "n_all", "s_all", "i_from", "i_to"]
+    common = [*keys, "_n_all", "_s_all", "_i_from", "_i_to"]
     nothing = F.lit(None).cast("bigint")
-    long_runs = values.where("from_long").select(
-        *common, (n_all - F.col("v_n_upto") + 1).alias("i"), F.col("v").alias("v_long"),
-        (n_all - F.col("v_n_upto")).alias("before_n"),
-        (F.col("s_all") - F.col("v_s_upto")).cast("double").alias("before_s"), nothing.alias("v_short"),
+    long_runs = values.where("_from_long").select(
+        *common, (n_all - F.col("_v_n_upto") + 1).alias("_i"), F.col("_v").alias("_v_long"),
+        (n_all - F.col("_v_n_upto")).alias("_before_n"),
+        (F.col("_s_all") - F.col("_v_s_upto")).cast("double").alias("_before_s"), nothing.alias("_v_short"),
     )
-    short_runs = values.where("from_short").select(
-        *common, (F.col("v_n_upto") - F.col("c")).alias("i"), nothing.alias("v_long"), nothing.alias("before_n"),
-        no_sum.alias("before_s"), F.col("v").alias("v_short"),
+    short_runs = values.where("_from_short").select(
+        *common, (F.col("_v_n_upto") - F.col("_c")).alias("_i"), nothing.alias("_v_long"), nothing.alias("_before_n"),
+        no_sum.alias("_before_s"), F.col("_v").alias("_v_short"),
     )
-    by_i = Window.partitionBy(*keys).orderBy("i")
+    by_i = Window.partitionBy(*keys).orderBy("_i")
     so_far = by_i.rangeBetween(Window.unboundedPreceding, 0)
     # Within one kind starts are distinct, so rows of equal i never compete for a column.
     filled = [
-        F.last(c, ignorenulls=True).over(so_far).alias(c) for c in ("v_long", "before_n", "before_s", "v_short")
+        F.last(c, ignorenulls=True).over(so_far).alias(c) for c in ("_v_long", "_before_n", "_before_s", "_v_short")
     ]
-    stretches = long_runs.unionByName(short_runs).select(*common, "i", *filled)
+    stretches = long_runs.unionByName(short_runs).select(*common, "_i", *filled)
     stretches = (
-        stretches.dropDuplicates([*keys, "i"])
-        .withColumn("start", F.greatest(i, F.col("i_from") + 1, F.lit(1)))
-        .withColumn("end", F.least(F.coalesce(F.lead("i").over(by_i) - 1, n_all), F.col("i_to")))
-        .where((F.col("start") <= F.col("end")) & F.col("v_long").isNotNull())
-    )
-    both = F.col("v_long") + F.coalesce("v_short", F.lit(0))
-    crossing = F.ceil((target - F.col("before_s") + F.col("before_n") * F.col("v_long")) / both)
-    found = F.when((both > 0) & F.col("v_short").isNotNull(), F.greatest(crossing, F.col("start")))
+        stretches.dropDuplicates([*keys, "_i"])
+        .withColumn("_start", F.greatest(i, F.col("_i_from") + 1, F.lit(1)))
+        .withColumn("_end", F.least(F.coalesce(F.lead("_i").over(by_i) - 1, n_all), F.col("_i_to")))
+        .where((F.col("_start") <= F.col("_end")) & F.col("_v_long").isNotNull())
+    )
+    both = F.col("_v_long") + F.coalesce("_v_short", F.lit(0))
+    crossing = F.ceil((target - F.col("_before_s") + F.col("_before_n") * F.col("_v_long")) / both)
+    found = F.when((both > 0) & F.col("_v_short").isNotNull(), F.greatest(crossing, F.col("_start")))
     # The last i needs no comparison.
-    found = F.when(found <= F.col("end"), found).when(F.col("end") == n_all, n_all)
-    result = stretches.withColumn("i", found).where(i.isNotNull()).withColumn(
-        "a", (target - F.col("before_s") - (i - F.col("before_n")) * F.col("v_long")) / i
+    found = F.when(found <= F.col("_end"), found).when(F.col("_end") == n_all, n_all)
+    result = stretches.withColumn("_i", found).where(i.isNotNull()).withColumn(
+        "_a", (target - F.col("_before_s") - (i - F.col("_before_n")) * F.col("_v_long")) / i
     )
-    return result.groupBy(*keys).agg(F.greatest(F.min_by("a", "i"), F.lit(0.0)).alias(name))
+    return result.groupBy(*keys).agg(F.greatest(F.min_by("_a", "_i"), F.lit(0.0)).alias(name))

@@ -40,7 +40,7 @@ def cut_long_streams(
     return (
         df.join(F.broadcast(long_streams), list(keys), "left")
         .withColumn(SLICE, F.floor((F.col(ts) - F.col("_from")) / F.col("_width")))
-        .drop("_from", "_width")
+        .select(*df.columns, SLICE)
     )
 
 
@@ -70,7 +70,7 @@ def _with_carried(
         .withColumn("_carried", carry(Window.partitionBy(*keys).orderBy(by)))
         .select(*keys, SLICE, "_carried")
     )
-    return out.join(carried, [*keys, SLICE], "left")
+    return out.join(carried, [*keys, SLICE], "left").select(*out.columns, "_carried")
 
 
 def with_previous(

@@ -82,8 +82,8 @@ def _with(views: list[str], body: str, recursive: bool = False) -> str:
         add(v)
     heads = ",\n".join(f"{v} AS MATERIALIZED ({VIEWS[v].strip()})" for v in order)
     body = body.strip()
-    if body.startswith("WITH "):
-        return f"WITH {'RECURSIVE ' * recursive}{heads},\n{body[5:]}"
+    if body.startswith("WITH"):
+        return f"WITH {'RECURSIVE ' * recursive}{heads},\n{body[4:].lstrip()}"
     return f"WITH {heads}\n{body}"
 
 
@@ -172,10 +172,10 @@ def _trigger_ctes(settings: list[dict]) -> str:
       WHEN abs(g.x - r.forecast) > g.tau THEN 'residual'
       WHEN g.hb IS NOT NULL AND (r.last_sent IS NULL OR g.ts_ns - r.last_sent >= g.hb) THEN 'heartbeat' END"""
     return f"""
-settings(setting, only, setting_name, alpha, tau, kbits, hb, guard, every) AS (VALUES {rows}),
+settings(setting, for_sensor, setting_name, alpha, tau, kbits, hb, guard, every) AS (VALUES {rows}),
 graded AS MATERIALIZED (SELECT s.*, t.* FROM (
     SELECT *, row_number() OVER (PARTITION BY {STREAM} ORDER BY ts_ns, seq) AS rn FROM samples) s
-  JOIN settings t ON t.only IS NULL OR t.only = s.sensor),
+  JOIN settings t ON t.for_sensor IS NULL OR t.for_sensor = s.sensor),
 run AS (
   SELECT setting, device_id, sensor, rn, seq, ts_ns, x, x AS pred, 0.0::DOUBLE AS res, x AS forecast,
     CASE WHEN every THEN 'periodic' ELSE 'bootstrap' END AS reason, ts_ns AS last_sent
@@ -224,8 +224,8 @@ SWEEP = [
     {"name": "a50_t20", "alpha": 0.5, "tau": 20.0, "kbits": 8},
     {"name": "all", "alpha": 0.2, "tau": 0.0, "kbits": 8, "every": True},
 ]
-SENT_COLUMNS = """device_id, sensor, ts_ns, seq, round(val, 6) AS val, round(pred, 6) AS pred, round(res, 6) AS res, tau, kbits,
-  policy, reason"""
+# The same double arithmetic in the same order, so no rounding is needed.
+SENT_COLUMNS = "device_id, sensor, ts_ns, seq, val, pred, res, tau, kbits, policy, reason"
 
 ACCOUNTED = f"""accounted AS (
   SELECT device_id, sensor, seq, arg_min(ts_ns, t_recv_ns) AS ts_ns, min(t_recv_ns) AS t_recv_ns,
@@ -245,6 +245,13 @@ held AS (SELECT s.seq, s.x, s.profile, s.policy, s.sensor, (
     WHERE c.device_id = s.device_id AND c.sensor = s.sensor AND c.ts_ns <= s.ts_ns) AS restored FROM samples s)"""
 
 _A = [(i, j) for i in range(6) for j in range(6)]
+
+
+def model_digits(i: int, j: int = 0) -> int:
+    """Decimals of a model sum: where the exact sum cannot be a tie, and above what doubles lose in adding up."""
+    return 8 if 3 not in (i, j) or 0 in (i, j) else 3
+
+
 FITTED = f"""fitted AS (SELECT sensor, arm, count(*) AS tries,
   {', '.join(f"sum(x{i} * x{j}) + {1.0 if i == j else 0.0}::DOUBLE AS a{i}{j}" for i, j in _A)},
   {', '.join(f"sum(reward * x{i}) AS b{i}" for i in range(6))} FROM outcomes GROUP BY sensor, arm)"""
@@ -279,7 +286,7 @@ _DIGEST_LINE = f"""'- `' || profile || '/' || policy || '` sensor=' || sensor ||
 _REPORT_LINE = f"""'| ' || profile || ' | ' || policy || ' | ' || sensor || ' | ' || n_events || ' | ' || {_text('duration_s', 1)}
   || ' | ' || {_text('rate_Bps', 1)} || ' | ' || {_text('aoi_mean_ms', 1)} || ' | ' || {_text('aoi_p95_ms', 1)} || ' | '
   || {_text('mae_event_mean', 3)} || ' | ' || {_text('mae_event_p95', 3)} || ' | ' || {_text('kbits_mean', 2)} || ' |'"""
-NUMBERED = f"numbered AS (SELECT *, row_number() OVER (ORDER BY profile, {RANK}, policy, sensor) AS n, count(*) OVER () AS all_rows FROM summary)"
+NUMBERED = f"rounded AS (SELECT {SCENARIO}, {ROUNDED_SUMMARY} FROM summary), numbered AS (SELECT *, row_number() OVER (ORDER BY profile, {RANK}, policy, sensor) AS n, count(*) OVER () AS all_rows FROM rounded)"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -312,7 +319,7 @@ means AS (SELECT {SCENARIO}, {MEAN} AS aoi_mean_ms FROM gaps GROUP BY {SCENARIO}
 SELECT {SCENARIO}, round(aoi_mean_ms, 3) AS aoi_mean_ms, round(aoi_p95_loop_ms, 3) AS aoi_p95_loop_ms
 FROM means JOIN loop USING ({SCENARIO})""")
     sql["online_var"] = _select(["samples"], f"""
-SELECT {STREAM}, count(x) AS n, round(avg(x), 6) AS mean, round(coalesce(var_samp(x), 'nan'::DOUBLE), 6) AS var,
+SELECT {STREAM}, count(x) AS n, round(avg(x), 11) AS mean, round(coalesce(var_samp(x), 'nan'::DOUBLE), 6) AS var,
   round(coalesce(stddev_samp(x), 'nan'::DOUBLE), 6) AS std FROM samples GROUP BY {STREAM}""")
 
     sql["event_wire_bytes"] = _select(["telemetry"], f"SELECT seq, {EVENT_BYTES} AS mqtt_bytes FROM telemetry")
@@ -375,12 +382,12 @@ FROM t"""
     fixed = ", ".join(f"({i}::BIGINT, '{t}')" for i, t in enumerate(head))
     sql["report_lines"] = _on_summary(f""", {NUMBERED}
 SELECT n + {len(head) - 1} AS line_no, {_REPORT_LINE} AS line FROM numbered
-UNION ALL SELECT * FROM (VALUES {fixed}) h(line_no, line)""").replace("\n, numbered", ",\nnumbered")
+UNION ALL SELECT * FROM (VALUES {fixed}) h(line_no, line)""").replace("\n, rounded", ",\nrounded")
     sql["digest_lines"] = _on_summary(f""", {NUMBERED}
 SELECT n + 1 AS line_no, {_DIGEST_LINE} AS line FROM numbered WHERE n <= 10
 UNION ALL SELECT 0, '**Telemetry summary**'
 UNION ALL SELECT 1, 'Top ' || least(count(*), 10) || ' of ' || count(*) || ' rows.' FROM summary
-UNION ALL SELECT 12, '… (only 10 of ' || count(*) || ' rows shown)' FROM summary HAVING count(*) > 10""").replace("\n, numbered", ",\nnumbered")
+UNION ALL SELECT 12, '… (only 10 of ' || count(*) || ' rows shown)' FROM summary HAVING count(*) > 10""").replace("\n, rounded", ",\nrounded")
     sql["top_scenarios"] = _on_summary(f"""SELECT {SCENARIO}, n_events, round(duration_s, 6) AS duration_s FROM summary
 ORDER BY profile, {RANK}, policy, sensor LIMIT 5""")
     sql["scenario_count"] = _select(["samples"], f"SELECT count(*) AS scenarios FROM (SELECT DISTINCT {SCENARIO} FROM samples)")
@@ -398,11 +405,11 @@ SELECT vec_id, array_to_string(list_transform(embedding, lambda e: ({_code('e::D
   round(list_sum(list_transform(embedding, lambda e: {_quantized('e::DOUBLE', '5', lo, hi)})), 6) AS value_sum FROM embeddings"""
     sql["quantization_report"] = _with(["samples"], f"""WITH
 depths(sensor, kbits) AS (VALUES ('mic_rms', 4), ('mic_rms', 6), ('mic_rms', 8), ('temp', 6), ('temp', 8), ('temp', 10)),
-rows AS (SELECT s.sensor, d.kbits, s.x, {LO.replace('sensor', 's.sensor')} AS lo, {HI.replace('sensor', 's.sensor')} AS hi
+graded AS (SELECT s.sensor, d.kbits, s.x, {LO.replace('sensor', 's.sensor')} AS lo, {HI.replace('sensor', 's.sensor')} AS hi
   FROM samples s JOIN depths d ON d.sensor = s.sensor)
 SELECT sensor, kbits, count(*) AS n, round(avg((x <= lo OR x >= hi)::INT), 9) AS saturated_share,
   round(avg(abs(x - {_quantized('x', 'kbits', 'lo', 'hi')})), 7) AS mean_abs_error,
-  round(max(abs(x - {_quantized('x', 'kbits', 'lo', 'hi')})), 7) AS max_abs_error FROM rows GROUP BY sensor, kbits""")
+  round(max(abs(x - {_quantized('x', 'kbits', 'lo', 'hi')})), 7) AS max_abs_error FROM graded GROUP BY sensor, kbits""")
 
     sql["send_on_delta"] = _with(["samples"], f"WITH {_trigger_ctes(TRIGGERS)} SELECT {SENT_COLUMNS} FROM sent", recursive=True)
     sql["stream_send_on_delta"] = sql["send_on_delta"]
@@ -477,11 +484,12 @@ FROM summary p WHERE NOT EXISTS (SELECT 1 FROM summary q WHERE q.sensor = p.sens
 SELECT {sweep_group}, {ROUNDED_SUMMARY} FROM summary""", recursive=True)
 
     sql["bandit_context"] = _select(["outcomes"], "SELECT seq, " + ", ".join(f"round(x{i}, 9) AS x{i}" for i in range(6)) + " FROM outcomes")
-    sql["bandit_reward"] = _select(["outcomes"], "SELECT seq, round(reward, 9) AS reward FROM outcomes")
+    sql["bandit_reward"] = _select(["outcomes"], "SELECT seq, round(reward, 11) AS reward FROM outcomes")
     sql["bandit_fit"] = _with(["outcomes"], f"WITH {FITTED} SELECT sensor, arm, tries, " + ", ".join(
-        [f"round(a{i}{j}, 5) AS a{i}{j}" for i, j in _A] + [f"round(b{i}, 5) AS b{i}" for i in range(6)]) + " FROM fitted")
+        [f"round(a{i}{j}, {model_digits(i, j)}) AS a{i}{j}" for i, j in _A]
+        + [f"round(b{i}, {4 if i else 11}) AS b{i}" for i in range(6)]) + " FROM fitted")
     sql["bandit_theta"] = _with(["outcomes"], f"WITH {SOLVED} SELECT sensor, arm, tries, " + ", ".join(
-        [f"round(m[{i + 1}][7], 6) AS theta{i}, round(a{i}{i}, 5) AS d{i}" for i in range(6)]) + " FROM solved", recursive=True)
+        [f"round(m[{i + 1}][7], 6) AS theta{i}, round(a{i}{i}, {model_digits(i, i)}) AS d{i}" for i in range(6)]) + " FROM solved", recursive=True)
     sql["bandit_score"] = _with(["outcomes"], f"WITH {SCORES} SELECT seq, arm, round(score, 6) AS score FROM scores", recursive=True)
     sql["bandit_choose"] = _with(["outcomes"], f"""WITH {SCORES} SELECT seq, sensor, arm AS chosen_arm, round(score, 6) AS best_score
 FROM scores QUALIFY row_number() OVER (PARTITION BY seq ORDER BY score DESC, arm) = 1""", recursive=True)

@@ -23,6 +23,7 @@ from tauflow.operators import (
 from tauflow.operators.dedup import collector_totals, dedup_accounting, dedup_first
 from tauflow.operators.trigger import Trigger
 from tauflow.plans import views
+from tauflow.plans.oracle import model_digits
 from tauflow.plans.run_report import run_report
 from tauflow.schemas import SCENARIO, STREAM
 from tauflow.session import work_folder
@@ -36,6 +37,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 ORDER = ("ts_ns", "seq")
+SENT_COLUMNS = (*STREAM, *ORDER, "val", "pred", "res", "tau", "kbits", "policy", "reason")
 DAY_S = 86_400.0
 # "Now" for the queue queries: 1997-01-01, so that some messages are due and some are not.
 NOW_NS = 852_076_800_000_000_000
@@ -142,7 +144,7 @@ def aoi_arrival_order(spark, sf_dir):
 
 @query
 def online_var(spark, sf_dir):
-    return rounded(aoi.online_var(views.samples(spark, sf_dir), STREAM, "x"), mean=6, var=6, std=6)
+    return rounded(aoi.online_var(views.samples(spark, sf_dir), STREAM, "x"), mean=11, var=6, std=6)
 
 
 # ---- messages and bytes
@@ -312,12 +314,12 @@ def scenario_summary(spark, sf_dir):
 
 @query
 def report_lines(spark, sf_dir):
-    return reports.report_lines(_summary(spark, sf_dir))
+    return reports.report_lines(_rounded_summary(_summary(spark, sf_dir)))
 
 
 @query
 def digest_lines(spark, sf_dir):
-    return reports.digest_lines(_summary(spark, sf_dir))
+    return reports.digest_lines(_rounded_summary(_summary(spark, sf_dir)))
 
 
 @query
@@ -405,8 +407,7 @@ def quantization_report(spark, sf_dir):
 @query
 def send_on_delta(spark, sf_dir):
     sent = delta.send_on_delta(views.samples(spark, sf_dir), TRIGGERS)
-    return sent.select(*STREAM, *ORDER, _r(F.col("val")).alias("val"), _r(F.col("pred")).alias("pred"),
-                       _r(F.col("res")).alias("res"), "tau", "kbits", "policy", "reason")
+    return sent.select(*SENT_COLUMNS)
 
 
 @query
@@ -587,7 +588,7 @@ def bandit_context(spark, sf_dir):
 
 @query
 def bandit_reward(spark, sf_dir):
-    return _outcomes(spark, sf_dir).select("seq", _r(F.col("reward"), 9).alias("reward"))
+    return _outcomes(spark, sf_dir).select("seq", _r(F.col("reward"), 11).alias("reward"))
 
 
 def _model(spark, sf_dir) -> DataFrame:
@@ -597,8 +598,8 @@ def _model(spark, sf_dir) -> DataFrame:
 @query
 def bandit_fit(spark, sf_dir):
     m = _model(spark, sf_dir)
-    a = [_r(F.get("a", F.lit(6 * i + j)), 5).alias(f"a{i}{j}") for i in range(6) for j in range(6)]
-    b = [_r(F.get("b", F.lit(i)), 5).alias(f"b{i}") for i in range(6)]
+    a = [_r(F.get("a", F.lit(6 * i + j)), model_digits(i, j)).alias(f"a{i}{j}") for i in range(6) for j in range(6)]
+    b = [_r(F.get("b", F.lit(i)), 4 if i else 11).alias(f"b{i}") for i in range(6)]
     return m.select("sensor", "arm", "tries", *a, *b)
 
 
@@ -606,7 +607,7 @@ def bandit_fit(spark, sf_dir):
 def bandit_theta(spark, sf_dir):
     solved = bandit.bandit_theta(_model(spark, sf_dir))
     theta = [_r(F.get("theta", F.lit(i)), 6).alias(f"theta{i}") for i in range(6)]
-    return solved.select("sensor", "arm", "tries", *theta, *[_r(F.get("a_diag", F.lit(i)), 5).alias(f"d{i}") for i in range(6)])
+    return solved.select("sensor", "arm", "tries", *theta, *[_r(F.get("a_diag", F.lit(i)), model_digits(i, i)).alias(f"d{i}") for i in range(6)])
 
 
 def _scored(spark, sf_dir) -> DataFrame:
@@ -682,8 +683,7 @@ def stream_dedup_accounting(spark, sf_dir):
 @query
 def stream_send_on_delta(spark, sf_dir):
     sent = _streamed(spark, views.samples(spark, sf_dir), lambda s: streaming_delta.stream_send_on_delta(s, TRIGGERS))
-    return sent.select(*STREAM, *ORDER, _r(F.col("val")).alias("val"), _r(F.col("pred")).alias("pred"),
-                       _r(F.col("res")).alias("res"), "tau", "kbits", "policy", "reason")
+    return sent.select(*SENT_COLUMNS)
 
 
 @query

@@ -33,7 +33,7 @@ def _typed(schema: T.StructType, keys, extra=()) -> list[Column]:
         key = "ts" if field.name == "ts_ns" else field.name
         if key not in (*keys, *extra):
             continue
-        text = F.col(f"_json.{key}")
+        text = F.col(f"_json_{key}")
         if isinstance(field.dataType, T.StringType):
             out.append(text.alias(field.name))
         elif isinstance(field.dataType, T.DoubleType):
@@ -48,14 +48,18 @@ def _decode(messages: DataFrame, schema: T.StructType, keys, extra=()) -> DataFr
 
     Fields are read as text and then cast, so one bad field does not take the others with it.
     """
-    as_text = T.StructType([T.StructField(k, T.StringType()) for k in (*keys, *extra)])
+    wanted = (*keys, *extra)
+    as_text = T.StructType([T.StructField(k, T.StringType()) for k in wanted])
     present = F.json_object_keys("payload")
     missing = F.array_except(F.array(*[F.lit(k) for k in keys]), present)
     reasons = F.when(present.isNull(), F.array(F.lit("not a JSON object"))).otherwise(
         F.transform(missing, lambda k: F.concat(k, F.lit(" missing from message")))
     )
-    parsed = messages.withColumn("_json", F.from_json("payload", as_text)).withColumn("_unreadable", reasons)
-    return parsed.select(*messages.columns, *_typed(schema, keys, extra), "_unreadable")
+    # inline parses a payload once; a plain projection would be copied into every later use of a field.
+    parsed = F.array(F.struct(F.from_json("payload", as_text).alias("_json"), reasons.alias("_unreadable")))
+    opened = messages.select(*messages.columns, F.inline(parsed))
+    flat = opened.select(*messages.columns, "_unreadable", *[F.col(f"_json.{k}").alias(f"_json_{k}") for k in wanted])
+    return flat.select(*messages.columns, *_typed(schema, keys, extra), "_unreadable")
 
 
 def _with_problems(decoded: DataFrame, problems: Column) -> DataFrame:
