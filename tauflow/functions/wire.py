@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,16 +125,18 @@ _DECISION_KINDS = {
 }
 
 
-def _value_text(kind: str, c: Column) -> Column:
-    if kind == "float":
-        return float_text(c.cast("double"))
-    return _json_string(c) if kind == "text" else c.cast("string")
-
-
 def _json(keys, kinds, fields: dict[str, Column]) -> Column:
-    parts = []
-    for i, key in enumerate(keys):
-        parts += [F.lit(("{" if i == 0 else ",") + f'"{key}":'), _value_text(kinds[key], fields[key])]
+    """The text up to the closing brace. Neighbouring numbers share one expression, see ``_json_length``."""
+    parts, heads = [], [("{" if i == 0 else ",") + f'"{key}":' for i, key in enumerate(keys)]
+    for kind, run in groupby(zip(keys, heads), key=lambda kh: kinds[kh[0]]):
+        run = list(run)
+        if kind == "float":
+            texts = F.array(*[fields[k].cast("double") for k, _ in run])
+            labels = F.array(*[F.lit(h) for _, h in run])
+            parts.append(F.array_join(F.zip_with(labels, texts, lambda h, x: F.concat(h, float_text(x))), ""))
+        else:
+            for k, h in run:
+                parts += [F.lit(h), _json_string(fields[k]) if kind == "text" else fields[k].cast("string")]
     return F.concat(*parts)
 
 

@@ -149,10 +149,6 @@ def bandit_theta(model: DataFrame) -> DataFrame:
     return model.mapInPandas(solve, out)
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda acc, p: acc + p)
-
-
 def bandit_score(
     states: DataFrame, solved: DataFrame, keys: Sequence[str] = ("sensor",), alpha: float = 0.75, context: str = "context"
 ) -> DataFrame:
@@ -163,21 +159,32 @@ def bandit_score(
     shuffle, as their number grows with the data. ``solved`` needs the column ``arm``.
     """
     keys = list(keys)
-    arms = solved.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("arm", "theta", "a_inverse"))).alias("_model"))
+    theta = [F.get("theta", F.lit(i)) for i in range(DIMENSION)]
+    inverse = [F.get("a_inverse", F.lit(k)) for k in range(DIMENSION * DIMENSION)]
+    # x' A^-1 x as 21 products: the two halves of the matrix are added up beforehand.
+    pairs = [(i, j) for i in range(DIMENSION) for j in range(i, DIMENSION)]
+    weights = [
+        inverse[DIMENSION * i + j] + (inverse[DIMENSION * j + i] if i != j else F.lit(0.0)) for i, j in pairs
+    ]
+    arm = F.struct("arm", F.struct(*[w.alias(f"t{i}") for i, w in enumerate(theta)],
+                                   *[w.alias(f"q{i}{j}") for w, (i, j) in zip(weights, pairs)]).alias("w"))
+    arms = solved.groupBy(*keys).agg(F.sort_array(F.collect_list(arm)).alias("_model"))
     if set(keys) <= set(SCENARIO):
         arms = F.broadcast(arms)
-    joined = states.join(arms, keys)
-    x = F.col(context)
+    x = [F.get(context, F.lit(i)) for i in range(DIMENSION)]
+    features = {f"_x{i}": c for i, c in enumerate(x)}
+    features |= {f"_x{i}{j}": x[i] * x[j] for i, j in pairs}
 
     def score(arm: Column) -> Column:
-        rows = F.transform(
-            F.sequence(F.lit(0), F.lit(DIMENSION - 1)),
-            lambda i: _dot(F.slice(arm.getField("a_inverse"), i * DIMENSION + 1, F.lit(DIMENSION)), x),
-        )
-        width = F.sqrt(F.greatest(_dot(rows, x), F.lit(0.0)))
-        return F.struct(arm.getField("arm").alias("arm"), (_dot(arm.getField("theta"), x) + alpha * width).alias("score"))
-
-    return joined.withColumn("scores", F.transform("_model", score)).drop("_model")
+        w = arm.getField("w")
+        mean = sum((w.getField(f"t{i}") * F.col(f"_x{i}") for i in range(1, DIMENSION)), w.getField("t0") * F.col("_x0"))
+        square = sum((w.getField(f"q{i}{j}") * F.col(f"_x{i}{j}") for i, j in pairs[1:]), w.getField("q00") * F.col("_x00"))
+        width = F.sqrt(F.greatest(square, F.lit(0.0)))
+        return F.struct(arm.getField("arm").alias("arm"), (mean + alpha * width).alias("score"))
+
+    # Generated columns are kept apart from the scoring, so each product is formed once per row, not per arm.
+    prepared = states.select("*", *[c.alias(n) for n, c in features.items()]).join(arms, keys)
+    return prepared.withColumn("scores", F.transform("_model", score)).drop("_model", *features)
 
 
 def bandit_choose(scored: DataFrame) -> DataFrame:

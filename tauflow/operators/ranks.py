@@ -14,9 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Bins per doubling of the value, so a bin spans a relative width of 1/16384; all doubles together
-# have fewer than 2 * 2098 * 16384 bins.
-BINS_PER_DOUBLING = 16_384
+from tauflow.session import staged
+
+# Bins per doubling of the value, so a bin spans a relative width of 1/2048; all doubles together
+# have fewer than 2 * 2098 * 2048 bins.
+BINS_PER_DOUBLING = 2_048
 _ZERO_BIN = -(1 << 26)
 EXACT = "decimal(38,0)"
 
@@ -75,7 +77,7 @@ def _exact_sum(v: Column, c: Column) -> Column:
     return F.sum(v.cast("decimal(20,0)") * c.cast("decimal(18,0)")).cast(EXACT)
 
 
-def _gap_bins(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _gap_bins(counts: DataFrame, keys: Sequence[str], more: Sequence[Column] = ()) -> DataFrame:
     """Per bin of gap lengths: count, sum, smallest, largest, and both totals up to and below the bin."""
     group = Window.partitionBy(*keys)
     bins = counts.groupBy(*keys, "_bin").agg(
@@ -83,6 +85,7 @@ def _gap_bins(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
         _exact_sum(F.col("_v"), F.col("_c")).alias("_s"),
         F.min("_v").alias("_smallest"),
         F.max("_v").alias("_largest"),
+        *more,
     )
     return (
         bins.withColumn("_n_upto", F.sum("_n").over(_running(keys, "_bin")))
@@ -95,22 +98,42 @@ def _gap_bins(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def age_percentile(gaps: DataFrame, keys: Sequence[str], gap: str, p: float, name: str) -> DataFrame:
+def _square_sums() -> list[Column]:
+    """Sum of squared gaps of a bin: exact, and as a double for when 38 digits do not hold it."""
+    v = F.col("_v").cast("decimal(19,0)")
+    square = F.try_multiply((v * v).cast(EXACT), F.col("_c").cast("decimal(18,0)"))
+    wide = F.col("_v").cast("double") * F.col("_v").cast("double") * F.col("_c")
+    exact = F.when(F.count_if(square.isNull()) == 0, F.try_sum(square).cast(EXACT))
+    return [exact.alias("_q"), F.sum(wide).alias("_q_wide")]
+
+
+def age_percentile(
+    gaps: DataFrame, keys: Sequence[str], gap: str, p: float, name: str, mean: str | None = None
+) -> DataFrame:
     """The age a that is not exceeded for a share ``p`` of the time: sum(min(a, gap)) = p * sum(gap).
 
     The left side grows with a, and at a gap length v it equals the sum of all shorter gaps plus v for
     each gap that is not shorter; the answer lies just below the first v where it reaches the target.
+    With ``mean`` the mean age, sum(gap^2) / (2 * sum(gap)), comes along from the same counts.
     """
     counts = value_counts(gaps, keys, gap)
     group = Window.partitionBy(*keys)
     target = F.lit(p) * F.col("_s_all").cast("double")
     reached = F.col("_s_upto").cast("double") + F.col("_largest") * (F.col("_n_all") - F.col("_n_upto"))
+    squares = _square_sums() if mean else []
+    found = _gap_bins(counts, keys, squares)
+    if mean:
+        any_lost = F.count_if(F.col("_q").isNull()).over(group) > 0
+        exact = F.try_sum("_q").over(group).cast("double")
+        square_sum = F.when(any_lost, None).otherwise(exact)
+        found = found.withColumn(
+            "_mean", F.coalesce(square_sum, F.sum("_q_wide").over(group)) / (2.0 * F.col("_s_all").cast("double"))
+        )
     bins = (
-        _gap_bins(counts, keys)
-        .where(reached >= target)
+        found.where(reached >= target)
         .withColumn("_first_bin", F.min("_bin").over(group))
         .where(F.col("_bin") == F.col("_first_bin"))
-        .select(*keys, "_bin", "_n_below", "_s_below", "_n_all", "_s_all")
+        .select(*keys, "_bin", "_n_below", "_s_below", "_n_all", "_s_all", *(["_mean"] if mean else []))
     )
     product = (F.col("_v").cast("decimal(20,0)") * F.col("_c").cast("decimal(18,0)")).cast(EXACT)
     shorter_n = F.col("_n_below") + F.sum("_c").over(_running(keys, "_v")) - F.col("_c")
@@ -123,7 +146,8 @@ def age_percentile(gaps: DataFrame, keys: Sequence[str], gap: str, p: float, nam
         .where(F.col("_shorter_s") + F.col("_v") * F.col("_left") >= target)
     )
     age = (target - F.col("_shorter_s")) / F.col("_left")
-    return ordered.groupBy(*keys).agg(F.min_by(age, "_v").alias(name))
+    extra = [F.first("_mean").alias(mean)] if mean else []
+    return ordered.groupBy(*keys).agg(F.min_by(age, "_v").alias(name), *extra)
 
 
 def age_percentile_loop(gaps: DataFrame, keys: Sequence[str], gap: str, p: float, name: str) -> DataFrame:
@@ -133,9 +157,8 @@ def age_percentile_loop(gaps: DataFrame, keys: Sequence[str], gap: str, p: float
     i is the number of gaps or a(i) is at most the (i+1)-th shortest gap, and at least 0. As i grows, a(i)
     falls (until it is negative) and the (i+1)-th shortest gap rises, so the first i can be bracketed from the bins.
     """
-    counts = value_counts(gaps, keys, gap)
-    bins = _gap_bins(counts, keys)
-    group = Window.partitionBy(*keys)
+    counts = staged(value_counts(gaps, keys, gap), "gap-counts")
+    bins = staged(_gap_bins(counts, keys), "gap-bins")
     target = F.lit(p) * F.col("_s_all").cast("double")
     n_all, i = F.col("_n_all"), F.col("_i")
 

@@ -14,6 +14,7 @@ from tauflow.operators.packets import with_event_bytes
 from tauflow.operators.ranks import exact_percentile
 from tauflow.operators.sequence import MAX_ROWS
 from tauflow.schemas import POLICIES, SCENARIO
+from tauflow.session import staged
 
 def summarize(
     events: DataFrame,
@@ -25,25 +26,27 @@ def summarize(
 ) -> DataFrame:
     """One row per scenario. Gaps are taken per device inside a scenario and pooled.
 
-    Bytes and residuals need no order, so only the time column goes through the gap window.
+    Copies are dropped and bytes worked out once, into a narrow work table; totals, gaps and residuals
+    then scan only their own columns of it.
     """
     present = events.dropna(subset=list(group))
     unique = present if deduplicated else dedup_first(present, scope, order)
     stream = [*group, "device_id"]
-    gaps = aoi.event_gaps(
-        unique.select(*stream, "ts_ns", "seq"), stream, max_rows=max_rows
-    ).select(*group, "gap_ns")
-    residual = skip_nan(F.abs("res"))
-    totals = with_event_bytes(unique).groupBy(*group).agg(
+    rows = staged(
+        with_event_bytes(unique).select(
+            *stream, "ts_ns", "seq", "kbits", "mqtt_bytes", skip_nan(F.abs("res")).alias("abs_res")
+        ),
+        "unique-events",
+    )
+    gaps = aoi.event_gaps(rows.select(*stream, "ts_ns", "seq"), stream, max_rows=max_rows).select(*group, "gap_ns")
+    totals = rows.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_events"),
         ((F.max("ts_ns") - F.min("ts_ns")) / F.lit(1e9)).alias("_span"),
         F.sum("mqtt_bytes").alias("_bytes"),
-        F.avg(residual).alias("mae_event_mean"),
+        F.avg("abs_res").alias("mae_event_mean"),
         F.avg("kbits").alias("kbits_mean"),
     )
-    residual_p95 = exact_percentile(
-        unique.select(*group, residual.alias("abs_res")), group, "abs_res", 0.95, "mae_event_p95"
-    )
+    residual_p95 = exact_percentile(rows.select(*group, "abs_res"), group, "abs_res", 0.95, "mae_event_p95")
     duration = F.when(F.col("n_events") >= 2, F.col("_span")).otherwise(F.lit(NAN))
     nan = F.lit(NAN)
     return (

@@ -311,7 +311,7 @@ SELECT device_id, sensor, seq, ts_ns - lag(ts_ns) OVER (PARTITION BY {STREAM} OR
 SELECT {SCENARIO}, round(aoi_p95_loop_ms, 3) AS aoi_p95_loop_ms FROM loop""")
     by_stream = _summary_ctes("telemetry", STREAM).replace(f"PARTITION BY {STREAM}, device_id", f"PARTITION BY {STREAM}")
     sql["aoi_mean_and_p95"] = _with(["telemetry"], f"""WITH {by_stream}
-SELECT {STREAM}, round(aoi_mean_ms, 3) AS aoi_mean_ms, round(aoi_p95_ms, 3) AS aoi_p95_ms FROM summary""")
+SELECT {STREAM}, round(aoi_mean_ms, 3) AS aoi_mean_ms, round(aoi_p95_ms, 3) AS aoi_p95_ms FROM summary WHERE NOT isnan(aoi_mean_ms)""")
     sql["aoi_arrival_order"] = _with(["arrivals"], f"""WITH raw AS (SELECT {SCENARIO},
     ts_ns - lag(ts_ns) OVER (PARTITION BY {SCENARIO}, device_id ORDER BY t_recv_ns, seq, copy_no) AS gap FROM arrivals),
 gaps AS (SELECT * FROM raw WHERE gap >= 0),{_gap_groups('gaps')},

@@ -26,7 +26,7 @@ from tauflow.plans import views
 from tauflow.plans.oracle import model_digits
 from tauflow.plans.run_report import run_report
 from tauflow.schemas import SCENARIO, STREAM
-from tauflow.session import work_folder
+from tauflow.session import staged, work_folder
 from tauflow.sinks import reports, tables
 from tauflow.sources import audio, messages
 from tauflow.streaming import bandit as streaming_bandit
@@ -137,7 +137,7 @@ def aoi_mean_and_p95(spark, sf_dir):
 
 @query
 def aoi_arrival_order(spark, sf_dir):
-    gaps = _arrival_gaps(spark, sf_dir)
+    gaps = staged(_arrival_gaps(spark, sf_dir).select(*SCENARIO, "gap_ns"), "gaps")
     both = aoi.aoi_mean(gaps, SCENARIO).join(aoi.aoi_percentile_loop(gaps, SCENARIO), list(SCENARIO))
     return rounded(both, aoi_mean_ms=3, aoi_p95_loop_ms=3)
 

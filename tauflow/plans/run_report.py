@@ -11,9 +11,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tauflow.operators.dedup import dedup_first
 from tauflow.operators.summary import scenario_count, summarize
-from tauflow.session import work_folder
+from tauflow.session import staged
 from tauflow.sinks.reports import digest_lines, report_lines
 from tauflow.sinks.tables import write_lines, write_summary
 from tauflow.sources.files import SOURCE_FILE, read_events
@@ -26,20 +25,12 @@ RUN_SCOPE = ("profile", "policy", RUN)
 def run_report(spark: SparkSession, inputs: Iterable[str], out: str, save_parquet: bool = False) -> DataFrame:
     """Write summary, report and digest below ``out`` and return the summary.
 
-    Copies are dropped once, into a table in the shared work folder. The summary reads different
-    columns of it in several passes, so each pass scans only its own columns and no shuffle is repeated.
+    Every output is made from the few summary rows, which are computed once.
     """
     events = read_events(spark, inputs)
     present = events.dropna(subset=["profile", "policy", "sensor"])
     present = present.withColumn(RUN, F.regexp_extract(SOURCE_FILE, "^(.*)/[^/]*$", 1))
-    unique = dedup_first(present, RUN_SCOPE, ("ts_ns", SOURCE_FILE))
-    log = work_folder(spark, "unique-events")
-    unique.write.parquet(log)
-    kept = spark.read.parquet(log)
-    summary_path = work_folder(spark, "summary")
-    # Every output is made from the few summary rows, computed once.
-    summarize(kept, deduplicated=True).write.parquet(summary_path)
-    summary = spark.read.parquet(summary_path)
+    summary = staged(summarize(present, RUN_SCOPE, order=("ts_ns", SOURCE_FILE)), "summary")
     write_summary(summary, f"{out}/metrics_summary.csv", f"{out}/metrics_summary.parquet" if save_parquet else None)
     write_lines(report_lines(summary), f"{out}/report.md")
     write_lines(digest_lines(summary), f"{out}/digest.txt")

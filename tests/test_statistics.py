@@ -65,8 +65,18 @@ def test_percentile_grows_with_p(spark):
 def test_no_age_without_gaps(spark):
     df = spark.createDataFrame([("a", None), ("b", 0), ("c", 10**6)], "k string, gap_ns long")
     got = {r.k: (r.aoi_mean_ms, r.aoi_p95_ms) for r in aoi.aoi_mean_and_p95(df, ["k"]).collect()}
-    assert math.isnan(got["a"][0]) and math.isnan(got["a"][1]) and math.isnan(got["b"][0])
-    assert got["c"] == (0.5, 0.95)
+    assert got == {"c": (0.5, 0.95)}
+    means = {r.k: r.aoi_mean_ms for r in aoi.aoi_mean(df, ["k"]).collect()}
+    assert math.isnan(means["a"]) and math.isnan(means["b"]) and means["c"] == 0.5
+
+
+def test_mean_beyond_exact_digits(spark):
+    """Squares too large for 38 digits are added up as doubles instead of being lost."""
+    gaps = [9 * 10**18] * 3 + [10**9]
+    df = spark.createDataFrame([("g", g) for g in gaps], "k string, gap_ns long")
+    want = sum(g * g for g in gaps) / (2 * sum(gaps)) / 1e6
+    assert aoi.aoi_mean_and_p95(df, ["k"]).collect()[0].aoi_mean_ms == pytest.approx(want, rel=1e-12)
+    assert aoi.aoi_mean(df, ["k"]).collect()[0].aoi_mean_ms == pytest.approx(want, rel=1e-12)
 
 
 @pytest.mark.parametrize("p", [0.0, 1.0])
