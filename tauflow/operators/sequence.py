@@ -19,6 +19,16 @@ SLICE = "_slice"
 MAX_ROWS = 5_000_000
 
 
+def has_long_streams(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_ROWS) -> bool:
+    """Whether any stream has more than ``max_rows`` rows; a job over the key columns that returns at most one row.
+
+    Worth running ahead of a plan that reads the same table several times: without long streams
+    none of those passes needs the cut.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return not sizes.where(F.col("_n") > max_rows).limit(1).isEmpty()
+
+
 def cut_long_streams(
     df: DataFrame, keys: Sequence[str], ts: str = "ts_ns", max_rows: int | None = MAX_ROWS
 ) -> DataFrame:

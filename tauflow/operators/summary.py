@@ -12,7 +12,7 @@ from tauflow.operators import aoi
 from tauflow.operators.dedup import dedup_first
 from tauflow.operators.packets import with_event_bytes
 from tauflow.operators.ranks import exact_percentile
-from tauflow.operators.sequence import MAX_ROWS
+from tauflow.operators.sequence import MAX_ROWS, has_long_streams
 from tauflow.schemas import POLICIES, SCENARIO
 from tauflow.session import staged
 
@@ -38,6 +38,8 @@ def summarize(
         ),
         "unique-events",
     )
+    if max_rows is not None and not has_long_streams(rows, stream, max_rows):
+        max_rows = None
     gaps = aoi.event_gaps(rows.select(*stream, "ts_ns", "seq"), stream, max_rows=max_rows).select(*group, "gap_ns")
     totals = rows.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_events"),
