@@ -119,7 +119,7 @@ def age_percentile(
     counts = value_counts(gaps, keys, gap)
     group = Window.partitionBy(*keys)
     target = F.lit(p) * F.col("_s_all").cast("double")
-    reached = F.col("_s_upto").cast("double") + F.col("_largest") * (F.col("_n_all") - F.col("_n_upto"))
+    reached = F.col("_s_upto").cast("double") + F.col("_largest").cast("double") * (F.col("_n_all") - F.col("_n_upto"))
     squares = _square_sums() if mean else []
     found = _gap_bins(counts, keys, squares)
     if mean:
@@ -143,7 +143,7 @@ def age_percentile(
         .withColumn("_shorter_n", shorter_n)
         .withColumn("_shorter_s", shorter_s)
         .withColumn("_left", F.col("_n_all") - F.col("_shorter_n"))
-        .where(F.col("_shorter_s") + F.col("_v") * F.col("_left") >= target)
+        .where(F.col("_shorter_s") + F.col("_v").cast("double") * F.col("_left") >= target)
     )
     age = (target - F.col("_shorter_s")) / F.col("_left")
     extra = [F.first("_mean").alias(mean)] if mean else []
@@ -208,13 +208,13 @@ def age_percentile_loop(gaps: DataFrame, keys: Sequence[str], gap: str, p: float
     common = [*keys, "_n_all", "_s_all", "_i_from", "_i_to"]
     nothing = F.lit(None).cast("bigint")
     long_runs = values.where("_from_long").select(
-        *common, (n_all - F.col("_v_n_upto") + 1).alias("_i"), F.col("_v").alias("_v_long"),
+        *common, (n_all - F.col("_v_n_upto") + 1).alias("_i"), F.col("_v").cast("double").alias("_v_long"),
         (n_all - F.col("_v_n_upto")).alias("_before_n"),
-        (F.col("_s_all") - F.col("_v_s_upto")).cast("double").alias("_before_s"), nothing.alias("_v_short"),
+        (F.col("_s_all") - F.col("_v_s_upto")).cast("double").alias("_before_s"), no_sum.alias("_v_short"),
     )
     short_runs = values.where("_from_short").select(
-        *common, (F.col("_v_n_upto") - F.col("_c")).alias("_i"), nothing.alias("_v_long"), nothing.alias("_before_n"),
-        no_sum.alias("_before_s"), F.col("_v").alias("_v_short"),
+        *common, (F.col("_v_n_upto") - F.col("_c")).alias("_i"), no_sum.alias("_v_long"), nothing.alias("_before_n"),
+        no_sum.alias("_before_s"), F.col("_v").cast("double").alias("_v_short"),
     )
     by_i = Window.partitionBy(*keys).orderBy("_i")
     so_far = by_i.rangeBetween(Window.unboundedPreceding, 0)
@@ -229,7 +229,7 @@ def age_percentile_loop(gaps: DataFrame, keys: Sequence[str], gap: str, p: float
         .withColumn("_end", F.least(F.coalesce(F.lead("_i").over(by_i) - 1, n_all), F.col("_i_to")))
         .where((F.col("_start") <= F.col("_end")) & F.col("_v_long").isNotNull())
     )
-    both = F.col("_v_long") + F.coalesce("_v_short", F.lit(0))
+    both = F.col("_v_long") + F.coalesce("_v_short", F.lit(0.0))
     crossing = F.ceil((target - F.col("_before_s") + F.col("_before_n") * F.col("_v_long")) / both)
     found = F.when((both > 0) & F.col("_v_short").isNotNull(), F.greatest(crossing, F.col("_start")))
     # The last i needs no comparison.
