@@ -1,6 +1,6 @@
 """The analysis job: read logs, drop copies, summarize, write tables and texts.
 
-    spark-submit --py-files tauflow.zip -m tauflow.plans.run_report --input LOGS --out FOLDER
+    spark-submit --py-files tauflow.zip tauflow/plans/run_report.py --input LOGS --out FOLDER
 """
 
 from __future__ import annotations
