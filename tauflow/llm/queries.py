@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tauflow.llm import repetition, secrets
+from tauflow.llm import quality, repetition, secrets, toxicity
 from tauflow.llm.common import read
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.apply_quality_rules(read(spark, sf_dir, "documents"))
 
@@ -19,6 +27,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op9_quality_rules, op10_secrets)
+    f.__name__: f for f in (op1_quality, op4_toxicity, op9_quality_rules, op10_secrets)
 }
 LLM_SQL: dict[str, str] = {}
