@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tauflow.llm import quality, repetition, secrets, toxicity
+from tauflow.llm import decontaminate, quality, repetition, secrets, simhash, toxicity
 from tauflow.llm.common import read
 
 
@@ -14,10 +14,18 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.apply_quality_rules(read(spark, sf_dir, "documents"))
 
@@ -27,6 +35,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op4_toxicity, op9_quality_rules, op10_secrets)
+    f.__name__: f for f in (op1_quality, op3_decontamination, op4_toxicity, op8_simhash, op9_quality_rules, op10_secrets)
 }
 LLM_SQL: dict[str, str] = {}
