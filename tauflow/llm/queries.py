@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tauflow.llm import decontaminate, quality, repetition, secrets, simhash, toxicity
+from tauflow.llm import decontaminate, html_text, quality, repetition, secrets, simhash, toxicity, warc
 from tauflow.llm.common import read
 
 
@@ -22,6 +22,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(read(spark, sf_dir, "pages"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(read(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -35,6 +43,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op3_decontamination, op4_toxicity, op8_simhash, op9_quality_rules, op10_secrets)
+    f.__name__: f for f in (op1_quality, op3_decontamination, op4_toxicity, op5_html_text, op6_warc, op8_simhash, op9_quality_rules, op10_secrets)
 }
 LLM_SQL: dict[str, str] = {}
