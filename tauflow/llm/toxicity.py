@@ -1,8 +1,9 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine, found in a block-max inverted index.
 
 Terms are lower-cased runs of word characters. The vector space holds the ``TERMS`` terms whose
-presence depends most on the label (chi-square over the training sample), so a few telling words are not
-drowned by the hundreds of neutral ones of a long text. Examples are at most ``SAMPLE`` texts of either
+presence depends most on the label (chi-square over the training sample, and at least ``LEAST_RATIO`` times as
+frequent with one label as with the other), so a few telling words are not
+drowned by the hundreds of neutral ones of a long text; exact copies count once. Examples are at most ``SAMPLE`` texts of either
 label (a documented, bounded sample). The index keeps, for each term, its examples in blocks of
 ``BLOCK`` with the largest weight of each block; a query sums these bounds per block, visits blocks from
 the highest bound down, and stops when no block can beat the k-th best cosine: the top k are exact.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tauflow.llm.common import held_out, kept_for_reuse, labelled_sample, record
 
-SAMPLE, TERMS, LEAST_CHI, BLOCK, NEIGHBOURS, CUTOFF = 4000, 1024, 26.0, 64, 15, 0.5
+SAMPLE, TERMS, LEAST_CHI, LEAST_RATIO, BLOCK, NEIGHBOURS, CUTOFF = 4000, 1024, 26.0, 2.0, 256, 15, 0.5
 _WORDS = re.compile(r"\w+")
 VOTES = record(score="double", evidence="longs", terms="string")
 
@@ -45,8 +46,9 @@ class Index:
     labels: np.ndarray
     votes: np.ndarray  # labelled rows that each example stands for
     share: float
-    postings: list[tuple[np.ndarray, np.ndarray]]  # per term: examples ascending, weights
-    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # per term: block numbers, largest weight, start in postings
+    postings: list[tuple[np.ndarray, np.ndarray]]  # per term: examples' places in their blocks, weights
+    largest: np.ndarray  # largest weight of each term in each block (blocks x terms)
+    parts: np.ndarray  # where each block begins in the postings of each term (terms x blocks + 1)
 
     def vector(self, words: list[str]) -> tuple[list[int], np.ndarray]:
         counts: dict[int, int] = {}
@@ -60,25 +62,21 @@ class Index:
 
     def nearest(self, at: list[int], x: np.ndarray, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """The k examples of the largest cosine above 0: (cosine, example)."""
-        bounds = np.zeros((len(self.ids) + BLOCK - 1) // BLOCK)
-        for t, q in zip(at, x):
-            b, largest, _ = self.blocks[t]
-            bounds[b] += q * largest
+        bounds = self.largest[:, at] @ x
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
+        for b in np.argsort(-bounds, kind="stable").tolist():
             if bounds[b] <= 0 or len(best) == k and bounds[b] + 1e-9 < best[-1][0]:
                 break
             scores = np.zeros(BLOCK)
             for t, q in zip(at, x):
-                numbers, _, starts = self.blocks[t]
-                j = int(np.searchsorted(numbers, b))
-                if j < len(numbers) and numbers[j] == b:
-                    examples, weights = self.postings[t]
-                    part = slice(starts[j], starts[j + 1])
-                    scores[examples[part] - b * BLOCK] += q * weights[part]
-            hits = np.flatnonzero(scores)
-            best += [(round(float(scores[h]), 12), int(h + b * BLOCK)) for h in hits]
-            best = sorted(best, key=lambda s: (-s[0], s[1]))[:k]
+                part = slice(self.parts[t, b], self.parts[t, b + 1])
+                places, weights = self.postings[t]
+                scores[places[part]] += q * weights[part]
+            least = best[-1][0] if len(best) == k else 0.0
+            hits = np.flatnonzero(scores + 1e-9 > least) if least else np.flatnonzero(scores)
+            if len(hits):
+                best += [(round(float(scores[h]), 12), int(h) + b * BLOCK) for h in hits]
+                best = sorted(best, key=lambda s: (-s[0], s[1]))[:k]
         return best
 
     def vote(self, text: str | None) -> tuple[float, list[int], str]:
@@ -102,14 +100,14 @@ def build_index(ids, labels, vectors, terms: dict[str, int], idf: np.ndarray, ro
     for e, (at, x) in enumerate(vectors):
         for t, w in zip(at, x):
             lists[t].append((e, w))
-    postings, blocks = [], []
-    for held in lists:
+    edges = np.arange(0, len(labels) + BLOCK, BLOCK)
+    largest, parts, postings = np.zeros((len(edges) - 1, len(terms))), np.zeros((len(terms), len(edges)), np.int64), []
+    for t, held in enumerate(lists):
         examples, weights = np.array([e for e, _ in held], np.int64), np.array([w for _, w in held])
-        numbers, starts = np.unique(examples // BLOCK, return_index=True)
-        largest = np.maximum.reduceat(weights, starts) if len(starts) else weights
-        postings.append((examples, weights))
-        blocks.append((numbers, largest, np.append(starts, len(examples))))
-    return Index(terms, idf, np.asarray(ids, np.int64), labels, votes, rows_per_label[1] / total if total else 0.0, postings, blocks)
+        parts[t] = np.searchsorted(examples, edges)
+        np.maximum.at(largest[:, t], examples // BLOCK, weights)
+        postings.append((examples % BLOCK, weights))
+    return Index(terms, idf, np.asarray(ids, np.int64), labels, votes, rows_per_label[1] / total if total else 0.0, postings, largest, parts)
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Index:
@@ -118,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Index:
     What reaches the driver is bounded: TERMS terms, and the vectors of 2 * ``bound`` examples over them.
     """
     distinct = F.pandas_udf(lambda texts: pd.Series([sorted(set(terms_of(t))) for t in texts]), "array<string>")
-    sample = kept_for_reuse(labelled_sample(docs, labels, "toxic", bound))
+    sample = kept_for_reuse(labelled_sample(docs, labels, "toxic", bound).groupBy("text", "label").agg(F.min("doc_id").alias("doc_id")))
     sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id"))
@@ -130,15 +128,18 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Index:
     n, a, b = float(n0 + n1), F.col("a").cast("double"), F.col("b").cast("double")
     spread = (a + b) * (n - a - b) * n0 * n1
     chi = F.when(spread > 0, n * F.pow(a * (n0 - b) - b * (n1 - a), 2) / spread)
+    # Shares of the texts of either label that hold the term; half a text keeps them above 0.
+    ratio = ((a + 0.5) / (n1 + 1.0)) / ((b + 0.5) / (n0 + 1.0))
+    telling = (F.col("chi") >= LEAST_CHI) & (a + b >= 2) & ~ratio.between(1 / LEAST_RATIO, LEAST_RATIO)
     top = (
-        found.withColumn("chi", chi).where((F.col("chi") >= LEAST_CHI) & (a + b >= 2))
+        found.withColumn("chi", chi).where(telling)
         .orderBy(F.desc("chi"), "term").limit(TERMS).collect()
     )
     terms = {r.term: i for i, r in enumerate(sorted(top, key=lambda r: r.term))}
     idf = np.zeros(len(terms))
     for r in top:
         idf[terms[r.term]] = np.log((n + 1) / (r.a + r.b + 1)) + 1
-    space = Index(terms, idf, np.zeros(0), np.zeros(0), np.zeros(0), 0.0, [], [])
+    space = Index(terms, idf, np.zeros(0), np.zeros(0), np.zeros(0), 0.0, [], np.zeros((0, 0)), np.zeros((0, 0)))
 
     def vectors(batches):
         for rows in batches:
