@@ -53,16 +53,23 @@ def kept_for_reuse(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the table to the shared checkpoint folder and drop its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``; only a session without one (tests) gets its own.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``; tests get their own."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         import tempfile
 
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write the table to the shared checkpoint folder and drop its lineage."""
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tauflow.llm import decontaminate, html_text, quality, repetition, secrets, simhash, toxicity, warc
+from tauflow.llm import decontaminate, html_text, line_dedup, quality, repetition, secrets, simhash, toxicity, warc
 from tauflow.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -43,6 +47,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op3_decontamination, op4_toxicity, op5_html_text, op6_warc, op8_simhash, op9_quality_rules, op10_secrets)
+    f.__name__: f for f in (op1_quality, op2_line_dedup, op3_decontamination, op4_toxicity, op5_html_text, op6_warc, op8_simhash, op9_quality_rules, op10_secrets)
 }
 LLM_SQL: dict[str, str] = {}

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tauflow.llm.common import record
+from tauflow.llm.common import record, shared_folder
 
 LEAST, RECORDS_PER_FILE = 100, 30_000
 END = "\r\n\r\n"
@@ -55,10 +55,7 @@ def _record(kind: Column | str, record_id: Column, block: Column, **headers: Col
 
 def archive_folder(spark: SparkSession) -> str:
     """A new folder in the shared work folder of the cluster."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share, or name a folder")
-    return f"{root.rstrip('/')}/warc-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
 
 
 def write_captures(pages: DataFrame, path: str, least: int = LEAST) -> None:
