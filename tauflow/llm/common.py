@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,18 +30,20 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 5 == 0, F.lit(True))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """At most ``bound`` labelled texts per value (0 and 1) of ``label``, none of them held out: (text, label).
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, bound: int, values: tuple[int, ...] = (0, 1)
+) -> DataFrame:
+    """At most ``bound`` labelled texts per value of ``label``, none of them held out: (text, label, doc_id).
 
     Ids are taken in the order of a hash of the id, so the choice depends on the labels table alone.
     Rows with a null id or label are not training rows; of several labels of one id the largest counts;
-    of several texts of one id the smallest. The ids are at most 2 * bound rows, which bounds the broadcast.
+    of several texts of one id the smallest. The ids are at most ``bound`` rows per value, which bounds the broadcast.
     """
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out("doc_id"))
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(*values) & ~held_out("doc_id"))
     usable = usable.groupBy("doc_id").agg(F.max(label).alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = [usable.where(F.col("label") == v).orderBy(*order).limit(bound) for v in (0, 1)]
-    ids = picked[0].unionByName(picked[1])
+    picked = [usable.where(F.col("label") == v).orderBy(*order).limit(bound) for v in values]
+    ids = reduce(DataFrame.unionByName, picked)
     return (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .join(F.broadcast(ids), "doc_id")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tauflow.llm import decontaminate, html_text, line_dedup, quality, repetition, secrets, simhash, toxicity, warc
+from tauflow.llm import decontaminate, html_text, line_dedup, mixing, quality, repetition, secrets, simhash, toxicity, warc
 from tauflow.llm.common import read
 
 
@@ -34,6 +34,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read(spark, sf_dir, "pages"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.document_rates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("_key")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -47,6 +51,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_line_dedup, op3_decontamination, op4_toxicity, op5_html_text, op6_warc, op8_simhash, op9_quality_rules, op10_secrets)
+    f.__name__: f for f in (op1_quality, op2_line_dedup, op3_decontamination, op4_toxicity, op5_html_text, op6_warc, op7_mixing, op8_simhash, op9_quality_rules, op10_secrets)
 }
 LLM_SQL: dict[str, str] = {}
