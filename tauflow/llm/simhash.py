@@ -24,6 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tauflow.llm.common import cut
 from tauflow.llm.graph import connected_components
@@ -50,7 +51,7 @@ def fingerprint_of(text: str | None) -> int:
     return int.from_bytes(bits.tobytes(), "big", signed=True)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def fingerprint(texts: pd.Series) -> pd.Series:
     return pd.Series([fingerprint_of(t) for t in texts], dtype="int64")
 
