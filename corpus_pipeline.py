@@ -25,10 +25,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: copied lines go; a document all of whose longer lines are copies goes as a whole."""
-    rows = line_dedup.remove_copied_lines(docs)
-    rows = rows.where((F.col("_removed") == 0) | (F.col("_left") > 0))
-    n_chars = F.when(F.col("_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("n_chars"))
-    return rows.select(*[n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    rows = line_dedup.remove_copied_lines(docs).where((F.col("n_removed") == 0) | (F.col("n_left") > 0))
+    n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("_doc.n_chars"))
+    changed = {"text": F.col("text"), "n_chars": n_chars}
+    return rows.select(*[changed.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

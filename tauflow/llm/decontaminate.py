@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tauflow.llm.common import cut
+from tauflow.llm.common import cut, packed
 
 WINDOW, GRAM, FEW = 10, 5, 200_000
 SPAN = WINDOW - GRAM + 1
@@ -113,11 +113,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, few: int = FEW) ->
     else:
         met = rows.where("n > 0").select("doc_id", "_text", "n", "i", "hash").join(prints, meets, "left_semi")
         met = met.groupBy("doc_id", "_text").agg(F.collect_set(F.struct("n", "i")).alias("_met"))
-        again = base.withColumn("n_words", F.size("words")).join(
-            met, base.doc_id.eqNullSafe(met.doc_id) & (base._text == met._text), "left"
-        ).select(base.doc_id, base._text, "n_words", "words", F.explode(
-            F.concat(itself, F.coalesce("_met", F.array().cast("array<struct<n:int,i:int>>")))
-        ).alias("_p"))
+        met = met.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_of"), "_met")
+        again = base.join(met, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_of")), "left")
+        places = F.concat(itself, F.coalesce("_met", F.array().cast("array<struct<n:int,i:int>>")))
+        again = again.select("doc_id", "_text", F.size("words").alias("n_words"), "words", F.explode(places).alias("_p"))
         found = again.select("doc_id", "_text", "n_words", "words", F.col("_p.n").alias("n"), F.col("_p.i").alias("i"))
     first = F.when(F.col("n") == WINDOW, F.greatest(F.col("i") - (SPAN - 1), F.lit(1))).otherwise(F.col("i"))
     last = F.when(F.col("n") == WINDOW, F.least(F.col("i"), F.col("n_words") - (WINDOW - 1))).otherwise(F.col("i"))
@@ -160,4 +159,5 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, few: int = FEW) ->
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without any benchmark window, columns as they were; rows with a null id are judged like others."""
     found = find_contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found._bad), "left_anti").select(*docs.columns)
+    rows = packed(docs).join(found, F.col("_doc.doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return rows.select("_doc.*")

@@ -14,7 +14,7 @@ among them. Lines of fewer than ``LEAST`` different tokens (headings, blank line
 5. What is left is verified on the texts.
 
 Null texts have no lines. Null ids sort first. Rows of equal doc_id and text share one result and each get their row.
-Long lines and texts are taken whole. Extra columns are carried along by ``remove_copied_lines``.
+Long lines and texts are taken whole. Extra columns are carried along as fields of ``_doc``.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tauflow.llm.common import shared_folder
+from tauflow.llm.common import packed, shared_folder
 
 NUM, DEN, LEAST, BUCKETS, MIN_HASHES = 4, 5, 5, 1 << 17, 3
 
@@ -175,14 +175,14 @@ def copied_lines(docs: DataFrame) -> DataFrame:
 
 
 def remove_copied_lines(docs: DataFrame) -> DataFrame:
-    """Documents with their copied lines removed: all columns, text rewritten, and ``_lines``, ``_removed``, ``_left``.
+    """Documents with copied lines removed: ``_doc`` (the row), text (rewritten), n_lines, n_removed, n_left.
 
-    ``_left`` counts the lines of at least LEAST tokens that stay.
+    ``n_left`` counts the lines of at least LEAST tokens that stay.
     """
-    found = copied_lines(docs).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_key"), "kept")
-    rows = docs.withColumn("_key0", F.xxhash64(F.coalesce("text", F.lit("")))).join(
-        found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key0") == F.col("_key")), "left"
-    )
+    found = copied_lines(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_of"), "kept")
+    text = F.col("_doc.text")
+    rows = packed(docs).withColumn("_key", F.xxhash64(F.coalesce(text, F.lit(""))))
+    rows = rows.join(found, F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of")), "left")
     # A flag for each line up to the last kept one, in one pass over the kept numbers.
     gaps = F.transform(
         F.coalesce("kept", F.array().cast("array<int>")),
@@ -191,16 +191,16 @@ def remove_copied_lines(docs: DataFrame) -> DataFrame:
         ),
     )
     short = lambda line: F.size(tokens_of(line)) < LEAST
-    stays = F.zip_with(lines_of(F.col("text")), F.flatten(gaps), lambda line, flag: F.when(F.coalesce(flag, F.lit(False)) | short(line), line))
-    rows = rows.withColumn("_stays", stays)
+    stays = F.zip_with(lines_of(text), F.flatten(gaps), lambda line, flag: F.when(F.coalesce(flag, F.lit(False)) | short(line), line))
+    rows = rows.select("_doc", "kept", stays.alias("_stays"))
     left = F.array_compact("_stays")
     return rows.select(
-        *[F.when(F.col("text").isNotNull(), F.array_join(left, "\n")).alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.size("_stays").alias("_lines"), (F.size("_stays") - F.size(left)).alias("_removed"), F.coalesce(F.size("kept"), F.lit(0)).alias("_left"),
+        "_doc", F.when(text.isNotNull(), F.array_join(left, "\n")).alias("text"), F.size("_stays").alias("n_lines"),
+        (F.size("_stays") - F.size(left)).alias("n_removed"), F.coalesce(F.size("kept"), F.lit(0)).alias("n_left"),
     )
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """One row per document row: doc_id, n_lines, n_removed, n_left (longer lines that stay), text."""
     rows = remove_copied_lines(docs.select("doc_id", "text"))
-    return rows.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.col("_left").alias("n_left"), "text")
+    return rows.select("_doc.doc_id", "n_lines", "n_removed", "n_left", "text")

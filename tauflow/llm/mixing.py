@@ -24,7 +24,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tauflow.llm.common import kept_for_reuse, labelled_sample
+from tauflow.llm.common import kept_for_reuse, labelled_sample, packed
 
 #: (quality, toxic) of each domain, and the wanted shares of words.
 DOMAINS = ((0, 0), (0, 1), (1, 0), (1, 1))
@@ -134,9 +134,10 @@ def document_rates(
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None) -> DataFrame:
-    """Documents with their ``rate``, the weight with which a loader draws them (0: not at all). No row is dropped."""
+    """Documents with their ``rate``, the weight with which a loader draws them (0: not at all). No row is dropped;
+    an older column ``rate`` is replaced."""
     rates = document_rates(docs, labels, training=training)
     rates = rates.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_of"), F.col("rate").alias("_rate")).distinct()
-    rows = docs.withColumn("_key0", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = rows.join(rates, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key0") == F.col("_of")))
-    return rows.select(*[c for c in docs.columns if c != "rate"], F.col("_rate").alias("rate"))
+    rows = packed(docs).withColumn("_text", F.xxhash64(F.coalesce(F.col("_doc.text"), F.lit(""))))
+    rows = rows.join(rates, F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_of")))
+    return rows.select(*[F.col(f"_doc.`{c}`") for c in docs.columns if c != "rate"], F.col("_rate").alias("rate"))

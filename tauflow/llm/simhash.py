@@ -22,11 +22,11 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tauflow.llm.common import cut
+from tauflow.llm.common import cut, packed
 from tauflow.llm.graph import connected_components
 
 SHINGLE, SEED, DISTANCE, FEW = 4, 42, 4, 1 << 24
@@ -107,9 +107,11 @@ def near_duplicates(docs: DataFrame, text: Column | str = "text", distance: int
 def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Keep one document of each component: the one with the smallest doc_id; columns as they were.
 
-    Of repeated rows of that id one stays, too; rows without an id stay (nothing tells which one to keep).
+    Of rows that share that id the one with the smallest text stays; rows without an id stay (nothing tells which one to keep).
     """
     found = near_duplicates(docs, distance=distance)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    first = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
-    return first.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = packed(docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").select(*docs.columns))
+    order = Window.partitionBy("_doc.doc_id").orderBy(F.col("_doc.text"))
+    first = rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select("_doc.*")
+    return first.unionByName(docs.where(F.col("doc_id").isNull()))
