@@ -13,9 +13,10 @@ from tauflow.functions import wire
 
 
 def with_event_bytes(events: DataFrame, name: str = "mqtt_bytes", ts: str = "ts_ns", qos: int = 1) -> DataFrame:
-    """Add the bytes of the packet that carries each event; a recorded size of that name is kept."""
+    """Add the bytes of the packet that carries each event; where a row has a recorded size of that name, it is kept."""
     if name in events.columns:
-        return events.withColumn(name, F.col(name).cast("bigint"))
+        computed = with_event_bytes(events.withColumnRenamed(name, "_recorded"), name, ts, qos)
+        return computed.withColumn(name, F.coalesce(F.col("_recorded").cast("bigint"), name)).select(*events.columns)
     topic = wire.event_topic(F.col("device_id"), F.col("sensor"))
     rest = wire.packet_rest(topic, F.col("_payload"), F.lit(qos))
     return _with_size(events.withColumn("_payload", wire.event_json_bytes(ts)), rest, name)

@@ -279,10 +279,9 @@ scores AS (SELECT o.seq, o.sensor, s.arm, ({_THETA_X}) + 0.75::DOUBLE * sqrt(gre
 NOW = 852_076_800_000_000_000
 DELAY_1_60 = "least(60.0::DOUBLE, 1.0::DOUBLE * pow(2.0::DOUBLE, greatest(attempts - 1, 0)))"
 
-_DIGEST_LINE = f"""'- `' || profile || '/' || policy || '` sensor=' || sensor || ' · events=' || n_events || ' · rate='
-  || {_text('rate_Bps', 1)} || ' B/s · AoI=' || {_text('aoi_mean_ms', 1)} || ' ms (p95=' || {_text('aoi_p95_ms', 1)}
-  || ' ms) · MAE=' || {_text('mae_event_mean', 3)} || ' (p95=' || {_text('mae_event_p95', 3)} || ') · bits='
-  || {_text('kbits_mean', 2)}"""
+_DIGEST_LINE = f"""n || '. ' || sensor || ', ' || policy || ' on ' || profile || ': MAE=' || {_text('mae_event_mean', 3)} || ' [P95 '
+  || {_text('mae_event_p95', 3)} || '], rate=' || {_text('rate_Bps', 1)} || ' B/s, age ' || {_text('aoi_mean_ms', 1)} || ' ms [P95 '
+  || {_text('aoi_p95_ms', 1)} || ' ms], ' || {_text('kbits_mean', 2)} || ' bits, ' || n_events || ' messages'"""
 _REPORT_LINE = f"""'| ' || profile || ' | ' || policy || ' | ' || sensor || ' | ' || n_events || ' | ' || {_text('duration_s', 1)}
   || ' | ' || {_text('rate_Bps', 1)} || ' | ' || {_text('aoi_mean_ms', 1)} || ' | ' || {_text('aoi_p95_ms', 1)} || ' | '
   || {_text('mae_event_mean', 3)} || ' | ' || {_text('mae_event_p95', 3)} || ' | ' || {_text('kbits_mean', 2)} || ' |'"""
@@ -340,6 +339,11 @@ FROM (SELECT doc_id, pow(n_chars::DOUBLE, 1 + doc_id % 4)::BIGINT AS size FROM d
 SELECT {EVENT_TOPIC} AS topic, t_recv_ns, CASE WHEN seq % 31 = 0 THEN 'not a JSON object' WHEN seq % 37 = 0
   THEN 'tau missing from message' WHEN seq % 41 = 0 THEN 'no val' ELSE 'no kbits' END AS reasons FROM arrivals
 WHERE seq % 47 <> 0 AND (seq % 31 = 0 OR seq % 37 = 0 OR seq % 41 = 0 OR seq % 43 = 0)""")
+    sql["quarantine_packets"] = _select(["arrivals"], f"""
+SELECT {EVENT_TOPIC} AS topic, t_recv_ns, concat_ws('; ', CASE WHEN seq % 31 = 0 THEN 'not a JSON object' WHEN seq % 37 = 0
+  THEN 'tau missing from message' WHEN seq % 41 = 0 THEN 'no val' WHEN seq % 43 = 0 THEN 'no kbits' END,
+  CASE WHEN t_recv_ns // 1000000 % 7 = 0 THEN 'qos not 0, 1 or 2' WHEN t_recv_ns // 1000000 % 7 = 1 THEN 'dup with qos 0' END) AS reasons
+FROM arrivals WHERE seq % 47 <> 0 AND (seq % 31 = 0 OR seq % 37 = 0 OR seq % 41 = 0 OR seq % 43 = 0 OR t_recv_ns // 1000000 % 7 < 2)""")
     sql["decode_decisions"] = _select(["decisions"], """
 SELECT t_recv_ns, ts_ns, device_id, state_aoi, round(state_res, 9) AS state_res, round(state_res_var, 9) AS state_res_var,
   state_loss, state_q_len, tau, kbits, reward FROM decisions""")
@@ -387,7 +391,7 @@ UNION ALL SELECT * FROM (VALUES {fixed}) h(line_no, line)""").replace("\n, round
 SELECT n + 1 AS line_no, {_DIGEST_LINE} AS line FROM numbered WHERE n <= 10
 UNION ALL SELECT 0, '**Telemetry summary**'
 UNION ALL SELECT 1, 'Top ' || least(count(*), 10) || ' of ' || count(*) || ' rows.' FROM summary
-UNION ALL SELECT 12, '… (only 10 of ' || count(*) || ' rows shown)' FROM summary HAVING count(*) > 10""").replace("\n, rounded", ",\nrounded")
+UNION ALL SELECT 12, 'Left out: ' || (count(*) - 10) FROM summary HAVING count(*) > 10""").replace("\n, rounded", ",\nrounded")
     sql["top_scenarios"] = _on_summary(f"""SELECT {SCENARIO}, n_events, round(duration_s, 6) AS duration_s FROM summary
 ORDER BY profile, {RANK}, policy, sensor LIMIT 5""")
     sql["scenario_count"] = _select(["samples"], f"SELECT count(*) AS scenarios FROM (SELECT DISTINCT {SCENARIO} FROM samples)")

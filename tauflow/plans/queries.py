@@ -219,6 +219,15 @@ def quarantine(spark, sf_dir):
     return bad.select("topic", "t_recv_ns", F.array_join("problems", "; ").alias("reasons"))
 
 
+@query
+def quarantine_packets(spark, sf_dir):
+    """Messages some of which break a rule of the packet instead of, or besides, one of the payload."""
+    kind = F.pmod(F.expr("t_recv_ns div 1000000"), F.lit(7))
+    received = views.messages_in(spark, sf_dir).withColumn("qos", F.when(kind == 0, 3).when(kind == 1, 0).otherwise(F.col("qos")))
+    bad = validate.quarantine(messages.event_stream(received.withColumn("dup", F.when(kind == 1, True).otherwise(F.col("dup")))))
+    return bad.select("topic", "t_recv_ns", F.array_join("problems", "; ").alias("reasons"))
+
+
 @query
 def decode_decisions(spark, sf_dir):
     sent = views.decisions(spark, sf_dir).select(

@@ -30,14 +30,37 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder (a temporary one only where unset)."""
+    """A new folder below the cluster's shared checkpoint folder.
+
+    Where ``spark.checkpoint.dir`` is unset, a cluster job stops (a temporary folder would be another one on
+    every machine); a local session, as in tests, gets a folder of its own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root(spark.sparkContext)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+_local_roots: dict[str, str] = {}
+
+
+def _local_root(context) -> str:
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    if context.applicationId not in _local_roots:
+        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _local_roots[context.applicationId]
+
+
+def drop_work(df_or_path: DataFrame | str, spark: SparkSession | None = None) -> None:
+    """Delete a work table when the job that staged it is done."""
+    paths = [df_or_path] if isinstance(df_or_path, str) else {f.rsplit("/", 1)[0] for f in df_or_path.inputFiles()}
+    spark = spark or df_or_path.sparkSession
+    for path in paths:
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def staged(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table to the work folder and read it back.
 

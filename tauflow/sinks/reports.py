@@ -51,11 +51,10 @@ def digest_lines(summary: DataFrame, limit: int = DIGEST_ROWS) -> DataFrame:
     """Title, how many of how many rows follow, the first ``limit`` rows, and a note if that is not all."""
     shown = _numbered(summary).where(F.col("_n") <= limit)
     text = F.concat(
-        F.lit("- `"), F.col("profile"), F.lit("/"), F.col("policy"), F.lit("` sensor="), F.col("sensor"),
-        F.lit(" · events="), F.col("n_events").cast("string"),
-        F.lit(" · rate="), _measure("rate_Bps"), F.lit(" B/s · AoI="), _measure("aoi_mean_ms"),
-        F.lit(" ms (p95="), _measure("aoi_p95_ms"), F.lit(" ms) · MAE="), _measure("mae_event_mean"),
-        F.lit(" (p95="), _measure("mae_event_p95"), F.lit(") · bits="), _measure("kbits_mean"),
+        F.col("_n").cast("string"), F.lit(". "), F.col("sensor"), F.lit(", "), F.col("policy"), F.lit(" on "), F.col("profile"),
+        F.lit(": MAE="), _measure("mae_event_mean"), F.lit(" [P95 "), _measure("mae_event_p95"),
+        F.lit("], rate="), _measure("rate_Bps"), F.lit(" B/s, age "), _measure("aoi_mean_ms"), F.lit(" ms [P95 "), _measure("aoi_p95_ms"),
+        F.lit(" ms], "), _measure("kbits_mean"), F.lit(" bits, "), F.col("n_events").cast("string"), F.lit(" messages"),
     )
     body = shown.select((F.col("_n") + 1).alias("line_no"), text.alias("line"))
     counted = summary.agg(F.count(F.lit(1)).alias("_rows"))
@@ -69,8 +68,7 @@ def digest_lines(summary: DataFrame, limit: int = DIGEST_ROWS) -> DataFrame:
         F.when(rows == 0, line(F.lit(1), F.lit(NOTHING))).otherwise(
             line(F.lit(1), F.concat(F.lit("Top "), top.cast("string"), F.lit(" of "), rows.cast("string"), F.lit(" rows.")))
         ),
-        F.when(rows > limit, line(F.lit(limit + 2), F.concat(
-            F.lit("… (only "), F.lit(str(limit)), F.lit(" of "), rows.cast("string"), F.lit(" rows shown)")))),
+        F.when(rows > limit, line(F.lit(limit + 2), F.concat(F.lit("Left out: "), (rows - limit).cast("string")))),
     )
     fixed = counted.select(F.explode(F.array_compact(frame)).alias("h")).select("h.line_no", "h.line")
     return fixed.unionByName(body)

@@ -33,12 +33,12 @@ def write_collector_meta(totals: DataFrame, path: str, run_id: str, clock_offset
 
 def write_summary(summary: DataFrame, path: str, parquet_path: str | None = None) -> None:
     """One CSV file in report order (a summary has one row per scenario), on request Parquet as well."""
-    ordered = summary.orderBy(*summary_order())
-    ordered.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    ordered = summary.repartition(1).sortWithinPartitions(*summary_order())
+    ordered.write.mode("overwrite").option("header", True).csv(path)
     if parquet_path:
-        ordered.coalesce(1).write.mode("overwrite").parquet(parquet_path)
+        ordered.write.mode("overwrite").parquet(parquet_path)
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
     """Numbered text lines as one text file."""
-    lines.orderBy("line_no").select("line").coalesce(1).write.mode("overwrite").text(path)
+    lines.repartition(1).sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(path)

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tauflow.functions.measures import arrival_age_ms
 from tauflow.operators.packets import with_publish_bytes
-from tauflow.operators.validate import PROBLEMS, broken, decision_problems, event_problems
+from tauflow.operators.validate import PROBLEMS, decision_problems, event_problems, publish_problems
 from tauflow.schemas import DECISION, DECISION_KEYS, EVENT, EVENT_KEYS
 
 # The topics of the two message kinds.
@@ -77,13 +77,20 @@ def decode_decisions(messages: DataFrame) -> DataFrame:
     return _with_problems(_decode(messages, DECISION, DECISION_KEYS), decision_problems())
 
 
+def _with_packet_problems(decoded: DataFrame) -> DataFrame:
+    """Add what is wrong with the packet to what is wrong with its payload."""
+    packet = publish_problems(F.col("topic"), F.octet_length("payload"), F.col("qos"), F.col("dup"))
+    return decoded.withColumn(PROBLEMS, F.concat(PROBLEMS, packet))
+
+
 def event_stream(messages: DataFrame, clock_offset_ns: int = 0) -> DataFrame:
     """Events of their topic with packet size and age on arrival; bad ones carry their reasons."""
     sized = with_publish_bytes(messages.where(F.col("topic").rlike(EVENT_TOPIC)))
-    return decode_events(sized).withColumn(
+    return _with_packet_problems(decode_events(sized)).withColumn(
         "arrival_age_ms", arrival_age_ms(F.col("t_recv_ns"), F.col("ts_ns"), clock_offset_ns)
     )
 
 
 def decision_stream(messages: DataFrame) -> DataFrame:
-    return decode_decisions(messages.where(F.col("topic").rlike(DECISION_TOPIC)))
+    decoded = decode_decisions(messages.where(F.col("topic").rlike(DECISION_TOPIC)))
+    return _with_packet_problems(decoded) if {"qos", "dup"} <= set(messages.columns) else decoded

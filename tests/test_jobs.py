@@ -101,7 +101,7 @@ def test_digest_and_report_text(spark):
             ("slow_10kbps", "fixed_tau", "temp", 12, nan, nan, nan, 1234.5, 0.2222, 0.3333, 8.0)]
     df = spark.createDataFrame(rows, SUMMARY)
     text = "\n".join(r.line for r in digest_lines(df, limit=1).orderBy("line_no").collect())
-    for part in ("rate=12.3 B/s", "456.7 ms", "MAE=0.123", "Top 1 of 2", "only 1 of 2"):
+    for part in ("rate=12.3 B/s", "456.7 ms", "MAE=0.123", "Top 1 of 2", "Left out: 1"):
         assert part in text
     lines = [r.line for r in report_lines(df).orderBy("line_no").collect()]
     assert lines[-1].count("NaN") == 3 and "1234.5" in lines[-1]
