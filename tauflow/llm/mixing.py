@@ -4,8 +4,9 @@ Domains are the pairs (quality, toxic) of the labels table. A naive Bayes classi
 ``SAMPLE`` labelled texts of each domain (a documented, bounded sample, no held-out rows), gives every document a
 posterior over the domains; long texts count as at most about ``EFFECTIVE`` independent words. A document of n words and
 posterior p, taken at rate r, adds r * n * p[d] expected words to domain d. The rates are the least-squares solution
-under r >= 0 of "totals equal targets", found by projected gradient from r = 1; the residual of a domain is divided by its
-words, so that rare domains converge as fast as common ones.
+under r >= 0 of "totals equal targets", found by projected gradient from r = 1. Squares are measured by the inverse of the
+domains' Gram matrix (4 x 4, words times posterior times posterior, summed on the cluster); in that measure the gradient has a
+Lipschitz constant of 1, so the step length is 1 and steps are few.
 
 Documents of equal posterior have equal gradients, so their rates stay equal: posteriors are rounded to 1 / ``GRID`` and
 the fit runs over the different rounded posteriors with their summed words (at most some thousand rows, whatever
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from math import log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +36,11 @@ _D = range(len(DOMAINS))
 
 
 def _words(text: Column) -> Column:
-    plain = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.array_remove(F.split(plain, " "), "")
+    """Words of a text, and an empty word for each further space in a row."""
+    plain = F.coalesce(text, F.lit(""))
+    for c in "\t\n\r":
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
+    return F.split(plain, " ")
 
 
 def _bucket(word: Column) -> Column:
@@ -50,7 +55,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[float]]:
     sizes = {r.domain: r.n for r in usable.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values())
     sample = labelled_sample(docs, usable, "domain", SAMPLE, tuple(_D))
-    found = sample.select("label", F.explode(_words(F.col("text"))).alias("w")).groupBy("label", _bucket(F.col("w")).alias("bucket"))
+    found = sample.select("label", F.explode(_words(F.col("text"))).alias("w")).where("w <> ''").groupBy("label", _bucket(F.col("w")).alias("bucket"))
     found = found.agg(F.count(F.lit(1)).alias("n"))
     wide = found.groupBy("bucket").agg(*[F.coalesce(F.sum(F.when(F.col("label") == d, F.col("n"))), F.lit(0)).alias(f"c{d}") for d in _D])
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(wide, "bucket", "left").na.fill(0)
@@ -68,9 +73,10 @@ def posteriors(docs: DataFrame, labels: DataFrame, training: DataFrame | None =
     """
     table, priors = train(docs if training is None else training, labels)
     text = F.coalesce("text", F.lit(""))
-    # An empty word stands for the row itself, so that rows without words stay.
-    words = docs.select("doc_id", F.xxhash64(text).alias("_key"), F.explode(F.concat(F.array(F.lit("")), _words(F.col("text")))).alias("w"))
-    words = words.select("doc_id", "_key", F.when(F.col("w") == "", -1).otherwise(_bucket(F.col("w"))).alias("bucket"))
+    # A null word stands for the row itself, so that rows without words stay.
+    all_words = F.concat(F.array(F.lit(None).cast("string")), _words(F.col("text")))
+    words = docs.select("doc_id", F.xxhash64(text).alias("_key"), F.explode(all_words).alias("w")).where("w is null or w <> ''")
+    words = words.select("doc_id", "_key", F.when(F.col("w").isNull(), -1).otherwise(_bucket(F.col("w"))).alias("bucket"))
     met = words.join(F.broadcast(table), "bucket", "left")  # BUCKETS rows, less than 1 MB
     summed = met.groupBy("doc_id", "_key").agg(
         F.count_if(F.col("bucket") == -1).alias("copies"), F.count_if(F.col("bucket") != -1).alias("n"),
@@ -104,19 +110,20 @@ def fit(found: DataFrame, targets: tuple[float, ...] = TARGETS) -> list[list[flo
     """Steps of the projected gradient; each is one aggregate over the different posteriors."""
     keys = [f"k{d}" for d in _D]
     cells = kept_for_reuse(found.groupBy(*keys).agg(F.sum(F.col("n_tokens") * F.col("copies")).cast("double").alias("n")))
-    shares = _shares()
-    own = [float(x or 0.0) for x in cells.agg(*[F.sum(F.col("n") * shares[d]) for d in _D]).first()]
-    wanted = [t if own[d] > 0 else 0.0 for d, t in enumerate(targets)]
+    shares, pairs = _shares(), [(a, b) for a in _D for b in _D]
+    total = lambda *columns: [float(x or 0.0) for x in cells.agg(*[F.sum(F.col("n") * c) for c in columns]).first()]
+    sums = total(*shares, *[shares[a] * shares[b] for a, b in pairs])
+    own, gram = np.array(sums[: len(DOMAINS)]), np.array(sums[len(DOMAINS) :]).reshape(len(DOMAINS), -1)
+    wanted = np.where(own > 0, targets, 0.0)
     steps: list[list[float]] = []
-    if sum(wanted) > 0:
-        lead = max(_D, key=lambda d: wanted[d])
-        goal = [w / wanted[lead] * own[lead] for w in wanted]
+    if wanted.sum() > 0:
+        lead = int(wanted.argmax())
+        goal, inverse = wanted / wanted[lead] * own[lead], np.linalg.pinv(gram, hermitian=True)
         for _ in range(STEPS):
-            now = cells.agg(*[F.sum(F.col("n") * shares[d] * _rate(steps)) for d in _D]).first()
-            gaps = [(float(now[d] or 0.0) - goal[d]) / own[d] if own[d] > 0 else 0.0 for d in _D]
-            if max(map(abs, gaps)) < CLOSE:
+            gaps = np.array(total(*[s * _rate(steps) for s in shares])) - goal
+            if np.all(np.abs(gaps) <= CLOSE * np.maximum(own, 1.0)):
                 break
-            steps.append(gaps)
+            steps.append((inverse @ gaps).tolist())
     cells.unpersist()
     return steps
 
