@@ -15,10 +15,12 @@ def dedup_first(
 ) -> DataFrame:
     """Keep the earliest row of each event id; ``scope`` names columns that set runs apart.
 
+    Rows that tie in ``order`` are told apart by a hash of all their columns, so the choice does not depend on how they are read.
+
     Spark limits each window group to its first row before the shuffle as well as after it, so a
     message with very many copies reaches the network once per task.
     """
-    w = Window.partitionBy(*scope, *key).orderBy(*order)
+    w = Window.partitionBy(*scope, *key).orderBy(*order, F.xxhash64(*events.columns))
     return events.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") == 1).drop("_nth")
 
 

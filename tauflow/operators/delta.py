@@ -6,24 +6,27 @@ sweep are run in that one pass instead of once per setting over multiplied rows.
 
 A stream too long for one task is cut into time slices. What the step needs at the start of a slice
 is the forecast and the time of the last message, and both can be had without running the earlier
-slices one after the other:
+slices one after the other, with the same bits as a sequential run:
 
-- a slice turns the forecast f before it into ``decay * f + push``, with both numbers known from the
-  slice alone; folding these few numbers gives the forecast before every slice;
+- the forecast after a slice hardly depends on the one before it: the step is monotone in the forecast, so if
+  runs over the slice's last rows from just below the least and just above the largest reading of the stream
+  end in the same double, every start does. A slice after which they differ (few rows, small alpha) is joined
+  with the next one;
 - given the forecasts, the last message of a slice depends only on the last one before it, as a
-  step function with few steps (it matters only until the first possible message); folding the step
-  functions gives the time of the last message before every slice.
+  step function (it matters only until the first possible message); folding the step functions gives
+  the time of the last message before every slice.
 
-Then all slices run in parallel. Forecasts carried over this way can differ from a purely
-sequential run in the last bits of a double.
+Then all slices run in parallel. Readings pass through Python as Arrow tables, so no number is ever converted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +39,7 @@ from tauflow.schemas import STREAM
 _SEED, _LAST = "_seed", "_last_sent"
 _NEVER = -(2**63) + 1
 _NO_LIMIT = 2**63 - 1
+_TAIL = 1 << 14
 
 
 def usable(value: Column, valid: Column | None = None) -> Column:
@@ -62,7 +66,8 @@ def send_on_delta(
     rows = rows.drop("policy", "pred", "res", "tau", "kbits", "val", "reason", "setting")
     rows = cut_long_streams(rows.withColumn(value, F.col(value).cast("double")), keys, max_rows=max_rows)
     if SLICE in rows.columns:
-        rows = _with_seeds(rows, _slice_states(rows, keys, value, triggers))
+        rows, seeds = _slice_states(rows, keys, value, triggers)
+        rows = _with_seeds(rows, seeds)
     else:
         rows = rows.withColumn(SLICE, F.lit(None).cast("bigint"))
         rows = rows.withColumn(_SEED, F.lit(None).cast("int")).withColumn(_LAST, F.lit(None).cast("bigint"))
@@ -76,7 +81,7 @@ def send_on_delta(
             T.StructField("reason", T.StringType()),
         ]
     )
-    sent = _in_stream_order(rows, keys).mapInPandas(_sender(keys, value, triggers, carried), out)
+    sent = _in_stream_order(rows, keys).mapInArrow(_sender(keys, value, triggers, carried), out)
     return with_setting(sent, value, triggers)
 
 
@@ -111,15 +116,27 @@ def _with_seeds(rows: DataFrame, seeds: DataFrame) -> DataFrame:
     return rows.unionByName(seeds, allowMissingColumns=True)
 
 
-def _pieces(batch: pd.DataFrame, keys: list[str]):
+def _longs(batch: pa.RecordBatch, name: str, null: int = 0) -> np.ndarray:
+    return batch.column(name).cast(pa.int64()).fill_null(null).to_numpy(zero_copy_only=False)
+
+
+def _doubles(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+
+
+def _pieces(batch: pa.RecordBatch, keys: list[str]):
     """(key, from, to) of each run of rows of one stream slice in a sorted batch."""
-    slices = batch[SLICE].fillna(-1).astype("int64")
-    changed = (slices != slices.shift()).to_numpy().copy()
+    slices = _longs(batch, SLICE, -1)
+    changed = np.append(True, slices[1:] != slices[:-1])
+    columns = []
     for k in keys:
-        changed |= (batch[k] != batch[k].shift()).to_numpy()
+        codes = batch.column(k).dictionary_encode()
+        numbers = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        changed[1:] |= numbers[1:] != numbers[:-1]
+        columns.append(batch.column(k))
     starts = np.flatnonzero(changed)
-    columns = [batch[k].to_numpy()[starts] for k in keys] + [slices.to_numpy()[starts]]
-    return list(zip(zip(*columns), starts.tolist(), [*starts[1:].tolist(), len(batch)]))
+    values = [c.take(pa.array(starts)).to_pylist() for c in columns] + [slices[starts].tolist()]
+    return list(zip(zip(*values), starts.tolist(), [*starts[1:].tolist(), batch.num_rows]))
 
 
 def _sender(keys: list[str], value: str, triggers: list[Trigger], carried: list[str]):
@@ -128,18 +145,17 @@ def _sender(keys: list[str], value: str, triggers: list[Trigger], carried: list[
     def send(batches):
         current, states = None, {}
         for batch in batches:
-            if batch.empty:
+            if not batch.num_rows:
                 continue
-            times, values = batch["ts_ns"].fillna(0).astype("int64").tolist(), batch[value].tolist()
-            seeds = batch[_SEED].notna().to_numpy()
+            times, values = _longs(batch, "ts_ns").tolist(), _doubles(batch, value).tolist()
+            seeds, lasts = _longs(batch, _SEED, -1).tolist(), batch.column(_LAST)
             rows, settings, preds, residuals, reasons = [], [], [], [], []
             for key, a, b in _pieces(batch, keys):
                 if key != current:
                     current = key
                     states = {i: (None, None) for i, t in enumerate(triggers) if t.applies_to(key[sensor_at])}
-                while a < b and seeds[a]:
-                    last = batch[_LAST].iloc[a]
-                    states[int(batch[_SEED].iloc[a])] = (values[a], None if pd.isna(last) else int(last))
+                while a < b and seeds[a] >= 0:
+                    states[seeds[a]] = (values[a], lasts[a].as_py())
                     a += 1
                 for i, (forecast, last_sent) in states.items():
                     at, p, r, why, *states_i = replay(triggers[i], times[a:b], values[a:b], forecast, last_sent)
@@ -149,7 +165,9 @@ def _sender(keys: list[str], value: str, triggers: list[Trigger], carried: list[
                     preds += p
                     residuals += r
                     reasons += why
-            yield batch[carried].take(rows).assign(setting=settings, pred=preds, res=residuals, reason=reasons)
+            taken = batch.select(carried).take(pa.array(rows, pa.int64()))
+            added = [pa.array(settings, pa.int32()), pa.array(preds, pa.float64()), pa.array(residuals, pa.float64()), pa.array(reasons, pa.string())]
+            yield pa.RecordBatch.from_arrays([*taken.columns, *added], names=[*carried, "setting", "pred", "res", "reason"])
 
     return send
 
@@ -157,8 +175,11 @@ def _sender(keys: list[str], value: str, triggers: list[Trigger], carried: list[
 # ---- start states of the slices of long streams
 
 
-def _slice_states(rows: DataFrame, keys: list[str], value: str, triggers: list[Trigger]) -> DataFrame:
-    """Seed rows (keys, slice, value = forecast, last message) for every slice but a stream's first."""
+def _slice_states(rows: DataFrame, keys: list[str], value: str, triggers: list[Trigger]) -> tuple[DataFrame, DataFrame]:
+    """The rows, slices joined where needed, and seed rows (keys, slice, value = forecast, last message).
+
+    There is a seed for every setting and slice but a stream's first. Streams that are not cut have slice null.
+    """
     long_rows = rows.where(F.col(SLICE).isNotNull()).select(*keys, SLICE, "ts_ns", "seq", value)
     key_fields = [f for f in rows.schema if f.name in keys]
     key_fields.sort(key=lambda f: keys.index(f.name))
@@ -168,68 +189,107 @@ def _slice_states(rows: DataFrame, keys: list[str], value: str, triggers: list[T
         return T.StructType([*slice_fields, *[T.StructField(n, t) for n, t in extra]])
 
     doubles, longs = T.ArrayType(T.DoubleType()), T.ArrayType(T.LongType())
-    forecast_seed = schema((_SEED, T.IntegerType()), (value, T.DoubleType()))
     no_seed = long_rows.withColumn(_SEED, F.lit(None).cast("int"))
 
-    effects = _in_stream_order(no_seed, keys).mapInPandas(
-        _forecast_effect(keys, value, triggers), schema(("first", T.DoubleType()), ("decay", doubles), ("push", doubles))
+    # One row for each cut stream, and some rows for each slice: as few as the list of long streams and its slices.
+    bounds = long_rows.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    bounded = no_seed.join(F.broadcast(bounds), keys)
+    ends = _in_stream_order(bounded, keys).mapInArrow(_slice_ends(keys, value, triggers), schema(("ends", doubles)))
+    joined = ends.groupBy(*keys).applyInPandas(
+        _join_slices(keys, triggers), schema(("_part", T.LongType()), ("starts", doubles))
     )
-    forecasts = effects.groupBy(*keys).applyInPandas(_fold_forecasts(keys, value, triggers), forecast_seed)
-    with_forecasts = no_seed.unionByName(forecasts, allowMissingColumns=True)
-    steps = _in_stream_order(with_forecasts, keys).mapInPandas(
+    parts = joined.select(*keys, SLICE, "_part")
+
+    def renumbered(df: DataFrame) -> DataFrame:
+        moved = df.join(F.broadcast(parts), [*keys, SLICE], "left")
+        return moved.withColumn(SLICE, F.coalesce("_part", SLICE)).drop("_part").select(*df.columns)
+
+    seeds = joined.where((F.col(SLICE) == F.col("_part")) & F.col("starts").isNotNull())
+    seeds = seeds.select(*keys, SLICE, F.posexplode("starts").alias(_SEED, value)).where(F.col(value).isNotNull())
+    with_forecasts = renumbered(no_seed).unionByName(seeds, allowMissingColumns=True)
+    steps = _in_stream_order(with_forecasts, keys).mapInArrow(
         _last_sent_steps(keys, value, triggers),
         schema((_SEED, T.IntegerType()), (value, T.DoubleType()), ("until", longs), ("sent", longs)),
     )
-    return steps.groupBy(*keys).applyInPandas(
+    states = steps.groupBy(*keys).applyInPandas(
         _fold_last_sent(keys, value), schema((_SEED, T.IntegerType()), (value, T.DoubleType()), (_LAST, T.LongType()))
     )
+    return renumbered(rows), states
+
+
+def _after(alpha: float, forecast: float, values: list) -> float:
+    """Forecast after some readings; the arithmetic is that of the step."""
+    keep = 1.0 - alpha
+    for x in values:
+        forecast = alpha * x + keep * forecast
+    return forecast
+
+
+def _slice_ends(keys: list[str], value: str, triggers: list[Trigger]):
+    """Per slice the forecast after it for each setting, null where it depends on the one before it.
 
+    Only the last rows of a slice are held; a stream's first slice is run as a whole, batch by batch.
+    """
+    sensor_at = keys.index("sensor")
 
-def _forecast_effect(keys: list[str], value: str, triggers: list[Trigger]):
-    alphas = np.array([t.alpha for t in triggers])
+    def finish(key, first, tail, low, high):
+        out = []
+        margin = (abs(low) + abs(high) + 1.0) * 1e-9
+        for i, t in enumerate(triggers):
+            if not t.applies_to(key[sensor_at]):
+                out.append(None)
+            elif first is not None:
+                out.append(first[i])
+            else:
+                below, above = _after(t.alpha, low - margin, tail), _after(t.alpha, high + margin, tail)
+                out.append(below if below == above else None)
+        return out
 
-    def effect(batches):
-        current, first, decay, push = None, None, None, None
+    def ends(batches):
+        current, first, tail, low, high = None, None, [], 0.0, 0.0
 
         def row():
-            return pd.DataFrame([[*current, first, decay.tolist(), push.tolist()]],
-                                columns=[*keys, SLICE, "first", "decay", "push"])
+            names = [*keys, SLICE, "ends"]
+            arrays = [pa.array([k], pa.string() if isinstance(k, str) else None) for k in current]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([finish(current, first, tail, low, high)], pa.list_(pa.float64()))], names=names)
 
         for batch in batches:
-            if batch.empty:
+            if not batch.num_rows:
                 continue
-            values = batch[value].to_numpy()
+            values, lows, highs = _doubles(batch, value).tolist(), _doubles(batch, "_low"), _doubles(batch, "_high")
             for key, a, b in _pieces(batch, keys):
                 if key != current:
                     if current is not None:
                         yield row()
-                    current, first = key, values[a]
-                    decay, push = np.ones(len(alphas)), np.zeros(len(alphas))
-                age = np.arange(b - a - 1, -1, -1)
-                for i, alpha in enumerate(alphas):
-                    shrink = (1.0 - alpha) ** (b - a)
-                    push[i] = push[i] * shrink + alpha * np.dot((1.0 - alpha) ** age, values[a:b])
-                    decay[i] *= shrink
+                    current, tail, low, high = key, [], float(lows[a]), float(highs[a])
+                    first = [values[a]] * len(triggers) if key[-1] == 0 else None
+                    a += first is not None
+                if first is not None:
+                    first = [_after(t.alpha, f, values[a:b]) for t, f in zip(triggers, first)]
+                tail = (tail + values[a:b])[-_TAIL:]
         if current is not None:
             yield row()
 
-    return effect
+    return ends
 
 
-def _fold_forecasts(keys: list[str], value: str, triggers: list[Trigger]):
-    def fold(slices: pd.DataFrame) -> pd.DataFrame:
-        slices = slices.sort_values(SLICE)
+def _join_slices(keys: list[str], triggers: list[Trigger]):
+    sensor_at = keys.index("sensor")
+
+    def join(slices: pd.DataFrame) -> pd.DataFrame:
         key = slices[keys].iloc[0].tolist()
-        out, forecast = [], None
-        for number, first, decay, push in zip(slices[SLICE], slices["first"], slices["decay"], slices["push"]):
-            if forecast is None:
-                forecast = np.full(len(triggers), first)
-            else:
-                out += [[*key, number, i, forecast[i]] for i in range(len(triggers))]
-            forecast = np.asarray(decay) * forecast + np.asarray(push)
-        return pd.DataFrame(out, columns=[*keys, SLICE, _SEED, value])
+        used = [i for i, t in enumerate(triggers) if t.applies_to(key[sensor_at])]
+        out, part, before = [], None, None
+        for number, ends in slices.sort_values(SLICE)[[SLICE, "ends"]].itertuples(index=False):
+            known = before is not None and all(before[i] is not None and not np.isnan(before[i]) for i in used)
+            if part is None or known:
+                part = number
+            starts = [float(before[i]) if i in used else None for i in range(len(triggers))] if known else None
+            out.append([*key, number, part, starts])
+            before = list(ends)
+        return pd.DataFrame(out, columns=[*keys, SLICE, "_part", "starts"])
 
-    return fold
+    return join
 
 
 def last_sent_steps(trigger: Trigger, times: np.ndarray, exceeds: np.ndarray, is_first: bool):
@@ -271,43 +331,45 @@ def _last_sent_steps(keys: list[str], value: str, triggers: list[Trigger]):
     sensor_at = keys.index("sensor")
 
     def finish(key, seeds, times, values):
-        times, values = np.concatenate(times), np.concatenate(values).tolist()
+        times, values = np.concatenate(times), np.concatenate(values)
         out = []
         for i, t in enumerate(triggers):
             if not t.applies_to(key[sensor_at]):
                 continue
             forecast, keep = seeds.get(i), 1.0 - t.alpha
-            f, exceeds = forecast, np.zeros(len(values), bool)
-            for j, x in enumerate(values):
-                if f is None:
-                    f = x
-                else:
-                    exceeds[j] = abs(x - f) > t.tau
-                    f = t.alpha * x + keep * f
-            until, sent = last_sent_steps(t, times, exceeds, forecast is None)
+            start, rest = (values[0], values[1:]) if forecast is None else (forecast, values)
+            run = list(accumulate(rest.tolist(), lambda f, x, a=t.alpha, k=keep: a * x + k * f, initial=float(start)))[:-1]
+            expected = np.array(([float(start)] if forecast is None else []) + run)
+            until, sent = last_sent_steps(t, times, np.abs(values - expected) > t.tau, forecast is None)
             out.append([*key, i, forecast, until.tolist(), sent.tolist()])
-        return pd.DataFrame(out, columns=[*keys, SLICE, _SEED, value, "until", "sent"])
+        return _as_batch(out)
+
+    def _as_batch(rows):
+        names = [*keys, SLICE, _SEED, value, "until", "sent"]
+        longs = pa.list_(pa.int64())
+        kinds = [*[None] * len(keys), pa.int64(), pa.int32(), pa.float64(), longs, longs]
+        columns = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
     def steps(batches):
         current, seeds, times, values = None, {}, [], []
         for batch in batches:
-            if batch.empty:
+            if not batch.num_rows:
                 continue
-            is_seed = batch[_SEED].notna().to_numpy()
-            ts, x = batch["ts_ns"].fillna(0).astype("int64").to_numpy(), batch[value].to_numpy()
+            seed, ts, x = _longs(batch, _SEED, -1).tolist(), _longs(batch, "ts_ns"), _doubles(batch, value)
             for key, a, b in _pieces(batch, keys):
                 if key != current:
-                    if times:
-                        yield finish(current, seeds, times, values)
+                    if times and (made := finish(current, seeds, times, values)).num_rows:
+                        yield made
                     current, seeds, times, values = key, {}, [], []
-                while a < b and is_seed[a]:
-                    seeds[int(batch[_SEED].iloc[a])] = float(x[a])
+                while a < b and seed[a] >= 0:
+                    seeds[seed[a]] = float(x[a])
                     a += 1
                 if a < b:
                     times.append(ts[a:b])
                     values.append(x[a:b])
-        if times:
-            yield finish(current, seeds, times, values)
+        if times and (made := finish(current, seeds, times, values)).num_rows:
+            yield made
 
     return steps
 

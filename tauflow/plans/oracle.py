@@ -504,4 +504,12 @@ FROM scores QUALIFY row_number() OVER (PARTITION BY seq ORDER BY score DESC, arm
     sql["stream_dedup_accounting"] = sql["dedup_accounting"]
     sql["event_log_round_trip"] = _with(["arrivals"], f"""WITH {ACCOUNTED} SELECT {SCENARIO}, count(*) AS n,
   sum(mqtt_size_bytes)::BIGINT AS bytes, max(t_recv_ns) AS last_recv_ns FROM accounted GROUP BY {SCENARIO}""")
+    sql["stream_decisions"] = sql["decision_log_round_trip"] = sql["decode_decisions"]
+    sql["collector_meta"] = sql["collector_totals"].replace(
+        "SELECT sum(mqtt_size_bytes)", "SELECT 'run-1' AS run_id, 20000000::BIGINT AS clock_offset_ns, sum(mqtt_size_bytes)"
+    )
+    sql["summary_file"] = _on_summary(f"SELECT row_number() OVER (ORDER BY profile, {RANK}, policy, sensor) AS line_no, {SCENARIO}, {ROUNDED_SUMMARY} FROM summary")
+    sql["log_rows_in_order"] = _select(["telemetry"], """
+SELECT device_id, sensor, seq, row_number() OVER (PARTITION BY device_id, sensor ORDER BY ts_ns, seq) AS position FROM telemetry""")
+    sql["send_on_delta_cut"], sql["policy_sweep_cut"] = sql["send_on_delta"], sql["policy_sweep"]
     return sql

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tauflow.functions import measures, quantize, signals, wire
@@ -419,6 +419,13 @@ def send_on_delta(spark, sf_dir):
     return sent.select(*SENT_COLUMNS)
 
 
+@query
+def send_on_delta_cut(spark, sf_dir):
+    """The same with streams cut into slices, as long ones are."""
+    sent = delta.send_on_delta(views.samples(spark, sf_dir), TRIGGERS, max_rows=10)
+    return sent.select(*SENT_COLUMNS)
+
+
 @query
 def carry_forward(spark, sf_dir):
     readings = sequence.cut_long_streams(views.temp_samples(spark, sf_dir), STREAM)
@@ -582,6 +589,11 @@ def policy_sweep(spark, sf_dir):
     return _rounded_summary(swept)
 
 
+@query
+def policy_sweep_cut(spark, sf_dir):
+    return _rounded_summary(experiments.policy_sweep(views.samples(spark, sf_dir), SWEEP, max_rows=10))
+
+
 # ---- bandit
 
 
@@ -710,3 +722,53 @@ def event_log_round_trip(spark, sf_dir):
     return spark.read.parquet(path).groupBy(*SCENARIO).agg(
         F.count(F.lit(1)).alias("n"), F.sum("mqtt_size_bytes").alias("bytes"), F.max("t_recv_ns").alias("last_recv_ns")
     )
+
+
+def _decision_messages(spark, sf_dir):
+    return views.decisions(spark, sf_dir).select(
+        wire.decision_topic(F.col("device_id")).alias("topic"), wire.decision_json().alias("payload"), "t_recv_ns"
+    )
+
+
+@query
+def stream_decisions(spark, sf_dir):
+    """Decisions from a running collection."""
+    def pipeline(received: DataFrame) -> DataFrame:
+        return validate.accepted(messages.decision_stream(received)).drop("topic", "payload")
+
+    return rounded(_streamed(spark, _decision_messages(spark, sf_dir), pipeline), state_res=9, state_res_var=9)
+
+
+@query
+def decision_log_round_trip(spark, sf_dir):
+    """Decisions written as the decision log and read back."""
+    path = work_folder(spark, "decision-log")
+    good = validate.accepted(messages.decision_stream(_decision_messages(spark, sf_dir)))
+    tables.write_decision_log(good.drop("topic", "payload"), path)
+    return rounded(spark.read.parquet(path), state_res=9, state_res_var=9)
+
+
+@query
+def collector_meta(spark, sf_dir):
+    """The collection run's record, written and read back."""
+    path = work_folder(spark, "collector-meta")
+    totals = collector_totals(_accounted(spark, sf_dir), views.decisions(spark, sf_dir))
+    tables.write_collector_meta(totals, path, "run-1", 20_000_000)
+    return spark.read.schema(f"run_id string, clock_offset_ns bigint, {', '.join(f'{c} bigint' for c in totals.columns)}").json(path)
+
+
+@query
+def summary_file(spark, sf_dir):
+    """The summary's CSV file read back, with the number of each line in the file."""
+    path = work_folder(spark, "summary")
+    made = _rounded_summary(_summary(spark, sf_dir))
+    tables.write_summary(made, path)
+    lines = spark.read.schema(made.schema).option("header", True).csv(path)
+    return lines.select((F.monotonically_increasing_id() + 1).alias("line_no"), "*")
+
+
+@query
+def log_rows_in_order(spark, sf_dir):
+    """Position of every event in log order within its device and sensor."""
+    order = Window.partitionBy("device_id", "sensor").orderBy(*summary.log_order()[2:])
+    return views.telemetry(spark, sf_dir).select("device_id", "sensor", "seq", F.row_number().over(order).cast("bigint").alias("position"))

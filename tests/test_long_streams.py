@@ -86,10 +86,31 @@ SETTINGS = [
 ]
 
 
+def exactly(sent):
+    columns = [*STREAM, "ts_ns", "seq", "setting", "val", "pred", "res", "reason"]
+    return sorted(tuple(repr(v) for v in r) for r in sent.select(*columns).collect())
+
+
 def test_send_on_delta(hot):
-    sent = both(lambda n: delta.send_on_delta(hot, SETTINGS, valid="valid", max_rows=n).select(
-        *STREAM, "seq", "setting", "val", "pred", "res", "reason"))
-    assert {r.setting for r in sent.select("setting").distinct().collect()} >= {0, 1, 2, 3, 4}
+    whole = delta.send_on_delta(hot, SETTINGS, valid="valid", max_rows=None)
+    expected = exactly(whole)
+    for n in (CUT, 100):
+        assert exactly(delta.send_on_delta(hot, SETTINGS, valid="valid", max_rows=n)) == expected
+    assert {r.setting for r in whole.select("setting").distinct().collect()} >= {0, 1, 2, 3, 4}
+
+
+def test_slices_of_a_long_stream_give_the_same_bits(spark):
+    """Times near 1.7e18 ns, heartbeats of exactly ten spacings, slices long enough to run on their own."""
+    rng = np.random.default_rng(5)
+    x = np.cumsum(rng.normal(0, 0.3, 6000)).round(3).tolist()
+    rows = [("dev-a", "temp", 1_700_000_000_000_000_001 + i * 1_000_001_000, 2**53 + 1 + i, v, None if i % 7 else 2**60 + i) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "device_id string, sensor string, ts_ns long, seq long, x double, extra long")
+    settings = [Trigger(0.2, 1.5, 8, heartbeat_s=10.00001), Trigger(0.5, 1e9, 8, heartbeat_s=10.00001), Trigger(0.3, 0.9, 8, heartbeat_s=None)]
+    expected = exactly(delta.send_on_delta(df, settings, max_rows=None))
+    for n in (25, 1500, 4000):
+        cut = delta.send_on_delta(df, settings, max_rows=n)
+        assert exactly(cut) == expected
+        assert all(r.extra is None or r.extra == 2**60 + r.seq - 2**53 - 1 for r in cut.select("extra", "seq").collect())
 
 
 @pytest.mark.parametrize("seed", range(8))

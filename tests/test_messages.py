@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tauflow.functions import quantize, signals, wire
-from tauflow.operators import validate
+from tauflow.operators import packets, validate
 from tauflow.sources import messages
 
 
@@ -135,3 +135,23 @@ def test_clock_drift(spark):
     assert pushed == ["step_system", "step_rtc", "none"]
     off = [r.d.action for r in df.select(signals.clock_drift(df.s, df.r, 1.0).alias("d")).collect()]
     assert off == ["step_system", "step_system", "none"]
+
+
+def test_recorded_sizes_are_kept_row_by_row(spark):
+    rows = [("dev-1", "mic_rms", i, 10**18 + i, 1.0, 1.0, 0.0, 3.0, 6, "slow_10kbps", "periodic", 100 if i < 4 else None) for i in range(8)]
+    names = "device_id string, sensor string, seq long, ts_ns long, val double, pred double, res double, tau double, kbits int, profile string, policy string"
+    df = spark.createDataFrame(rows, f"{names}, mqtt_bytes int")
+    computed = {r.seq: r.mqtt_bytes for r in packets.with_event_bytes(df.drop("mqtt_bytes")).collect()}
+    got = {r.seq: r.mqtt_bytes for r in packets.with_event_bytes(df).collect()}
+    assert got == {i: 100 if i < 4 else computed[i] for i in range(8)} and computed[5] > 100
+
+
+def test_no_work_folder_without_a_setting_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tauflow.session import work_folder
+
+    unset = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(getConf=lambda: unset, master="yarn", applicationId="x")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_folder(SimpleNamespace(conf=unset, sparkContext=context), "logs")
