@@ -41,6 +41,9 @@ CUT_NAMES = frozenset(
     " sidebar widget widgets related recommended recommendations share sharing social comment comments disqus reply replies"
     " popup modal overlay toolbar pagination pager paging skip footer topbar masthead".split()
 )
+CUT_ARTICLES = frozenset("comment comments reply replies related recommended ad ads advert promo sponsored".split())
+TITLED = frozenset("post entry article content story".split())
+HEADINGS = frozenset("h1 h2 h3 hgroup".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 CLOSED_BY = {  # an open element that a new one of these ends
     "p": BLOCKS - {"body", "html", "head", "option", "optgroup"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
@@ -80,8 +83,13 @@ def _is_clutter(tag: str, attributes: str, inside_article: bool) -> bool:
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name == "hidden" or name == "style" and _NOT_SHOWN.search(value) or name == "role" and value.strip() in CUT_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and not CUT_NAMES.isdisjoint(_PARTS.split(value)):
-            return True
+        if name in ("class", "id") and tag not in ("body", "html", "main"):
+            parts = set(_PARTS.split(value))
+            if parts & (CUT_ARTICLES if tag == "article" else CUT_NAMES):
+                return True
+            # The head of the page, but not that of a post, which holds its title.
+            if "header" in parts and not inside_article and tag not in HEADINGS and tag != "article" and not parts & TITLED:
+                return True
     return False
 
 
@@ -204,12 +212,22 @@ def content_nodes(root: Node) -> list[Node]:
     while todo:
         n = todo.pop()
         if id(n) in marked:
-            out.append(n)
+            out += [*_headings_before(n), n]
         else:
             todo.extend(reversed(n.children))
     return out or [body]
 
 
+def _headings_before(node: Node) -> list[Node]:
+    """Headings that stand right before a node, among the children of its parent."""
+    found: list[Node] = []
+    for n in node.parent.children if node.parent is not None else []:
+        if n is node:
+            return found
+        found = [*found, n] if n.tag in HEADINGS else []
+    return []
+
+
 def _holds(outer: Node, inner: Node) -> bool:
     while inner is not None:
         if inner is outer:

@@ -179,6 +179,8 @@ PAGES = {
     "<div class='cookie-notice'>c</div><div><p>long enough text of the page, really</p><p>and more of it here</p></div>":
         "long enough text of the page, really\nand more of it here",
     "<main><p>kept</p><section id=comments><p>dropped</p></section><script>var a='</p>';</script></main>": "kept",
+    "<div id=header><h1>Site</h1></div><div><h1>Title</h1><div><p>one longer paragraph of text</p><p>and another of them</p></div></div>":
+        "Title\none longer paragraph of text\nand another of them",
     "<p>a <!-- b --> c<![CDATA[d]]></p>": "a cd", "<p title='x>y'>q</p><p hidden>no</p>": "q",
 }
 
