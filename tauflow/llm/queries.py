@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tauflow.llm import decontaminate, html_text, line_dedup, mixing, quality, repetition, secrets, simhash, toxicity, warc
 from tauflow.llm.common import read
+from tauflow.llm.sql import LLM_SQL  # noqa: F401, registered by the driver contract
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +20,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.drop("item_ids", "spans")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,4 +55,3 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality, op2_line_dedup, op3_decontamination, op4_toxicity, op5_html_text, op6_warc, op7_mixing, op8_simhash, op9_quality_rules, op10_secrets)
 }
-LLM_SQL: dict[str, str] = {}
