@@ -1,17 +1,22 @@
 """Near-duplicate lines by an exact set-similarity join, with DataFrame functions only.
 
-A line is the set of its tokens (runs without white space). Two lines match if the Jaccard similarity of their sets is
+A line is the set of its tokens (runs without space, tab or carriage return). Two lines match if the Jaccard similarity of their sets is
 at least NUM / DEN. Every line that matches an earlier one (by doc_id, then line number) is removed, equal lines of course
 among them. Lines of fewer than ``LEAST`` different tokens (headings, blank lines) are no evidence of copying and stay.
 
 1. Equal lines become one row, the first occurrence, in a partial aggregate, however many copies there are.
 2. Tokens are ordered by rarity: counts of all tokens, hashed into ``BUCKETS`` levels of one byte.
-3. A line meets the earliest line that shares one of its three min-hashes: one comparison per key, so large groups of
-   near copies are settled without pairing their members. This only saves work; it decides nothing on its own.
+3. A line meets the earliest line that shares two of its extreme token hashes (the two least, the two largest, or the least and
+   the largest): one comparison each, so large groups of near copies are settled without pairing their members. This only
+   saves work; it decides nothing on its own.
 4. All other pairs: the prefix of a line (the tokens of which a match must share one) is joined by token with the
-   shorter prefix of lines at most as long; length, position and a 64-bit bitmap of the set rule out pairs inside the join.
+   shorter prefix of lines at most as long; length, position and a 128-bit parity bitmap of the set rule out pairs inside the join
+   (a token in one of two sets only changes one bit, so the sets differ in at least as many tokens as bits).
    Pairs of which both lines are settled are left out.
-5. What is left is verified on the texts.
+5. What is left is verified on the texts. If the lines concerned are at most ``FEW``, their ids are broadcast to fetch the
+   texts; beyond, all lines are shuffled for it.
+
+Between the steps tables are written to the shared folder and the shuffle files of the step before are let go.
 
 Null texts have no lines. Null ids sort first. Rows of equal doc_id and text share one result and each get their row.
 Long lines and texts are taken whole. Extra columns are carried along as fields of ``_doc``.
@@ -20,6 +25,7 @@ Long lines and texts are taken whole. Extra columns are carried along as fields
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -27,12 +33,22 @@ from pyspark.sql import functions as F
 
 from tauflow.llm.common import packed, shared_folder
 
-NUM, DEN, LEAST, BUCKETS, MIN_HASHES = 4, 5, 5, 1 << 17, 3
+NUM, DEN, LEAST, BUCKETS, FEW = 4, 5, 5, 1 << 17, 1_000_000
+ENDS = ((1, 2), (-1, -2), (1, -1))
 
 
 def tokens_of(line: Column) -> Column:
     """Different tokens of a line."""
-    return F.array_distinct(F.array_remove(F.split(F.translate(line, "\t\n\x0b\x0c\r", "     "), " "), ""))
+    return F.array_distinct(_words(line))
+
+
+def _words(text: Column) -> Column:
+    return F.array_remove(_pieces(text), "")
+
+
+def _pieces(text: Column) -> Column:
+    """Tokens, and an empty text for each further space in a row."""
+    return F.split(F.replace(F.replace(text, F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" ")), " ")
 
 
 def lines_of(text: Column) -> Column:
@@ -40,9 +56,14 @@ def lines_of(text: Column) -> Column:
 
 
 def _release(spark) -> None:
-    """Let Spark delete the shuffle files of finished steps now; it does so once their tables are garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished steps now; it does so once their tables are garbage.
+
+    Twice, with a pause: Python gives up its handles on the driver's objects in the background.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.5)
+        spark.sparkContext._jvm.System.gc()
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -55,16 +76,12 @@ def _ceil(a: Column, b: int) -> Column:
     return F.floor((a + (b - 1)) / b).cast("int")
 
 
-def _least_overlap(a: Column, b: Column) -> Column:
-    return _ceil((a + b) * NUM, NUM + DEN)
-
-
 def token_levels(docs: DataFrame) -> bytes:
     """One byte per bucket: how often its tokens occur in all texts, on a logarithmic scale of 0 to 126.
 
     Counting is a partial aggregate over all texts; BUCKETS bytes reach the driver, whatever the input.
     """
-    words = docs.select(F.explode(F.split(F.translate("text", "\t\n\x0b\x0c\r", "     "), " ")).alias("t")).where("t <> ''")
+    words = docs.select(F.explode(_pieces(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("t")).where("t <> ''")
     found = words.groupBy(F.pmod(F.xxhash64("t"), F.lit(BUCKETS)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     level = F.least(F.floor(2.5 * F.log2(F.col("n") + 1)), F.lit(126)).cast("int")
     every = docs.sparkSession.range(BUCKETS).join(found, F.col("id") == F.col("b"), "left")
@@ -74,51 +91,58 @@ def token_levels(docs: DataFrame) -> bytes:
 
 
 def first_lines(docs: DataFrame) -> DataFrame:
-    """Different lines of at least LEAST tokens, each with the place of its first occurrence."""
+    """Different lines of at least LEAST words, each with the place of its first occurrence."""
     text = F.coalesce("text", F.lit(""))
-    lines = docs.select("doc_id", F.xxhash64(text).alias("_text"), F.posexplode(lines_of(F.col("text"))).alias("line_no", "line"))
-    lines = lines.where(F.size(tokens_of(F.col("line"))) >= LEAST)
+    rows = docs.select("doc_id", F.xxhash64(text).alias("_text"), lines_of(F.col("text")).alias("_lines"))
+    lines = rows.select("doc_id", "_text", F.posexplode("_lines").alias("line_no", "line"))
+    # Lines with too few words are left out here, those with too few different ones when tokens are hashed.
+    lines = lines.where(F.size(_words(F.col("line"))) >= LEAST)
     place = F.struct("doc_id", "line_no", "_text", "line")
     first = lines.groupBy(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2")).agg(F.min(place).alias("f"))
     return first.select("f.*")
 
 
 def with_prefixes(lines: DataFrame, levels: bytes) -> DataFrame:
-    """Add lid, size, prefix (rarest tokens first), bitmap and min-hashes to the different lines."""
+    """Add lid, size, prefix (rarest tokens first), bitmap and the hashes of extreme tokens to the different lines."""
     table = F.lit(levels)
 
-    def key(t: Column) -> Column:
+    def key(h: Column) -> Column:
         """Orders by rarity, then by hash; tokens that share a key only cost a comparison."""
-        h = F.xxhash64(t)
         level = F.ascii(F.substring(table, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, 1).cast("string"))
         return level.cast("bigint") * (1 << 56) + h.bitwiseAND((1 << 56) - 1)
 
-    rows = lines.withColumn("_k", F.array_sort(F.array_distinct(F.transform(tokens_of(F.col("line")), key))))
-    size = F.size(tokens_of(F.col("line")))
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), (k % 64).cast("int"))
-    rows = rows.select(
+    rows = lines.withColumn("_h", F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), lambda t: F.xxhash64(t)))))
+    rows = rows.where(F.size("_h") >= LEAST).withColumn("_k", F.sort_array(F.transform("_h", key)))
+    size = F.size("_h")
+    return rows.select(
         F.monotonically_increasing_id().alias("lid"), "doc_id", "line_no", "_text", "line", size.alias("size"),
-        F.aggregate("_k", F.lit(0).cast("bigint"), lambda b, k: b.bitwiseOR(bit(k))).alias("bits"),
+        *[_parity(i).alias(f"p{i}") for i in (0, 1)],
         F.slice("_k", F.lit(1), size - _ceil(size * NUM, DEN) + 1).alias("prefix"),
-        F.array(*[_min_hash(i) for i in range(MIN_HASHES)]).alias("mins"),
+        F.array(*[F.xxhash64(F.lit(i), F.element_at("_h", a), F.element_at("_h", b)) for i, (a, b) in enumerate(ENDS)]).alias("ends"),
     )
-    return rows
 
 
-def _min_hash(i: int) -> Column:
-    return F.array_min(F.transform("_k", lambda k: F.xxhash64(F.lit(i), k)))
+def _parity(half: int) -> Column:
+    """64 of 128 parities of the set: each token flips the one bit that seven bits of its hash name."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+
+    def flip(bits: Column, h: Column) -> Column:
+        bit = F.call_function("shiftleft", one, h.bitwiseAND(63).cast("int"))
+        return F.when(h.bitwiseAND(64) == 64 * half, bits.bitwiseXOR(bit)).otherwise(bits)
 
+    return F.aggregate("_h", none, flip)
 
-def _may_match(a_size: str, b_size: str, a_bits: str, b_bits: str) -> Column:
-    """Length and bitmap filters; both keep every match."""
-    small, large = F.least(a_size, b_size), F.greatest(a_size, b_size)
-    apart = F.bit_count(F.col(a_bits).bitwiseXOR(F.col(b_bits)))
-    both = F.col(a_size) + F.col(b_size)
-    return (large * NUM <= small * DEN) & (apart <= both - 2 * _least_overlap(F.col(a_size), F.col(b_size)))
+
+def _apart(a: str, b: str) -> Column:
+    """At least so many tokens are in one of two sets only."""
+    return sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in (0, 1)), F.lit(0))
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Line ids (x) that match an earlier line among the pairs (a, b)."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+    if needed.count() <= FEW:
+        lines = lines.join(F.broadcast(needed), F.col("lid") == F.col("n"), "left_semi")
     side = lambda p: lines.select(
         F.col("lid").alias(p), F.struct("doc_id", "line_no", "_text").alias(f"at_{p}"), F.col("line").alias(f"line_{p}"), F.col("size").alias(f"size_{p}")
     )
@@ -129,28 +153,33 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(lines: DataFrame) -> DataFrame:
-    keyed = lines.select("lid", "doc_id", "line_no", "_text", "size", "bits", F.posexplode("mins").alias("which", "key"))
-    hub = F.min(F.struct("doc_id", "line_no", "_text", F.col("lid").alias("b"), F.col("size").alias("b_size"), F.col("bits").alias("b_bits")))
-    hubs = keyed.groupBy("which", "key").agg(hub.alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = keyed.select(F.col("lid").alias("a"), "size", "bits", "which", "key").join(hubs.select("which", "key", "hub.b", "hub.b_size", "hub.b_bits"), ["which", "key"])
-    return met.where((F.col("a") != F.col("b")) & _may_match("size", "b_size", "bits", "b_bits")).select("a", "b").distinct()
+    # The order is that of the places but for ids or lines beyond 2^43 and 2^20; it only chooses whom a line meets.
+    order = F.shiftleft("doc_id", 20) + F.least("line_no", F.lit((1 << 20) - 1))
+    keyed = lines.select("lid", "size", "p0", "p1", order.alias("order"), F.explode("ends").alias("key"))
+    hub = F.min(F.struct("order", F.col("lid").alias("b"), F.col("size").alias("b_size"), F.col("p0").alias("q0"), F.col("p1").alias("q1")))
+    hubs = keyed.groupBy("key").agg(hub.alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub.*").drop("order")
+    met = keyed.drop("order").join(hubs, "key")
+    small, large = F.least("size", "b_size"), F.greatest("size", "b_size")
+    both = F.col("size") + F.col("b_size")
+    like = (large * NUM <= small * DEN) & (_apart("p", "q") <= both - 2 * _ceil(both * NUM, NUM + DEN))
+    return met.where((F.col("lid") != F.col("b")) & like).select(F.col("lid").alias("a"), "b").distinct()
 
 
 def _prefix_pairs(lines: DataFrame) -> DataFrame:
     """Pairs by prefix, length, position and bitmap; ``lines`` have a flag ``settled``."""
     def entries(p: str, tokens: Column) -> DataFrame:
         rows = lines.select(
-            F.posexplode(tokens).alias("i", "token"), F.col("lid").alias(p), F.col("bits").alias(f"{p}_bits"), "size", "settled"
+            F.posexplode(tokens).alias("i", "token"), F.col("lid").alias(p), F.col("p0").alias(f"{p}0"), F.col("p1").alias(f"{p}1"), "size", "settled"
         )
         packed = F.col("i").cast("bigint") + F.col("size").cast("bigint") * (1 << 24) + F.when(F.col("settled"), 1 << 56).otherwise(0)
-        return rows.select("token", p, f"{p}_bits", packed.alias(f"{p}_info"))
+        return rows.select("token", p, f"{p}0", f"{p}1", packed.alias(f"{p}_info"))
 
     size = F.col("size")
     index = F.slice("prefix", F.lit(1), size - _ceil(size * (2 * NUM), NUM + DEN) + 1)
     x, y = entries("a", F.col("prefix")), entries("b", index)
     part = lambda p, shift, width: F.shiftright(f"{p}_info", shift).bitwiseAND((1 << width) - 1).cast("int")
     (ai, asize, asettled), (bi, bsize, bsettled) = [(part(p, 0, 24), part(p, 24, 32), part(p, 56, 1)) for p in "ab"]
-    apart = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits")))
+    apart = _apart("a", "b")
     need = F.floor((NUM * (asize + bsize) + NUM + DEN - 1) / (NUM + DEN))
     once = (bsize < asize) | (bsize == asize) & (F.col("b") < F.col("a"))
     room = F.least(asize - ai, bsize - bi)  # positions count from 0: the shared token and those after it
@@ -163,13 +192,17 @@ def copied_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     lines = _stored(with_prefixes(first_lines(docs), token_levels(docs)), "lines")
     _release(spark)
-    near = _stored(_verified(_hub_pairs(lines), lines), "settled")
+    hubs = _stored(_hub_pairs(lines), "hubs")
+    _release(spark)
+    near = _stored(_verified(hubs, lines), "settled")
     _release(spark)
     flagged = lines.join(near.select(F.col("x").alias("lid"), F.lit(True).alias("s")), "lid", "left")
-    flagged = flagged.select("lid", "size", "bits", "prefix", F.col("s").isNotNull().alias("settled"))
+    flagged = flagged.select("lid", "size", "p0", "p1", "prefix", F.col("s").isNotNull().alias("settled"))
     pairs = _stored(_prefix_pairs(flagged), "pairs")
     _release(spark)
-    removed = near.unionByName(_verified(pairs, lines)).distinct()
+    later = _stored(_verified(pairs, lines), "later")
+    _release(spark)
+    removed = near.unionByName(later).distinct()
     kept = lines.select("lid", "doc_id", "_text", "line_no").join(removed, F.col("lid") == F.col("x"), "left_anti")
     return kept.groupBy("doc_id", "_text").agg(F.array_sort(F.collect_list("line_no")).alias("kept"))
 

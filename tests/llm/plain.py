@@ -74,7 +74,7 @@ def without_copied_lines(docs):
     for doc, text in sorted(set(docs), key=lambda d: (d[0] is not None, d[0] or 0)):
         kept = []
         for line in [] if text is None else text.split("\n"):
-            tokens = frozenset(SPACED.findall(line))
+            tokens = frozenset(re.findall(r"[^\x20\x09\x0D]+", line))
             if len(tokens) < 5:
                 kept.append(line)
                 continue
