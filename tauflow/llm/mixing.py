@@ -75,7 +75,9 @@ def posteriors(docs: DataFrame, labels: DataFrame, training: DataFrame | None =
     text = F.coalesce("text", F.lit(""))
     # A null word stands for the row itself, so that rows without words stay.
     all_words = F.concat(F.array(F.lit(None).cast("string")), _words(F.col("text")))
-    words = docs.select("doc_id", F.xxhash64(text).alias("_key"), F.explode(all_words).alias("w")).where("w is null or w <> ''")
+    # Two steps: beside explode, the hash of the text would be worked out anew for every word.
+    rows = docs.select("doc_id", F.xxhash64(text).alias("_key"), all_words.alias("_words"))
+    words = rows.select("doc_id", "_key", F.explode("_words").alias("w")).where("w is null or w <> ''")
     words = words.select("doc_id", "_key", F.when(F.col("w").isNull(), -1).otherwise(_bucket(F.col("w"))).alias("bucket"))
     met = words.join(F.broadcast(table), "bucket", "left")  # BUCKETS rows, less than 1 MB
     summed = met.groupBy("doc_id", "_key").agg(
@@ -116,13 +118,17 @@ def fit(found: DataFrame, targets: tuple[float, ...] = TARGETS) -> list[list[flo
     own, gram = np.array(sums[: len(DOMAINS)]), np.array(sums[len(DOMAINS) :]).reshape(len(DOMAINS), -1)
     wanted = np.where(own > 0, targets, 0.0)
     steps: list[list[float]] = []
+    last = None
     if wanted.sum() > 0:
         lead = int(wanted.argmax())
         goal, inverse = wanted / wanted[lead] * own[lead], np.linalg.pinv(gram, hermitian=True)
         for _ in range(STEPS):
             gaps = np.array(total(*[s * _rate(steps) for s in shares])) - goal
-            if np.all(np.abs(gaps) <= CLOSE * np.maximum(own, 1.0)):
+            # Done if the totals are met, or if they no longer move (targets that no rates can meet).
+            size = CLOSE * np.maximum(own, 1.0)
+            if np.all(np.abs(gaps) <= size) or last is not None and np.all(np.abs(gaps - last) <= size / 10):
                 break
+            last = gaps
             steps.append((inverse @ gaps).tolist())
     cells.unpersist()
     return steps
