@@ -1,10 +1,12 @@
 """Main text of web pages by composite text density.
 
-The page becomes a tree of nodes. Scripts, styles, menus, headers, footers, asides, forms and nodes whose
-class, id or role says advert, notice, comments and the like are cut out. For every node left, the composite density
-weighs characters per tag down where much of the text is in links; a node's density sum is that of its children. The
-node with the largest sum is the content; the least density on its path up to the body is the threshold, and other
-subtrees above it give their largest-sum node, too. Inside an ``article`` or ``main`` the whole of it counts.
+The page becomes a tree of all nodes that are shown, menus and footers among them; scripts, styles and hidden nodes
+have no shown text. For every node the composite density weighs characters per tag down where much of the text is in links
+(on a page without any link it is characters per tag); a node's density sum is that of its children, text that stands
+right in the node counting as one. The node with the largest sum is the content; the least density on its path up to the
+body is the threshold, and other subtrees above it give their largest-sum node, too. Only then menus, headers, footers,
+asides, forms and nodes whose class, id or role says advert, notice, comments and the like are cut out of what was chosen (a
+node inside one is never chosen). Inside an ``article`` or ``main`` the whole of it counts.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed. Null
 and empty pages give an empty text; broken and unclosed tags are read like a browser would nearly do; pages of any
@@ -31,10 +33,8 @@ BLOCKS = frozenset(
     " h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot"
     " th thead tr ul".split()
 )
-CUT_TAGS = frozenset(
-    "head script style noscript template svg math iframe object embed canvas audio video nav footer aside form button select"
-    " textarea input dialog menu title".split()
-)
+NOT_SHOWN_TAGS = frozenset("head script style noscript template svg math iframe object embed canvas audio video title".split())
+CUT_TAGS = frozenset("nav footer aside form button select textarea input dialog menu".split())
 CUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent"
     " gdpr notice notices alert newsletter subscribe subscription signup login menu nav navbar navigation breadcrumb breadcrumbs"
@@ -64,16 +64,26 @@ PAGE = record(text="string", n_chars="long")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "cut")
+    __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "hidden", "cut")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool):
-        self.tag, self.parent, self.cut = tag, parent, cut
+    def __init__(self, tag: str, parent: Node | None, hidden: bool, cut: bool):
+        self.tag, self.parent, self.hidden, self.cut = tag, parent, hidden, cut
         self.children: list[Node] = []
         self.parts: list = []  # texts and child nodes in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
+def _is_hidden(tag: str, attributes: str) -> bool:
+    if tag in NOT_SHOWN_TAGS:
+        return True
+    for m in _ATTRIBUTE.finditer(attributes):
+        name = m[1].lower()
+        if name == "hidden" or name == "style" and _NOT_SHOWN.search((m[2] or "").lower()):
+            return True
+    return False
+
+
 def _is_clutter(tag: str, attributes: str, inside_article: bool) -> bool:
     if tag in CUT_TAGS or tag == "header" and not inside_article:
         return True
@@ -81,7 +91,7 @@ def _is_clutter(tag: str, attributes: str, inside_article: bool) -> bool:
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name == "hidden" or name == "style" and _NOT_SHOWN.search(value) or name == "role" and value.strip() in CUT_ROLES:
+        if name == "role" and value.strip() in CUT_ROLES:
             return True
         if name in ("class", "id") and tag not in ("body", "html", "main"):
             parts = set(_PARTS.split(value))
@@ -94,21 +104,21 @@ def _is_clutter(tag: str, attributes: str, inside_article: bool) -> bool:
 
 
 def parse(page: str) -> Node:
-    """Tree of the page; what is cut out is left off the tree."""
-    root = Node("html", None, False)
+    """Tree of the page; what is not shown is left off the tree, clutter is in it and marked as cut."""
+    root = Node("html", None, False, False)
     here, at, articles = root, 0, 0
     opened: list[Node] = [root]
     while True:
         m = _MARKUP.search(page, at)
         text = page[at : m.start() if m else len(page)]
-        if text and not here.cut:
+        if text and not here.hidden:
             here.parts.append(text)
         if not m:
             return root
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
-            if m[0].startswith("<![CDATA[") and not here.cut:
+            if m[0].startswith("<![CDATA[") and not here.hidden:
                 here.parts.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
         if m[1] or m[4]:
@@ -131,10 +141,11 @@ def parse(page: str) -> Node:
         if tag in ("html", "body") and any(n.tag == tag for n in opened[1 if tag == "body" else 0 :]):
             continue
         attributes = m[3] or m[6] or ""
-        node = Node(tag, here, here.cut or _is_clutter(tag, attributes, articles > 0))
-        if not here.cut:
+        hidden = here.hidden or _is_hidden(tag, attributes)
+        node = Node(tag, here, hidden, hidden or here.cut or _is_clutter(tag, attributes, articles > 0))
+        if not here.hidden:
             here.parts.append(node)
-            if not node.cut:
+            if not hidden:
                 here.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
@@ -155,11 +166,23 @@ def _in_order(root: Node) -> list[Node]:
     return out
 
 
+def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Composite density; ``share`` is that of the page's characters in links."""
+    if not chars:
+        return 0.0
+    base = log(chars / max(chars - link_chars, 1) * link_chars + share * chars + e)
+    if base <= 1:  # no link on the page
+        return chars / max(tags, 1)
+    worth = chars / max(link_chars, 1) * max(tags, 1) / max(link_tags, 1)
+    return chars / max(tags, 1) * max(log(worth) / log(base), 0.0)
+
+
 def weigh(root: Node) -> list[Node]:
     """Fill in characters, tags, link shares, density and density sum of every node; returns them parents first."""
     nodes = _in_order(root)
+    own = {id(n): sum(len("".join(p.split())) for p in n.parts if isinstance(p, str)) for n in nodes}
     for n in reversed(nodes):
-        n.chars += sum(len("".join(p.split())) for p in n.parts if isinstance(p, str))
+        n.chars += own[id(n)]
         if n.tag == "a":
             n.link_chars, n.link_tags = n.chars, n.link_tags + 1
         if n.parent is not None:
@@ -169,13 +192,10 @@ def weigh(root: Node) -> list[Node]:
     body = next((n for n in nodes if n.tag == "body"), root)
     share = body.link_chars / body.chars if body.chars else 0.0
     for n in nodes:
-        if n.chars:
-            plain = max(n.chars - n.link_chars, 1)
-            base = log(n.chars / plain * n.link_chars + share * n.chars + e)
-            worth = n.chars / max(n.link_chars, 1) * max(n.tags, 1) / max(n.link_tags, 1)
-            n.density = n.chars / max(n.tags, 1) * max(log(worth) / log(base), 0.0) if base > 1 else 0.0
+        n.density = _density(n.chars, n.tags, n.link_chars, n.link_tags, share)
     for n in nodes:
-        n.total = sum(c.density for c in n.children)
+        linked = own[id(n)] if n.tag == "a" else 0
+        n.total = _density(own[id(n)], 1, linked, linked and 1, share) + sum(c.density for c in n.children)
     return nodes
 
 
@@ -183,8 +203,8 @@ def content_nodes(root: Node) -> list[Node]:
     """Nodes that hold the article, outermost only, in page order."""
     nodes = weigh(root)
     body = next((n for n in nodes if n.tag == "body"), root)
-    inside = _in_order(body)
-    best = max(inside, key=lambda n: n.total)
+    inside = [n for n in _in_order(body) if not n.cut]
+    best = max(inside, key=lambda n: n.total, default=body)
     if best.total <= 0:
         return [body]
     path = best
@@ -200,14 +220,14 @@ def content_nodes(root: Node) -> list[Node]:
     # Largest sum in each subtree, bottom up; a subtree counts if its density reaches the threshold.
     top: dict[int, Node] = {}
     for n in reversed(inside):
-        top[id(n)] = max([n, *[top[id(c)] for c in n.children]], key=lambda x: x.total)
+        top[id(n)] = max([n, *[top[id(c)] for c in n.children if not c.cut]], key=lambda x: x.total)
     todo = [body]
     while todo:
         n = todo.pop()
         if n.density >= threshold:
             if top[id(n)].total > 0:
                 marked.add(id(top[id(n)]))
-            todo.extend(n.children)
+            todo.extend(c for c in n.children if not c.cut)
     out, todo = [], [body]
     while todo:
         n = todo.pop()

@@ -225,3 +225,27 @@ def test_records_keep_their_payloads(spark):
     assert bytes(row.answer.payload).decode() == page and row.request is not None and "page-id: 1" in row.metadata.fields
     with pytest.raises(ValueError):
         list(warc.parse_records(b"WARC/1.1\r\nContent-Length: 10\r\n\r\nabc"))
+
+
+LONG_PARTS = [f"Paragraph {i} of the text goes on for quite some words, so that it is much denser than a list of short labels." for i in range(8)]
+BODY_TEXT = "<div>" + "".join(f"<p>{t}</p>" for t in LONG_PARTS) + "</div>"
+LABELS = "<div class=zz>" + "".join(f"<p><span>Item {i}</span></p>" for i in range(6)) + "</div>"
+MENU = "<nav>" + "".join(f"<a href=/{i}>Page {i}</a>" for i in range(5)) + "</nav>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body>{LABELS}{BODY_TEXT}{LABELS}</body>", f"<body>{MENU}{LABELS}{BODY_TEXT}{LABELS}<footer>Footer text</footer></body>",
+    f"<body>{LABELS}<div>{BODY_TEXT}</div><div class=comments>{BODY_TEXT * 2}</div></body>",
+])
+def test_unnamed_clutter_goes_by_density(page):
+    assert html_text.main_text(page) == "\n".join(LONG_PARTS)
+
+
+def test_links_of_menus_count():
+    nodes = html_text.weigh(html_text.parse(f"<body>{MENU}<p>text</p></body>"))
+    assert {n.tag: n.link_tags for n in nodes}["body"] == 5 and {n.tag: n.density for n in nodes}["p"] > 0
+
+
+def test_paragraphs_and_bare_text_beside_the_best_subtree_stay():
+    assert html_text.main_text(f"<body>{LABELS}<p>{LONG_PARTS[0]}</p><div>{''.join(f'<p>{t}</p>' for t in LONG_PARTS[1:])}</div></body>") == "\n".join(LONG_PARTS)
+    assert html_text.main_text("<body>" + "bare words " * 40 + "<div><p>x y</p><p>z</p></div></body>").startswith("bare words")
