@@ -6,7 +6,8 @@ have no shown text. For every node the composite density weighs characters per t
 right in the node counting as one. The node with the largest sum is the content; the least density on its path up to the
 body is the threshold, and other subtrees above it give their largest-sum node, too. Only then menus, headers, footers,
 asides, forms and nodes whose class, id or role says advert, notice, comments and the like are cut out of what was chosen (a
-node inside one is never chosen). Inside an ``article`` or ``main`` the whole of it counts.
+node inside one is never chosen). A chosen node inside an ``article`` is widened to the whole of it, and then only articles are
+chosen; a ``main`` that holds the largest sum bounds what else is looked at. An article inside the chosen node replaces nothing.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed. Null
 and empty pages give an empty text; broken and unclosed tags are read like a browser would nearly do; pages of any
@@ -212,21 +213,25 @@ def content_nodes(root: Node) -> list[Node]:
     while path is not body and path.parent is not None:
         path = path.parent
         threshold = min(threshold, path.density)
-    marked = set()
-    articles = [n for n in inside if n.tag in ("article", "main") and n.density >= threshold]
-    articles = [n for n in articles if not any(o is not n and _holds(o, n) for o in articles)]
-    if articles and any(_holds(a, best) or _holds(best, a) for a in articles):
-        return articles
+    scope = next((n for n in _path(best) if n.tag == "main"), body)
+    # Each node widened to the outermost article that holds it.
+    widened: dict[int, Node] = {}
+    for n in inside:
+        above = widened.get(id(n.parent), n)
+        widened[id(n)] = above if above.tag == "article" else n
+    in_article = widened[id(best)].tag == "article"
+    marked = {id(widened[id(best)])}
     # Largest sum in each subtree, bottom up; a subtree counts if its density reaches the threshold.
     top: dict[int, Node] = {}
     for n in reversed(inside):
         top[id(n)] = max([n, *[top[id(c)] for c in n.children if not c.cut]], key=lambda x: x.total)
-    todo = [body]
+    todo = [scope]
     while todo:
         n = todo.pop()
         if n.density >= threshold:
-            if top[id(n)].total > 0:
-                marked.add(id(top[id(n)]))
+            wide = widened[id(top[id(n)])]
+            if wide.total > 0 and (wide.tag == "article" or not in_article):
+                marked.add(id(wide))
             todo.extend(c for c in n.children if not c.cut)
     out, todo = [], [body]
     while todo:
@@ -248,12 +253,13 @@ def _headings_before(node: Node) -> list[Node]:
     return []
 
 
-def _holds(outer: Node, inner: Node) -> bool:
-    while inner is not None:
-        if inner is outer:
-            return True
-        inner = inner.parent
-    return False
+def _path(node: Node) -> list[Node]:
+    """The node and all above it, the node first."""
+    out = []
+    while node is not None:
+        out.append(node)
+        node = node.parent
+    return out
 
 
 def blocks_of(node: Node) -> list[str]:

@@ -249,3 +249,13 @@ def test_links_of_menus_count():
 def test_paragraphs_and_bare_text_beside_the_best_subtree_stay():
     assert html_text.main_text(f"<body>{LABELS}<p>{LONG_PARTS[0]}</p><div>{''.join(f'<p>{t}</p>' for t in LONG_PARTS[1:])}</div></body>") == "\n".join(LONG_PARTS)
     assert html_text.main_text("<body>" + "bare words " * 40 + "<div><p>x y</p><p>z</p></div></body>").startswith("bare words")
+
+
+def test_an_embedded_article_does_not_replace_the_text_around_it():
+    parts = "".join(f"<p>{t}</p>" for t in LONG_PARTS)
+    quoted = "<article><p>A quoted post of another author that is not very long.</p></article>"
+    for menu in ("", MENU):
+        text = html_text.main_text(f"<body>{menu}<div>{parts}{quoted}</div></body>")
+        assert text.split("\n") == [*LONG_PARTS, "A quoted post of another author that is not very long."]
+    both = html_text.main_text(f"<body>{MENU}<main><article>{parts}</article><article>{parts}</article>{LABELS}</main></body>")
+    assert both.split("\n") == LONG_PARTS * 2
