@@ -259,3 +259,17 @@ def test_an_embedded_article_does_not_replace_the_text_around_it():
         assert text.split("\n") == [*LONG_PARTS, "A quoted post of another author that is not very long."]
     both = html_text.main_text(f"<body>{MENU}<main><article>{parts}</article><article>{parts}</article>{LABELS}</main></body>")
     assert both.split("\n") == LONG_PARTS * 2
+
+
+def test_rare_and_varied_toxic_words_find_their_examples(spark):
+    ids = [i for i in range(80) if zlib.crc32(str(i).encode()) % 5]
+    # No word of a toxic text is in more than two texts of the sample.
+    rows = [(i, f"plain common words here {i % 7} " + (f"slur{i // 4} vile{i // 4}" if i % 2 else f"kind{i // 4}")) for i in ids]
+    asked = [(1000 + i, f"slur{i // 4} common words") for i in ids if i % 2]
+    table = spark.createDataFrame([*rows, *asked], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(table, marks).collect()}
+    texts = dict(rows)
+    assert all(got[d].evidence and f"{t.split()[0]} " in f"{texts[got[d].evidence[0]]} " and t.split()[0] in got[d].terms for d, t in asked)
+    index = toxicity.train(table, marks)
+    assert set(index.terms) == {w for t in texts.values() for w in t.split()} and (index.idf > 0).all()
