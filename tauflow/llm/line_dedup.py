@@ -2,7 +2,7 @@
 
 A line is the set of its tokens (runs without space, tab or carriage return). Two lines match if the Jaccard similarity of their sets is
 at least NUM / DEN. Every line that matches an earlier one (by doc_id, then line number) is removed, equal lines of course
-among them. Lines of fewer than ``LEAST`` different tokens (headings, blank lines) are no evidence of copying and stay.
+among them, however short a line is. Lines without a token (blank lines) stay.
 
 1. Equal lines become one row, the first occurrence, in a partial aggregate, however many copies there are.
 2. Tokens are ordered by rarity: counts of all tokens, hashed into ``BUCKETS`` levels of one byte.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tauflow.llm.common import packed, shared_folder
 
-NUM, DEN, LEAST, BUCKETS, FEW = 4, 5, 5, 1 << 17, 1_000_000
+NUM, DEN, BUCKETS, FEW = 4, 5, 1 << 17, 1_000_000
 ENDS = ((1, 2), (-1, -2), (1, -1))
 
 
@@ -91,12 +91,11 @@ def token_levels(docs: DataFrame) -> bytes:
 
 
 def first_lines(docs: DataFrame) -> DataFrame:
-    """Different lines of at least LEAST words, each with the place of its first occurrence."""
+    """Different lines of at least one token, each with the place of its first occurrence."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("_text"), lines_of(F.col("text")).alias("_lines"))
     lines = rows.select("doc_id", "_text", F.posexplode("_lines").alias("line_no", "line"))
-    # Lines with too few words are left out here, those with too few different ones when tokens are hashed.
-    lines = lines.where(F.size(_words(F.col("line"))) >= LEAST)
+    lines = lines.where(F.size(_words(F.col("line"))) > 0)
     place = F.struct("doc_id", "line_no", "_text", "line")
     first = lines.groupBy(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2")).agg(F.min(place).alias("f"))
     return first.select("f.*")
@@ -112,13 +111,13 @@ def with_prefixes(lines: DataFrame, levels: bytes) -> DataFrame:
         return level.cast("bigint") * (1 << 56) + h.bitwiseAND((1 << 56) - 1)
 
     rows = lines.withColumn("_h", F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), lambda t: F.xxhash64(t)))))
-    rows = rows.where(F.size("_h") >= LEAST).withColumn("_k", F.sort_array(F.transform("_h", key)))
+    rows = rows.withColumn("_k", F.sort_array(F.transform("_h", key)))
     size = F.size("_h")
     return rows.select(
         F.monotonically_increasing_id().alias("lid"), "doc_id", "line_no", "_text", "line", size.alias("size"),
         *[_parity(i).alias(f"p{i}") for i in (0, 1)],
         F.slice("_k", F.lit(1), size - _ceil(size * NUM, DEN) + 1).alias("prefix"),
-        F.array(*[F.xxhash64(F.lit(i), F.element_at("_h", a), F.element_at("_h", b)) for i, (a, b) in enumerate(ENDS)]).alias("ends"),
+        F.array(*[F.xxhash64(F.lit(i), F.try_element_at("_h", F.lit(a)), F.try_element_at("_h", F.lit(b))) for i, (a, b) in enumerate(ENDS)]).alias("ends"),
     )
 
 
@@ -188,7 +187,7 @@ def _prefix_pairs(lines: DataFrame) -> DataFrame:
 
 
 def copied_lines(docs: DataFrame) -> DataFrame:
-    """Kept places per text: doc_id, _text, kept (numbers of the kept lines among those of at least LEAST tokens)."""
+    """Kept places per text: doc_id, _text, kept (numbers of the kept lines among those with a token)."""
     spark = docs.sparkSession
     lines = _stored(with_prefixes(first_lines(docs), token_levels(docs)), "lines")
     _release(spark)
@@ -210,7 +209,7 @@ def copied_lines(docs: DataFrame) -> DataFrame:
 def remove_copied_lines(docs: DataFrame) -> DataFrame:
     """Documents with copied lines removed: ``_doc`` (the row), text (rewritten), n_lines, n_removed, n_left.
 
-    ``n_left`` counts the lines of at least LEAST tokens that stay.
+    ``n_left`` counts the lines with a token that stay.
     """
     found = copied_lines(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_of"), "kept")
     text = F.col("_doc.text")
@@ -223,8 +222,8 @@ def remove_copied_lines(docs: DataFrame) -> DataFrame:
             F.array_repeat(F.lit(False), k - F.coalesce(F.get(F.col("kept"), i - 1), F.lit(-1)) - 1), F.array(F.lit(True))
         ),
     )
-    short = lambda line: F.size(tokens_of(line)) < LEAST
-    stays = F.zip_with(lines_of(text), F.flatten(gaps), lambda line, flag: F.when(F.coalesce(flag, F.lit(False)) | short(line), line))
+    blank = lambda line: F.size(_words(line)) == 0
+    stays = F.zip_with(lines_of(text), F.flatten(gaps), lambda line, flag: F.when(F.coalesce(flag, F.lit(False)) | blank(line), line))
     rows = rows.select("_doc", "kept", stays.alias("_stays"))
     left = F.array_compact("_stays")
     return rows.select(
@@ -234,6 +233,6 @@ def remove_copied_lines(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """One row per document row: doc_id, n_lines, n_removed, n_left (longer lines that stay), text."""
+    """One row per document row: doc_id, n_lines, n_removed, n_left (lines with a token that stay), text."""
     rows = remove_copied_lines(docs.select("doc_id", "text"))
     return rows.select("_doc.doc_id", "n_lines", "n_removed", "n_left", "text")

@@ -273,3 +273,30 @@ def test_rare_and_varied_toxic_words_find_their_examples(spark):
     assert all(got[d].evidence and f"{t.split()[0]} " in f"{texts[got[d].evidence[0]]} " and t.split()[0] in got[d].terms for d, t in asked)
     index = toxicity.train(table, marks)
     assert set(index.terms) == {w for t in texts.values() for w in t.split()} and (index.idf > 0).all()
+
+
+def near_lines_of_any_length(docs):
+    """Plain join of all lines that have a token."""
+    seen, out = [], {}
+    for doc, text in docs:
+        kept = []
+        for line in text.split("\n"):
+            tokens = set(line.replace("\t", " ").replace("\r", " ").split(" ")) - {""}
+            if not tokens or not any(5 * len(tokens & s) >= 4 * len(tokens | s) for s in seen):
+                kept.append(line)
+            if tokens:
+                seen.append(tokens)
+        out[doc] = "\n".join(kept)
+    return out
+
+
+def test_short_lines_take_part(spark):
+    long = "\u6587" * 300
+    rows = [
+        (1, f"Home\n\nRead more\n{long}\na b c d"), (2, f"Home\n\nmore Read\n{long}\na b c d e"), (3, "Home Home\nown words\na b c"),
+        (4, " Home\n\n \nla la la la la la\na b"), (5, f"la la\nb a\n{long}\n\nown"),
+    ]
+    got = {r.doc_id: (r.text, r.n_left) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = near_lines_of_any_length(rows)
+    assert {d: t for d, (t, _) in got.items()} == expected
+    assert {d: n for d, (_, n) in got.items()} == {d: sum(bool(x.strip()) for x in t.split("\n")) for d, t in expected.items()}
