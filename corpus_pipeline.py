@@ -24,7 +24,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup: copied lines go; a document all of whose longer lines are copies goes as a whole."""
+    """Line dedup: copied lines go; a document goes as a whole only if no line with a token is left."""
     rows = line_dedup.remove_copied_lines(docs).where((F.col("n_removed") == 0) | (F.col("n_left") > 0))
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("bigint")).otherwise(F.col("_doc.n_chars"))
     changed = {"text": F.col("text"), "n_chars": n_chars}

@@ -300,3 +300,13 @@ def test_short_lines_take_part(spark):
     expected = near_lines_of_any_length(rows)
     assert {d: t for d, (t, _) in got.items()} == expected
     assert {d: n for d, (_, n) in got.items()} == {d: sum(bool(x.strip()) for x in t.split("\n")) for d, t in expected.items()}
+
+
+def test_a_document_stays_while_it_has_a_line(spark):
+    import corpus_pipeline
+
+    shared = "one shared line of boilerplate words"
+    rows = [(1, shared, 0), (2, f"{shared}\nown\nshort lines", 0), (3, f"{shared}\n" + "\u6587" * 100, 0), (4, f"{shared}\n \n", 0), (5, "", 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_copied_lines(spark, table, "").collect()}
+    assert got == {1: shared, 2: "own\nshort lines", 3: "\u6587" * 100, 5: ""}
