@@ -93,25 +93,32 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, segments: int = 3) -
 def near_duplicates(docs: DataFrame, text: Column | str = "text", distance: int = DISTANCE) -> DataFrame:
     """One row per document row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     rows = cut(docs.select("doc_id", fingerprint(text).alias("fp")))
+    return rows.join(_components(rows, distance), "fp").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+def _components(rows: DataFrame, distance: int) -> DataFrame:
+    """(fp, root, component_id) for the fingerprints of ``rows`` (doc_id, fp); root tells components apart, whatever the ids."""
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     links = near_links(prints.select("fp"), distance, 3 if prints.count() <= FEW else 2)
     roots = connected_components(links)
     linked = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = linked.join(of_root, "root").select("fp", "component_id")
-    return rows.join(of_print, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    return linked.join(of_root, "root").select("fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Keep one document of each component: the one with the smallest doc_id; columns as they were.
+    """Keep one row of each component: the one with the smallest doc_id (nulls last), then text hash; columns as they were.
 
-    Of rows that share that id the one with the smallest text stays; rows without an id stay (nothing tells which one to keep).
+    Ids need not be unique: rows of one id with unlike texts are in components of their own.
     """
-    found = near_duplicates(docs, distance=distance)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    rows = packed(docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").select(*docs.columns))
-    order = Window.partitionBy("_doc.doc_id").orderBy(F.col("_doc.text"))
-    first = rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select("_doc.*")
-    return first.unionByName(docs.where(F.col("doc_id").isNull()))
+    hashed = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    rows = cut(docs.select("doc_id", hashed.alias("_text"), fingerprint("text").alias("fp")))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")
+    first = rows.join(_components(rows, distance), "fp").groupBy("root").agg(F.min(place).alias("f"))
+    first = first.select(F.col("f.doc_id").alias("_id"), F.col("f._text").alias("_of"))
+    whole = packed(docs).withColumn("_text", F.xxhash64(F.coalesce(F.col("_doc.text"), F.lit(""))))
+    found = whole.join(first, F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_of")), "left_semi")
+    order = Window.partitionBy("_doc.doc_id", "_text").orderBy(F.col("_doc.text").asc_nulls_last())
+    return found.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select("_doc.*")

@@ -310,3 +310,11 @@ def test_a_document_stays_while_it_has_a_line(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.drop_copied_lines(spark, table, "").collect()}
     assert got == {1: shared, 2: "own\nshort lines", 3: "\u6587" * 100, 5: ""}
+
+
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    text = lambda w, n=40: " ".join(f"{w}{i}" for i in range(n))
+    rows = [(7, text("a")), (7, text("b")), (7, text("c")), (None, text("d")), (None, text("d")), (None, text("a")), (3, text("e")), (5, text("e")), (5, text("f"))]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = [(7, text("a")), (7, text("b")), (7, text("c")), (None, text("d")), (3, text("e")), (5, text("f"))]
+    same([tuple(r) for r in kept], expected)
