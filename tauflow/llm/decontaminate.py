@@ -88,9 +88,9 @@ def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, few: int = FEW) -> DataFrame:
-    """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids, spans.
+    """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids, spans, _text.
 
-    ``spans`` are the hit stretches of words: start (from 0) and end.
+    ``spans`` are the hit stretches of words: start (from 0) and end; ``_text`` is the hash of the text that was judged.
     """
     hashes, windows, short = benchmark_windows(benchmark)
     small = windows.count() <= few and hashes.count() <= few
@@ -152,12 +152,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, few: int = FEW) ->
     return out.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.size("_hits") > 0).alias("contaminated"),
-        "item_ids", "spans", F.explode(F.sequence(F.lit(1), F.col("_rows"))).alias("_copy"),
+        "item_ids", "spans", "_text", F.explode(F.sequence(F.lit(1), F.col("_rows"))).alias("_copy"),
     ).drop("_copy")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without any benchmark window, columns as they were; rows with a null id are judged like others."""
-    found = find_contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    rows = packed(docs).join(found, F.col("_doc.doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """Documents without any benchmark window, columns as they were; each text of an id, or of none, is judged by itself."""
+    found = find_contamination(docs, benchmark).where("contaminated")
+    found = found.select(F.col("doc_id").alias("_bad"), F.col("_text").alias("_of")).distinct()
+    rows = packed(docs).withColumn("_text", F.xxhash64(F.coalesce(F.col("_doc.text"), F.lit(""))))
+    rows = rows.join(found, F.col("_doc.doc_id").eqNullSafe(F.col("_bad")) & (F.col("_text") == F.col("_of")), "left_anti")
     return rows.select("_doc.*")

@@ -21,7 +21,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return found.drop("item_ids", "spans")
+    return found.drop("item_ids", "spans", "_text")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -318,3 +318,10 @@ def test_one_row_of_each_group_whatever_the_ids(spark):
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     expected = [(7, text("a")), (7, text("b")), (7, text("c")), (None, text("d")), (3, text("e")), (5, text("f"))]
     same([tuple(r) for r in kept], expected)
+
+
+def test_clean_rows_of_a_contaminated_id_stay(spark):
+    rows = [(1, f"x {PASSAGE}"), (1, "clean text"), (None, PASSAGE), (None, "another clean text"), (2, None)]
+    bench = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    kept = decontaminate.clean_documents(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    same([tuple(r) for r in kept], [rows[1], rows[3], rows[4]])
