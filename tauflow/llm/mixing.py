@@ -8,9 +8,8 @@ under r >= 0 of "totals equal targets", found by projected gradient from r = 1.
 domains' Gram matrix (4 x 4, words times posterior times posterior, summed on the cluster); in that measure the gradient has a
 Lipschitz constant of 1, so the step length is 1 and steps are few.
 
-Documents of equal posterior have equal gradients, so their rates stay equal: posteriors are rounded to 1 / ``GRID`` and
-the fit runs over the different rounded posteriors with their summed words (at most some thousand rows, whatever
-the corpus), a Spark aggregate per step. A rate is a function of the posterior and of the steps taken, so it is computed
+The Gram matrix and the totals are sums over the documents' unrounded posteriors, a Spark aggregate per step over a narrow
+table. A rate is a function of the posterior and of the steps taken, so it is computed
 in the row that needs it; no table of rates is joined or sent anywhere.
 
 The wanted total is chosen so that the domain of the largest target keeps its words (rate about 1). Domains without words get no share.
@@ -31,7 +30,7 @@ from tauflow.llm.common import kept_for_reuse, labelled_sample, packed
 #: (quality, toxic) of each domain, and the wanted shares of words.
 DOMAINS = ((0, 0), (0, 1), (1, 0), (1, 1))
 TARGETS = (0.04, 0.01, 0.93, 0.02)
-SAMPLE, BUCKETS, EFFECTIVE, GRID, STEPS, CLOSE = 2000, 1 << 14, 200.0, 20, 40, 1e-3
+SAMPLE, BUCKETS, EFFECTIVE, STEPS, CLOSE = 2000, 1 << 14, 200.0, 40, 1e-3
 _D = range(len(DOMAINS))
 
 
@@ -67,7 +66,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[float]]:
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None) -> DataFrame:
-    """doc_id, _key, copies, n_tokens and the rounded posterior k0, k1, ... (whole numbers that share 1).
+    """doc_id, _key, copies, n_tokens and the posterior k0, k1, ... (sum 1).
 
     The classifier learns from the labelled texts of ``training``, by default of ``docs``.
     """
@@ -90,12 +89,11 @@ def posteriors(docs: DataFrame, labels: DataFrame, training: DataFrame | None =
     top = F.greatest(*[f"l{d}" for d in _D])
     logs = logs.select("doc_id", "_key", "copies", "n_tokens", *[F.exp(F.col(f"l{d}") - top).alias(f"e{d}") for d in _D])
     whole = sum((F.col(f"e{d}") for d in _D), F.lit(0.0))
-    return logs.select("doc_id", "_key", "copies", "n_tokens", *[F.round(F.col(f"e{d}") / whole * GRID).cast("int").alias(f"k{d}") for d in _D])
+    return logs.select("doc_id", "_key", "copies", "n_tokens", *[(F.col(f"e{d}") / whole).alias(f"k{d}") for d in _D])
 
 
 def _shares() -> list[Column]:
-    whole = sum((F.col(f"k{d}") for d in _D), F.lit(0))
-    return [F.col(f"k{d}") / whole for d in _D]
+    return [F.col(f"k{d}") for d in _D]
 
 
 def _rate(steps: list[list[float]]) -> Column:
@@ -109,9 +107,8 @@ def _rate(steps: list[list[float]]) -> Column:
 
 
 def fit(found: DataFrame, targets: tuple[float, ...] = TARGETS) -> list[list[float]]:
-    """Steps of the projected gradient; each is one aggregate over the different posteriors."""
-    keys = [f"k{d}" for d in _D]
-    cells = kept_for_reuse(found.groupBy(*keys).agg(F.sum(F.col("n_tokens") * F.col("copies")).cast("double").alias("n")))
+    """Steps of the projected gradient; each is one aggregate over all documents."""
+    cells = found.select(*[f"k{d}" for d in _D], (F.col("n_tokens") * F.col("copies")).cast("double").alias("n"))
     shares, pairs = _shares(), [(a, b) for a in _D for b in _D]
     total = lambda *columns: [float(x or 0.0) for x in cells.agg(*[F.sum(F.col("n") * c) for c in columns]).first()]
     sums = total(*shares, *[shares[a] * shares[b] for a, b in pairs])
@@ -130,7 +127,6 @@ def fit(found: DataFrame, targets: tuple[float, ...] = TARGETS) -> list[list[flo
                 break
             last = gaps
             steps.append((inverse @ gaps).tolist())
-    cells.unpersist()
     return steps
 
 

@@ -325,3 +325,19 @@ def test_clean_rows_of_a_contaminated_id_stay(spark):
     bench = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
     kept = decontaminate.clean_documents(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
     same([tuple(r) for r in kept], [rows[1], rows[3], rows[4]])
+
+
+def test_totals_of_unrounded_posteriors_meet_the_targets(spark):
+    n = [1000 + i for i in range(200)]
+    kinds = [(0.02, 0.004, 0.964, 0.012)] * 9 + [(0.9, 0.02, 0.06, 0.02), (0.02, 0.9, 0.06, 0.02), (0.02, 0.02, 0.06, 0.9)]
+    shares = [kinds[i % len(kinds)] for i in range(200)]  # most are below half of 1/20
+    columns = "k0 double, k1 double, k2 double, k3 double, n_tokens long, copies long"
+    found = spark.createDataFrame([(*p, w, 1) for p, w in zip(shares, n)], columns)
+    rated = found.withColumn("rate", mixing._rate(mixing.fit(found))).collect()
+    totals = [sum(r.rate * r.n_tokens * r[f"k{d}"] for r in rated) for d in range(4)]
+    assert all(abs(t / sum(totals) - x) < 1e-3 for t, x in zip(totals, mixing.TARGETS))
+
+
+def test_posteriors_are_not_rounded(spark, docs, labels):
+    rows = mixing.document_rates(docs, labels).collect()
+    assert any(abs(20 * r[f"p_{a}{b}"] - round(20 * r[f"p_{a}{b}"])) > 1e-3 for r in rows for a, b in mixing.DOMAINS)
