@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tauflow.llm import decontaminate, html_text, line_dedup, mixing, quality, repetition, secrets, simhash, toxicity, warc
+from tauflow.llm import byte_bpe, decontaminate, html_text, lexical, line_dedup, mixing, quality, repetition, resample, secrets, simhash, toxicity, warc
 from tauflow.llm.common import read
 from tauflow.llm.sql import LLM_SQL  # noqa: F401, registered by the driver contract
 
@@ -52,6 +52,21 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(read(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.token_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_line_dedup, op3_decontamination, op4_toxicity, op5_html_text, op6_warc, op7_mixing, op8_simhash, op9_quality_rules, op10_secrets)
+    f.__name__: f for f in (op1_quality, op2_line_dedup, op3_decontamination, op4_toxicity, op5_html_text, op6_warc, op7_mixing, op8_simhash, op9_quality_rules, op10_secrets,
+    op11_resampling, op12_search, op13_byte_bpe)
 }
