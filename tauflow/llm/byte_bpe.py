@@ -7,8 +7,9 @@ point of a whole batch comes from a blocked scan: all blocks advance together, t
 then every block is started in its true state. A text's end is the constant function back to the first state, so
 texts of a batch do not touch each other. State, class and the next class tell where a piece starts.
 
-A piece's bytes are merged by rank (the lowest rank first, the leftmost of equal ones) and kept in a cache of
-bounded size; the ids and the byte offset of every id in its text are returned. Decoding puts each id's bytes at its
+A piece's bytes are merged by rank (the lowest rank first, the leftmost of equal ones). All new short pieces of a batch
+are merged together in numpy, each by its own best pair in every round; ids of pieces are kept in a cache of bounded
+size. The ids and the byte offset of every id in its text are returned. Decoding puts each id's bytes at its
 offset; without offsets they are the running sum of the ids' lengths.
 
 Null and empty texts have no ids. Texts are encoded whole, of any length (one piece of n bytes costs n log n).
@@ -33,10 +34,12 @@ from pyspark.sql import functions as F
 from tauflow.llm.common import record
 
 ENCODED = record(ids="binary", offsets="binary", n_tokens="long")
+ROUND_TRIP = record(ids="binary", offsets="binary", n_tokens="long", decoded="binary")
 #: Code points worked on together; only memory depends on it.
 CHUNK = 1 << 19
-#: Pieces kept with their ids in a worker, and the longest piece kept; only time depends on them.
-CACHED, CACHED_BYTES = 400_000, 64
+#: Pieces that a worker keeps with their ids (besides as many used before), the longest piece kept and merged with others
+#: at the same time, and how many are; only time and memory depend on them.
+CACHED, SHORT_BYTES, TOGETHER = 100_000, 64, 8192
 
 # Classes of code points.
 END, SPACE, OTHER_SPACE, QUOTE, ONE, LEAD_E, LEAD_L, LAST_E, LETTER, NUMBER, OTHER = range(11)
@@ -171,49 +174,107 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Vocabulary(dict):
-    """Pieces' ids as bytes, computed when first met; holds the rank table and, for decoding, all tokens end to end."""
+    """Pieces with their ids as bytes; holds the ranks, the pairs that may be joined and, for decoding, all tokens end to end."""
 
     def __init__(self, file: bytes) -> None:
         super().__init__()
         pairs = [line.split() for line in file.splitlines() if line.strip()]
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        size = max(self.ranks.values(), default=-1) + 1
-        tokens = [b""] * size
+        self.size = max(self.ranks.values(), default=-1) + 1
+        tokens = [b""] * self.size
         for token, rank in self.ranks.items():
             tokens[rank] = token
-        self.lengths = np.fromiter(map(len, tokens), np.int64, size)
+        self.lengths = np.fromiter(map(len, tokens), np.int64, self.size)
         self.places = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-
-    def __missing__(self, piece: bytes) -> bytes:
-        ids = np.array(merge(piece, self.ranks), "<u4").tobytes()
-        if len(piece) <= CACHED_BYTES:
-            if len(self) >= CACHED:
-                self.clear()
-            self[piece] = ids
-        return ids
+        self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        rank = self.ranks.get
+        halves = [
+            (first * (self.size + 1) + second, joined) for token, joined in self.ranks.items() for i in range(1, len(token))
+            if (first := rank(token[:i])) is not None and (second := rank(token[i:])) is not None]
+        self.pairs, self.joined = np.array(sorted(halves), np.int64).reshape(-1, 2).T.copy()
+        self.older: dict[bytes, bytes] = {}
+
+    def _join(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Id of two tokens joined; the vocabulary's size where there is none."""
+        key = first.astype(np.int64) * (self.size + 1) + second
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.joined[at], self.size).astype(np.int32)
+
+    def _merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of short pieces, all merged at the same time: every round joins the best pair of each piece that has one."""
+        count, width = len(pieces), max(map(len, pieces))
+        lengths = np.fromiter(map(len, pieces), np.int64, count)
+        raw = np.frombuffer(b"".join(piece.ljust(width, b"\0") for piece in pieces), np.uint8).reshape(count, width)
+        beyond = np.arange(width + 1) >= lengths[:, None]
+        ids = np.full((count, width + 1), self.size, np.int32)  # a token beyond the end joins with none
+        ids[:, :-1] = self.of_byte[raw]
+        ids[beyond] = self.size
+        after = np.minimum(np.arange(1, width + 2), width)[None, :].repeat(count, 0)
+        before = np.arange(-1, width)[None, :].repeat(count, 0)
+        best = np.full((count, width + 1), self.size, np.int32)
+        best[:, :-1] = self._join(ids[:, :-1], ids[:, 1:])
+        rows = np.arange(count)
+        while True:
+            at = best[rows].argmin(1)  # the leftmost of equal ones
+            rank = best[rows, at]
+            open_ = rank < self.size
+            rows, at, rank = rows[open_], at[open_], rank[open_]
+            if not len(rows):
+                break
+            gone = after[rows, at]
+            right, left = after[rows, gone], before[rows, at]
+            ids[rows, at], ids[rows, gone] = rank, -1
+            after[rows, at], before[rows, right] = right, at
+            best[rows, gone] = self.size
+            best[rows, at] = self._join(rank, ids[rows, right])
+            has_left = left >= 0
+            to, column = rows[has_left], left[has_left]
+            best[to, column] = self._join(ids[to, column], rank[has_left])
+        kept = (ids >= 0) & ~beyond
+        ends = np.cumsum(kept.sum(1)).tolist()
+        flat = ids[kept].astype("<u4").tobytes()
+        return [flat[4 * i : 4 * j] for i, j in zip([0, *ends], ends)]
+
+    def learn(self, pieces: list[bytes]) -> list[bytes]:
+        """Have the ids of all these pieces ready; returns those too long to be kept."""
+        if len(self) >= CACHED:  # what was not used since the last time goes
+            self.older = dict(self)
+            self.clear()
+        new = set(pieces).difference(self)
+        known = {p: self.older[p] for p in new if p in self.older}
+        known |= {p: self.ranks[p].to_bytes(4, "little") for p in new if p in self.ranks}
+        self.update(known)
+        new.difference_update(known)
+        long = [p for p in new if len(p) > SHORT_BYTES]
+        self.update({p: np.array(merge(p, self.ranks), "<u4").tobytes() for p in long})
+        short = sorted(new.difference(long), key=len)
+        for at in range(0, len(short), TOGETHER):
+            some = short[at : at + TOGETHER]
+            self.update(zip(some, self._merge_all(some)))
+        return long
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Ids and byte offsets of the ids of each text, as little-endian unsigned 32-bit integers."""
         points = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le"), np.uint32)
         kinds = class_of()[points]
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        ends = np.cumsum(lengths + 1) - 1
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
         kinds[ends] = END
         starts = piece_starts(kinds)
-        width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-        places = np.cumsum(width) - width
-        cuts = places[starts].tolist()
-        last = np.searchsorted(starts, ends).tolist()  # the entry of each text's end
+        width = 1 + (points >= 0x80).view(np.uint8) + (points >= 0x800) + (points >= 0x10000)
+        cuts = (np.cumsum(width, dtype=np.int64)[starts] - width[starts]).tolist()
         raw = "\0".join([*texts, ""]).encode()
+        pieces = [raw[a:b] for a, b in zip(cuts, cuts[1:])]  # those of the texts' ends among them
+        long = self.learn(pieces)
         ids, offsets, at = [], [], 0
-        for stop in last:
-            own = b"".join([self[raw[a:b]] for a, b in zip(cuts[at:stop], cuts[at + 1 : stop + 1])])
-            numbers = np.frombuffer(own, "<u4")
-            sizes = self.lengths[numbers]
+        for stop in np.searchsorted(starts, ends).tolist():
+            own = b"".join(map(self.__getitem__, pieces[at:stop]))
+            sizes = self.lengths[np.frombuffer(own, "<u4")]
             ids.append(own)
             offsets.append((np.cumsum(sizes) - sizes).astype("<u4").tobytes())
             at = stop + 1
+        for piece in long:
+            del self[piece]
         return ids, offsets
 
     def decode(self, ids: bytes, offsets: bytes | None = None) -> bytes:
@@ -250,6 +311,13 @@ def _chunks(texts: pd.Series) -> Iterator[list[str]]:
         yield chunk
 
 
+def _encoded(file, batches: Iterator[pd.Series]) -> Iterator[tuple[Vocabulary, list[bytes], list[bytes]]]:
+    vocabulary = _vocabulary(file)
+    for texts in batches:
+        for chunk in _chunks(texts):  # results leave the worker chunk by chunk
+            yield vocabulary, *vocabulary.encode(chunk)
+
+
 class _Shipped:
     """A broadcast with a name that stays the same in a worker."""
 
@@ -276,17 +344,24 @@ class Codec:
 
         @F.pandas_udf(ENCODED)
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            vocabulary = _vocabulary(file)
-            for texts in batches:
-                ids, offsets = [], []
-                for chunk in _chunks(texts):
-                    more_ids, more_offsets = vocabulary.encode(chunk)
-                    ids += more_ids
-                    offsets += more_offsets
+            for vocabulary, ids, offsets in _encoded(file, batches):
                 yield pd.DataFrame({"ids": ids, "offsets": offsets, "n_tokens": [len(x) // 4 for x in ids]}, columns=ENCODED.names)
 
         return encode(text)
 
+    def round_trip(self, text: Column | str) -> Column:
+        """As ``encode``, with the bytes that the ids decode to, ``decoded``; in one worker."""
+        file = self._file
+
+        @F.pandas_udf(ROUND_TRIP)
+        def round_trip(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for vocabulary, ids, offsets in _encoded(file, batches):
+                decoded = [vocabulary.decode(i, o) for i, o in zip(ids, offsets)]
+                yield pd.DataFrame(
+                    {"ids": ids, "offsets": offsets, "n_tokens": [len(x) // 4 for x in ids], "decoded": decoded}, columns=ROUND_TRIP.names)
+
+        return round_trip(text)
+
     def decode(self, ids: Column | str, offsets: Column | str) -> Column:
         """The bytes of a text from its ids and their offsets."""
         file = self._file
@@ -301,14 +376,12 @@ class Codec:
 
 
 def encode_documents(docs: DataFrame, path: str, text: Column | str = "text") -> DataFrame:
-    """One row per document row: doc_id, ``tokens`` (ids, offsets, n_tokens) and ``decoded`` (bytes, from the ids alone and their offsets)."""
-    codec = Codec(docs.sparkSession, path)
-    encoded = docs.select("doc_id", codec.encode(text).alias("tokens"))
-    return encoded.select("doc_id", "tokens", codec.decode("tokens.ids", "tokens.offsets").alias("decoded"))
+    """One row per document row: doc_id and ``tokens`` (ids, offsets, n_tokens, and ``decoded``: the bytes that the ids give)."""
+    return docs.select("doc_id", Codec(docs.sparkSession, path).round_trip(text).alias("tokens"))
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, and the digests of the ids and of the decoded bytes."""
     return encode_documents(docs, path).select(
-        "doc_id", "tokens.n_tokens", F.sha2("tokens.ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        "doc_id", "tokens.n_tokens", F.sha2("tokens.ids", 256).alias("ids_sha256"), F.sha2("tokens.decoded", 256).alias("decoded_sha256"),
     )
