@@ -1,57 +1,89 @@
 """Row order inside a stream, without ever needing one task per stream.
 
 A window over (device, sensor) puts a whole stream into one task. One stream may hold a third of
-all rows, so long streams are first cut into time slices (``cut_long_streams``); each slice is
-windowed on its own, and the little that has to cross a slice border (last row, last known value, row
+all rows, so long streams are first cut into slices of about equally many rows (``cut_long_streams``); each
+slice is windowed on its own, and the little that has to cross a slice border (last row, last known value, row
 count) is carried over from a per-slice summary. Streams below the limit are never cut and pay only
 for a row count. The operators here use the slices if the input has been cut, and leave the
 ``_slice`` column in place for the next one.
+
+Where to cut comes from a histogram of times that is refined where it has to be: rows are counted in equal
+stretches of a stream's time, a stretch with more than ``max_rows`` rows is divided again, and so on; then the
+counts are summed up in order of time and a new slice begins whenever ``max_rows`` more rows have gone by. So bursts
+and single clocks that are far off leave the slices as even as a steady rate does: a slice has at most 2 * ``max_rows``
+rows, or those of one single point of time, which are never parted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tauflow.session import staged
+
 SLICE = "_slice"
 MAX_ROWS = 5_000_000
-
-
-def has_long_streams(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_ROWS) -> bool:
-    """Whether any stream has more than ``max_rows`` rows; a job over the key columns that returns at most one row.
-
-    Worth running ahead of a plan that reads the same table several times: without long streams
-    none of those passes needs the cut.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return not sizes.where(F.col("_n") > max_rows).limit(1).isEmpty()
+_LEAST_PARTS, _EARLIEST = 64, -(1 << 61)
 
 
 def cut_long_streams(
     df: DataFrame, keys: Sequence[str], ts: str = "ts_ns", max_rows: int | None = MAX_ROWS
 ) -> DataFrame:
-    """Add column ``_slice``: null for streams of at most ``max_rows`` rows, else a time slice number.
+    """Add column ``_slice``: null for streams of at most ``max_rows`` rows, else the number of the slice, from 0 in order of time.
 
-    There are at most (all rows / max_rows) long streams, 200,000 for 10^12 rows, which bounds the
-    broadcast. Rows of equal time share a slice. ``max_rows=None`` leaves the input uncut.
+    One job counts the streams' rows; where none is long (or ``max_rows`` is None) the input comes back as it is, without
+    the column. Otherwise each round of the histogram is a pass over the key and time columns of what is still too
+    full: one round for steady streams, at most eleven for any 64-bit times. Null is a key like any other; rows without a
+    time count as earliest. A round's table has at most about 64 * (all rows / max_rows) rows.
     """
     if max_rows is None:
         return df
-    long_streams = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(ts).alias("_from"), F.max(ts).alias("_to"))
-        .where(F.col("_n") > max_rows)
-        # Four slices per max_rows rows leave room for an uneven rate.
-        .withColumn("_width", F.ceil((F.col("_to") - F.col("_from") + 1) / F.ceil(4 * F.col("_n") / max_rows)))
-        .select(*keys, "_from", "_width")
-    )
-    return (
-        df.join(F.broadcast(long_streams), list(keys), "left")
-        .withColumn(SLICE, F.floor((F.col(ts) - F.col("_from")) / F.col("_width")))
-        .select(*df.columns, SLICE)
-    )
+    t = F.coalesce(F.col(ts).cast("bigint"), F.lit(_EARLIEST))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_start"), F.max(t).alias("_to"))
+    full = sizes.where(F.col("_n") > max_rows)
+    if full.limit(1).isEmpty():
+        return df
+    full = full.withColumn("_span", F.col("_to") - F.col("_start") + 1).withColumn("_on", F.lit(None).cast("bigint"))
+    nowhere = F.lit(None).cast("bigint").alias("_at")
+    rows, rounds, leaves = df.select(*keys, t.alias("_t"), nowhere), [], []
+    while True:
+        parts = F.greatest(F.lit(_LEAST_PARTS), F.ceil(4 * F.col("_n") / max_rows))
+        width = F.ceil(F.col("_span") / parts).cast("bigint")
+        rounds.append(staged(full.select(*keys, "_on", "_start", width.alias("_width")), "full-stretches"))
+        rows = _placed(rows, rounds[-1], keys)
+        inside = rows.where(F.col("_width").isNotNull()).groupBy(*keys, "_at", F.col("_width").alias("_span"))
+        counted = staged(inside.agg(F.count(F.lit(1)).alias("_n")), "time-histogram")
+        too_full = (F.col("_n") > max_rows) & (F.col("_span") > 1)
+        leaves.append(counted.where(~too_full))
+        full = counted.where(too_full)
+        if full.limit(1).isEmpty():
+            break
+        rows = rows.drop("_width")
+        full = full.select(*keys, F.col("_at").alias("_on"), F.col("_at").alias("_start"), "_span", "_n")
+    before = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / max_rows)
+    slices = reduce(DataFrame.unionByName, leaves).select(*keys, F.col("_at").alias("_on"), number.alias(SLICE))
+    out = df.withColumns({"_t": t, "_at": nowhere})
+    for stretches in rounds:
+        out = _placed(out, stretches, keys).drop("_width")
+    return _matched(out, staged(slices, "slices"), keys).select(*df.columns, SLICE)
+
+
+def _placed(rows: DataFrame, stretches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of a divided stretch get the start of the part they lie in as ``_at`` and its ``_width``; others keep ``_at``, with null."""
+    part = F.col("_t") - F.pmod(F.col("_t") - F.col("_start"), F.col("_width"))
+    found = _matched(rows, stretches, keys).withColumn("_at", F.coalesce(part, F.col("_at")))
+    return found.select(*rows.columns, "_width")
+
+
+def _matched(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join by keys, null among them, and ``_at``. Without a hint: the planner knows the written table's size."""
+    there = table.withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)] + [F.col("_at").eqNullSafe(F.col("_on"))]
+    return rows.join(there, reduce(Column.__and__, same), "left")
 
 
 def partition_keys(df: DataFrame, keys: Sequence[str]) -> list[str]:

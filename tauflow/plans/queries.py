@@ -113,6 +113,12 @@ def event_gaps(spark, sf_dir):
     return aoi.event_gaps(views.telemetry(spark, sf_dir), STREAM).select(*STREAM, "seq", "gap_ns")
 
 
+@query
+def event_gaps_cut(spark, sf_dir):
+    """The same with streams cut into slices of some rows, as long ones are."""
+    return aoi.event_gaps(views.telemetry(spark, sf_dir), STREAM, max_rows=10).select(*STREAM, "seq", "gap_ns")
+
+
 @query
 def aoi_mean(spark, sf_dir):
     return rounded(aoi.aoi_mean(_gaps(spark, sf_dir), SCENARIO), aoi_mean_ms=3)
@@ -433,6 +439,13 @@ def carry_forward(spark, sf_dir):
     return shown.select("seq", "valid", "shown")
 
 
+@query
+def carry_forward_cut(spark, sf_dir):
+    """The same with streams cut into slices of some rows, as long ones are."""
+    readings = sequence.cut_long_streams(views.temp_samples(spark, sf_dir), STREAM, max_rows=10)
+    return sequence.carry_forward(readings, STREAM, ORDER, "celsius", "valid", "shown").select("seq", "valid", "shown")
+
+
 @query
 def persistence_forecast(spark, sf_dir):
     readings = sequence.cut_long_streams(views.samples(spark, sf_dir), STREAM)
@@ -589,6 +602,12 @@ def policy_sweep(spark, sf_dir):
     return _rounded_summary(swept)
 
 
+@query
+def reconstruct_hold_cut(spark, sf_dir):
+    held = reconstruct.reconstruct_hold(views.samples(spark, sf_dir), _crossings(spark, sf_dir), max_rows=10)
+    return held.select("seq", "x", "restored")
+
+
 @query
 def policy_sweep_cut(spark, sf_dir):
     return _rounded_summary(experiments.policy_sweep(views.samples(spark, sf_dir), SWEEP, max_rows=10))
@@ -770,5 +789,11 @@ def summary_file(spark, sf_dir):
 @query
 def log_rows_in_order(spark, sf_dir):
     """Position of every event in log order within its device and sensor."""
-    order = Window.partitionBy("device_id", "sensor").orderBy(*summary.log_order()[2:])
-    return views.telemetry(spark, sf_dir).select("device_id", "sensor", "seq", F.row_number().over(order).cast("bigint").alias("position"))
+    events = sequence.cut_long_streams(views.telemetry(spark, sf_dir), STREAM)
+    return sequence.with_row_index(events, STREAM, ORDER, "position", start=1).select(*STREAM, "seq", "position")
+
+
+@query
+def log_rows_in_order_cut(spark, sf_dir):
+    events = sequence.cut_long_streams(views.telemetry(spark, sf_dir), STREAM, max_rows=10)
+    return sequence.with_row_index(events, STREAM, ORDER, "position", start=1).select(*STREAM, "seq", "position")

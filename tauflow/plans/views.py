@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tauflow.functions import wire
-from tauflow.operators.sequence import SLICE, cut_long_streams, has_long_streams, with_previous
+from tauflow.operators.sequence import SLICE, cut_long_streams, with_previous
 from tauflow.schemas import STREAM
 
 
@@ -44,9 +44,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def telemetry_of(readings: DataFrame) -> DataFrame:
     """Event log: the forecast is the previous reading, the first reading forecasts itself."""
-    # Many queries start from this view, so the cut is left out of their plans where no stream needs it.
-    cut = cut_long_streams(readings, STREAM) if has_long_streams(readings, STREAM) else readings
-    previous = with_previous(cut, STREAM, ("ts_ns", "seq"), {"x": "_x"}).drop(SLICE)
+    previous = with_previous(cut_long_streams(readings, STREAM), STREAM, ("ts_ns", "seq"), {"x": "_x"}).drop(SLICE)
     mic = F.col("sensor") == "mic_rms"
     pred = F.coalesce("_x", "x")
     return previous.select(

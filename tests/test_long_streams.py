@@ -41,10 +41,45 @@ def both(make, digits=9):
     return whole
 
 
+def slice_sizes(df, max_rows):
+    cut = sequence.cut_long_streams(df, STREAM, max_rows=max_rows)
+    assert cut.count() == df.count()
+    return cut.groupBy(*STREAM, sequence.SLICE).agg(
+        F.count("*").alias("n"), F.min("ts_ns").alias("from"), F.max("ts_ns").alias("to")).orderBy(*STREAM, sequence.SLICE).collect()
+
+
 def test_hot_stream_is_cut(hot):
-    cut = sequence.cut_long_streams(hot, STREAM, max_rows=CUT)
-    sizes = cut.where("device_id = 'dev-hot'").groupBy("sensor", sequence.SLICE).count().collect()
-    assert len(sizes) > 20 and max(r["count"] for r in sizes) <= 4 * CUT
+    # All rows of one point of time stay together, here up to some ten.
+    sizes = [r.n for r in slice_sizes(hot, CUT) if r.device_id == "dev-hot"]
+    assert len(sizes) >= 18 and max(sizes) <= 2 * CUT
+
+
+def test_slices_by_rows_not_by_time(spark):
+    """Steady rate, bursts inside bursts, one clock at 0 and one far ahead, a null time: no slice above twice the limit."""
+    start = 1_700_000_000_000_000_000
+    n = F.col("id")
+    times = (
+        F.when(n == 0, 0).when(n == 1, 4 * 10**18).when(n == 2, F.lit(None)).when(n < 3000, start + n * 10**12)
+        .when(n < 9000, start + 10**15 + n * 1000).when(n < 12_000, start + 10**15 + 5_000_000 + n).otherwise(start + n)
+    )
+    df = spark.range(20_000).select(
+        times.cast("bigint").alias("ts_ns"), n.alias("seq"), F.when(n % 2 == 0, "even").alias("device_id"), F.lit("temp").alias("sensor"))
+    limit = 100
+    slices = slice_sizes(df, limit)
+    assert max(r.n for r in slices) <= 2 * limit
+    assert len(slices) <= 2 * 20_000 / limit
+    for a, b in zip(slices, slices[1:]):  # in order of time, without overlap
+        if a.device_id == b.device_id and b["from"] is not None and a["to"] is not None:
+            assert a["to"] < b["from"]
+
+
+def test_equal_times_stay_together(spark):
+    df = spark.range(1000).select(F.lit(5).alias("ts_ns"), F.col("id").alias("seq"), F.lit("d").alias("device_id"), F.lit("temp").alias("sensor"))
+    assert [r.n for r in slice_sizes(df, 10)] == [1000]
+
+
+def test_short_streams_are_left_alone(hot):
+    assert sequence.cut_long_streams(hot, STREAM, max_rows=10**6).columns == hot.columns
 
 
 @pytest.mark.parametrize("operator", [
