@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tauflow.operators import aoi, ranks
 
@@ -38,8 +39,12 @@ def test_known_cases(spark):
     assert loop["one"] == 0.0 and loop["ten"] == pytest.approx(900.0) and loop["mixed"] == pytest.approx(95.83, abs=0.01)
 
 
-@pytest.mark.parametrize("p", [0.05, 0.5, 0.95, 0.999])
-def test_random_gaps(spark, p):
+@pytest.mark.parametrize("p, kept", [(0.05, None), (0.5, 2), (0.95, None), (0.95, 2), (0.999, 0)])
+def test_random_gaps(spark, monkeypatch, p, kept):
+    if kept is not None:  # bins are divided again
+        monkeypatch.setattr(ranks, "KEPT_ROWS", kept)
+        monkeypatch.setattr(ranks, "PARTS", 8)
+        monkeypatch.setattr(ranks, "MOST_ROUNDS", 30)
     rng = np.random.default_rng(7)
     groups = {
         "uniform": rng.integers(1, 1000, 300).tolist(),
@@ -108,3 +113,35 @@ def test_bins_keep_the_order_of_values(spark):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
     bins = [r.b for r in df.select("v", ranks.value_bin(df.v).alias("b")).orderBy("v").collect()]
     assert bins == sorted(bins)
+
+
+@pytest.mark.parametrize("kept", [ranks.KEPT_ROWS, 1])
+@pytest.mark.parametrize("p", [0.0, 0.3, 0.95, 1.0])
+def test_percentile_of_neighbouring_doubles(spark, monkeypatch, kept, p):
+    """Values that differ in their last bits, both signs and zeros, hugely repeated values: exact also where bins are divided."""
+    monkeypatch.setattr(ranks, "KEPT_ROWS", kept)
+    rng = np.random.default_rng(2)
+    near = [1.0]
+    for _ in range(60):
+        near.append(np.nextafter(near[-1], 2))
+    groups = {
+        "near": near, "signs": [-5.0, -0.0, 0.0, 5.0, -1e-300, 1e300, -1.7e308, 1.7e308], "same": [3.5] * 500 + [3.5000001],
+        "normal": rng.normal(size=300).tolist(), "one": [2.0],
+    }
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("one", math.nan), ("one", None), ("none", None)]
+    got = {r.k: r.q for r in ranks.exact_percentile(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", p, "q").collect()}
+    assert got.keys() == groups.keys()
+    for k, vs in groups.items():
+        rising = sorted(vs)
+        at = p * (len(vs) - 1)
+        low, high = rising[math.floor(at)], rising[min(math.floor(at) + 1, len(vs) - 1)]
+        assert got[k] == low + (high - low) * (at - math.floor(at)), k
+
+
+def test_only_bins_are_shuffled(spark):
+    """200,000 different values of one bin: the exchange before the bins carries a row per bin and task, and none is keyed by value."""
+    df = spark.range(0, 200_001, 1, 8).select(F.lit("g").alias("k"), (F.lit(1.0) + F.col("id") / 1e9).alias("v"))
+    made = ranks.exact_percentile(df, ["k"], "v", 0.5, "q")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan or all("_v" not in line for line in plan.splitlines() if "hashpartitioning" in line)
+    assert made.collect()[0].q == 1.0 + 100_000 / 1e9
