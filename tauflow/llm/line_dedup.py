@@ -6,19 +6,21 @@ among them, however short a line is. Lines without a token (blank lines) stay.
 
 1. Equal lines become one row, the first occurrence, in a partial aggregate, however many copies there are.
 2. Tokens are ordered by rarity: counts of all tokens, hashed into ``BUCKETS`` levels of one byte.
-3. A line meets the earliest line that shares two of its extreme token hashes (the two least, the two largest, or the least and
-   the largest): one comparison each, so large groups of near copies are settled without pairing their members. This only
-   saves work; it decides nothing on its own.
+3. A line needs one earlier match, not all of them. So it first meets the earliest line that shares two of its extreme token
+   hashes (the two least, the two largest, or the least and the largest), and the earliest one that shares each token of its
+   prefix: a few comparisons for each line, so large groups of near copies are settled without pairing their members. This
+   only saves work; it decides nothing on its own.
 4. All other pairs: the prefix of a line (the tokens of which a match must share one) is joined by token with the
    shorter prefix of lines at most as long; length, position and a 128-bit parity bitmap of the set rule out pairs inside the join
    (a token in one of two sets only changes one bit, so the sets differ in at least as many tokens as bits).
    Pairs of which both lines are settled are left out.
-5. What is left is verified on the texts. If the lines concerned are at most ``FEW``, their ids are broadcast to fetch the
+5. What is left is verified on the texts. If there are at most ``FEW`` pairs, their ids are broadcast to fetch the
    texts; beyond, all lines are shuffled for it.
 
 Between the steps tables are written to the shared folder and the shuffle files of the step before are let go.
 
-Null texts have no lines. Null ids sort first. Rows of equal doc_id and text share one result and each get their row.
+Null texts have no lines; an empty table gives an empty result. Ids are numbers or texts; null ids sort first. Lines of equal
+place (equal id, line number and text) are one line. Rows of equal doc_id and text share one result and each get their row.
 Long lines and texts are taken whole. Extra columns are carried along as fields of ``_doc``.
 """
 
@@ -139,12 +141,14 @@ def _apart(a: str, b: str) -> Column:
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Line ids (x) that match an earlier line among the pairs (a, b)."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
-    if needed.count() <= FEW:
-        lines = lines.join(F.broadcast(needed), F.col("lid") == F.col("n"), "left_semi")
-    side = lambda p: lines.select(
-        F.col("lid").alias(p), F.struct("doc_id", "line_no", "_text").alias(f"at_{p}"), F.col("line").alias(f"line_{p}"), F.col("size").alias(f"size_{p}")
-    )
+    few = pairs.count() <= FEW
+
+    def side(p: str) -> DataFrame:
+        ids = pairs.select(F.col(p).alias("lid")).distinct()
+        wanted = lines.join(F.broadcast(ids) if few else ids, "lid", "left_semi")
+        place = F.struct("doc_id", "line_no", "_text")
+        return wanted.select(F.col("lid").alias(p), place.alias(f"at_{p}"), F.col("line").alias(f"line_{p}"), F.col("size").alias(f"size_{p}"))
+
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect(tokens_of(F.col("line_a")), tokens_of(F.col("line_b"))))
     match = both.where(shared * (NUM + DEN) >= (F.col("size_a") + F.col("size_b")) * NUM)
@@ -152,12 +156,14 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(lines: DataFrame) -> DataFrame:
-    # The order is that of the places but for ids or lines beyond 2^43 and 2^20; it only chooses whom a line meets.
-    order = F.shiftleft("doc_id", 20) + F.least("line_no", F.lit((1 << 20) - 1))
-    keyed = lines.select("lid", "size", "p0", "p1", order.alias("order"), F.explode("ends").alias("key"))
-    hub = F.min(F.struct("order", F.col("lid").alias("b"), F.col("size").alias("b_size"), F.col("p0").alias("q0"), F.col("p1").alias("q1")))
-    hubs = keyed.groupBy("key").agg(hub.alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub.*").drop("order")
-    met = keyed.drop("order").join(hubs, "key")
+    """Each line with the earliest holders of its extreme hashes and of its prefix tokens: a number of pairs in proportion to the keys."""
+    keys = F.explode(F.array_distinct(F.concat("ends", "prefix")))
+    keyed = lines.select("lid", "size", "p0", "p1", "doc_id", "line_no", keys.alias("key"))
+    hub = F.min(F.struct(
+        "doc_id", "line_no", F.col("lid").alias("b"), F.col("size").alias("b_size"), F.col("p0").alias("q0"), F.col("p1").alias("q1")))
+    hubs = keyed.groupBy("key").agg(hub.alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    hubs = hubs.select("key", "hub.b", "hub.b_size", "hub.q0", "hub.q1")
+    met = keyed.drop("doc_id", "line_no").join(hubs, "key")
     small, large = F.least("size", "b_size"), F.greatest("size", "b_size")
     both = F.col("size") + F.col("b_size")
     like = (large * NUM <= small * DEN) & (_apart("p", "q") <= both - 2 * _ceil(both * NUM, NUM + DEN))

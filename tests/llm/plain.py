@@ -75,7 +75,7 @@ def without_copied_lines(docs):
         kept = []
         for line in [] if text is None else text.split("\n"):
             tokens = frozenset(re.findall(r"[^\x20\x09\x0D]+", line))
-            if len(tokens) < 5:
+            if not tokens:
                 kept.append(line)
                 continue
             if line in exact:

@@ -58,6 +58,26 @@ def test_lines_of_a_large_group_of_near_copies(spark):
     same([(r.doc_id, r.text) for r in got], [(d, plainly[d, t]) for d, t in rows])
 
 
+def test_pairs_of_a_group_of_near_copies_grow_with_its_size(spark):
+    """Twice the near copies give about twice the pairs, not four times; ids may be texts."""
+    def pairs(n):
+        base = [f"t{i}" for i in range(30)]
+        texts = [" ".join(base[: k % 30] + [f"own{k}"] + base[k % 30 + 1 :]) for k in range(n)]
+        docs = spark.createDataFrame([(f"id-{i:05d}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+        lines = line_dedup.with_prefixes(line_dedup.first_lines(docs), line_dedup.token_levels(docs)).cache()
+        hubs = line_dedup._hub_pairs(lines)
+        near = line_dedup._verified(hubs, lines)
+        flagged = lines.join(near.withColumn("s", F.lit(True)), F.col("lid") == F.col("x"), "left").withColumn("settled", F.col("s").isNotNull())
+        counted = hubs.count() + line_dedup._prefix_pairs(flagged).count()
+        plainly = plain.without_copied_lines(list(enumerate(texts)))
+        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+        assert [got[f"id-{i:05d}"] for i in range(n)] == [plainly[i, t] for i, t in enumerate(texts)]
+        return counted
+
+    few, many = pairs(300), pairs(600)
+    assert many < 2.6 * few
+
+
 @pytest.mark.parametrize("few", [decontaminate.FEW, 0])
 def test_contamination(spark, docs, empty, few):
     items = [(1, PASSAGE), (2, f"zero {PASSAGE}"), (2, PASSAGE), (3, "beta gamma"), (4, None), (5, " .,"), (None, PASSAGE), (11, "naïve"), (6, LONG[:4000])]
