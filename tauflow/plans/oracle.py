@@ -511,6 +511,23 @@ FROM scores QUALIFY row_number() OVER (PARTITION BY seq ORDER BY score DESC, arm
     sql["summary_file"] = _on_summary(f"SELECT row_number() OVER (ORDER BY profile, {RANK}, policy, sensor) AS line_no, {SCENARIO}, {ROUNDED_SUMMARY} FROM summary")
     sql["log_rows_in_order"] = _select(["telemetry"], """
 SELECT device_id, sensor, seq, row_number() OVER (PARTITION BY device_id, sensor ORDER BY ts_ns, seq) AS position FROM telemetry""")
+    keys = f"{SCENARIO}, device_id"
+    sql["stream_aoi"] = _with(["arrivals"], f"""WITH steps AS (
+  SELECT {keys}, ts_ns, ts_ns - lag(ts_ns) OVER w AS gap, row_number() OVER w AS i, count(*) OVER (PARTITION BY {keys}) AS rows
+  FROM arrivals WINDOW w AS (PARTITION BY {keys} ORDER BY t_recv_ns, seq, copy_no)),
+shifted AS (SELECT {keys}, gap, greatest(0, length(bin(gap)) - 11) AS shift FROM steps WHERE gap >= 0),
+bins AS (SELECT {keys}, ((gap >> shift) << shift) AS low, ((gap >> shift) << shift) + (1::BIGINT << shift) - 1 AS high,
+  count(*) AS n, sum(gap) AS s FROM shifted GROUP BY ALL),
+running AS (SELECT *, sum(n) OVER g AS n_all, sum(s) OVER g AS s_all, sum(n) OVER o - n AS n_below, sum(s) OVER o - s AS s_below
+  FROM bins WINDOW g AS (PARTITION BY {keys}), o AS (PARTITION BY {keys} ORDER BY low)),
+reached AS (SELECT *, (0.95::DOUBLE * s_all::DOUBLE - s_below) / (n_all - n_below) AS age FROM running
+  WHERE s_all > 0 AND (s_below + s + high::HUGEINT * (n_all - n_below - n))::DOUBLE >= 0.95::DOUBLE * s_all::DOUBLE),
+p95 AS (SELECT {keys}, min_by(least(age, high), low) / 1e6::DOUBLE AS aoi_p95_ms FROM reached GROUP BY {keys}),
+means AS (SELECT {keys}, count(gap) FILTER (gap >= 0) AS n_gaps, max(ts_ns) FILTER (i = rows) AS last_ts_ns,
+  sum(gap::HUGEINT * gap) FILTER (gap >= 0)::DOUBLE / nullif(2 * sum(gap) FILTER (gap >= 0), 0)::DOUBLE / 1e6::DOUBLE AS aoi_mean_ms
+  FROM steps GROUP BY {keys})
+SELECT {keys}, n_gaps, last_ts_ns, round(aoi_mean_ms, 3) AS aoi_mean_ms, round(aoi_p95_ms, 3) AS aoi_p95_ms
+FROM means LEFT JOIN p95 USING ({keys})""")
     for name in ("send_on_delta", "policy_sweep", "event_gaps", "carry_forward", "reconstruct_hold", "log_rows_in_order"):
         sql[f"{name}_cut"] = sql[name]  # cutting streams changes no result
     return sql

@@ -29,6 +29,7 @@ from tauflow.schemas import SCENARIO, STREAM
 from tauflow.session import staged, work_folder
 from tauflow.sinks import reports, tables
 from tauflow.sources import audio, messages
+from tauflow.streaming import age as streaming_age
 from tauflow.streaming import bandit as streaming_bandit
 from tauflow.streaming import collect as streaming_collect
 from tauflow.streaming import delta as streaming_delta
@@ -720,6 +721,23 @@ def stream_dedup_accounting(spark, sf_dir):
     )
 
 
+@query
+def stream_aoi(spark, sf_dir):
+    """Running mean and percentile of each stream's age over six micro-batches in order of arrival, times going back among them."""
+    source, sink = work_folder(spark, "in"), work_folder(spark, "out")
+    keys, order = [*SCENARIO, "device_id"], ["t_recv_ns", "seq", "copy_no"]
+    arrivals = staged(views.arrivals(spark, sf_dir).select(*keys, *order, "ts_ns"), "arrivals")
+    borders = [-1, *arrivals.approxQuantile("t_recv_ns", [i / 6 for i in range(1, 6)], 0.01), float("inf")]
+    for low, high in zip(borders, borders[1:]):  # a file for each micro-batch
+        rows = arrivals.where((F.col("t_recv_ns") > low) & (F.col("t_recv_ns") <= high))
+        rows.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    ages = streaming_age.stream_age(stream, keys, order)
+    streaming_collect.write_accounting_stream(ages, sink, work_folder(spark, "checkpoint"), None).awaitTermination()
+    latest = streaming_collect.latest_accounts(spark, sink, keys)
+    return rounded(latest.select(*keys, "n_gaps", "last_ts_ns", "aoi_mean_ms", "aoi_p95_ms"), aoi_mean_ms=3, aoi_p95_ms=3)
+
+
 @query
 def stream_send_on_delta(spark, sf_dir):
     sent = _streamed(spark, views.samples(spark, sf_dir), lambda s: streaming_delta.stream_send_on_delta(s, TRIGGERS))
@@ -738,7 +756,8 @@ def event_log_round_trip(spark, sf_dir):
     path = work_folder(spark, "event-log")
     accounted = _accounted(spark, sf_dir).withColumn("topic", wire.event_topic(F.col("device_id"), F.col("sensor")))
     tables.write_event_log(accounted, path)
-    return spark.read.parquet(path).groupBy(*SCENARIO).agg(
+    tables.write_event_log(accounted, path)  # replaces the first as a whole
+    return tables.read_log(spark, path).groupBy(*SCENARIO).agg(
         F.count(F.lit(1)).alias("n"), F.sum("mqtt_size_bytes").alias("bytes"), F.max("t_recv_ns").alias("last_recv_ns")
     )
 

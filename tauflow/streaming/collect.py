@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -63,8 +65,8 @@ def write_accounting_stream(
     return _trigger(writer, flush_s).start()
 
 
-def latest_accounts(spark: SparkSession, path: str) -> DataFrame:
-    """Newest state of each account from what ``write_accounting_stream`` has written."""
-    w = Window.partitionBy(*EVENT_ID).orderBy(F.col(BATCH).desc())
+def latest_accounts(spark: SparkSession, path: str, keys: Sequence[str] = EVENT_ID) -> DataFrame:
+    """Newest state of each account (or of what else has ``keys``) from what ``write_accounting_stream`` has written."""
+    w = Window.partitionBy(*keys).orderBy(F.col(BATCH).desc())
     accounts = spark.read.parquet(path)
     return accounts.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") == 1).drop("_nth", BATCH)
