@@ -6,11 +6,14 @@ have no shown text. For every node the composite density weighs characters per t
 right in the node counting as one. The node with the largest sum is the content; the least density on its path up to the
 body is the threshold, and other subtrees above it give their largest-sum node, too. Only then menus, headers, footers,
 asides, forms and nodes whose class, id or role says advert, notice, comments and the like are cut out of what was chosen (a
-node inside one is never chosen). A chosen node inside an ``article`` is widened to the whole of it, and then only articles are
+node inside one is never chosen). Such a node that holds nearly all of the page's text (a form or a class around the whole
+page) is a wrapper and not cut; only the marked nodes inside it are. Of a class name every word must say so or say
+nothing ("sidebar-left", not "has-sidebar"). A chosen node inside an ``article`` is widened to the whole of it, and then only articles are
 chosen; a ``main`` that holds the largest sum bounds what else is looked at. An article inside the chosen node replaces nothing.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed. Null
-and empty pages give an empty text; broken and unclosed tags are read like a browser would nearly do; pages of any
+and empty pages give an empty text; so does a page with nothing but menus and footers; an empty table gives an empty one; of
+equal density sums the first node in page order counts; broken and unclosed tags are read like a browser would nearly do; pages of any
 length are taken whole; repeated rows each get their row. Other columns are not read.
 """
 
@@ -42,6 +45,13 @@ CUT_NAMES = frozenset(
     " sidebar widget widgets related recommended recommendations share sharing social comment comments disqus reply replies"
     " popup modal overlay toolbar pagination pager paging skip footer topbar masthead".split()
 )
+# Words that say where or how, not what: a class name of these and words above only still marks clutter ("sidebar-left"), one
+# with any other word does not ("has-sidebar", "share-prices").
+NEUTRAL = frozenset(
+    "area bar block bottom box center column container content global group header inner item items left links list main outer page"
+    " panel primary right row secondary section site sticky top wrap wrapper".split()
+)
+KEPT_TAGS = frozenset("nav footer button select textarea input menu".split())  # never taken for a wrapper of the page
 CUT_ARTICLES = frozenset("comment comments reply replies related recommended ad ads advert promo sponsored".split())
 TITLED = frozenset("post entry article content story".split())
 HEADINGS = frozenset("h1 h2 h3 hgroup".split())
@@ -58,55 +68,88 @@ _MARKUP = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/]|\Z))""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|["'=]""")
+#: A marked node that holds so many times the text outside all marked nodes is a wrapper of the page, not clutter in it.
+WRAPPER = 10
 _PARTS = re.compile(r"[^a-z0-9]+")
 _NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 PAGE = record(text="string", n_chars="long")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "hidden", "cut")
+    __slots__ = ("tag", "parent", "children", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "hidden", "mark", "cut")
 
-    def __init__(self, tag: str, parent: Node | None, hidden: bool, cut: bool):
-        self.tag, self.parent, self.hidden, self.cut = tag, parent, hidden, cut
+    def __init__(self, tag: str, parent: Node | None, hidden: bool = False, mark: int = 0):
+        self.tag, self.parent, self.hidden, self.mark, self.cut = tag, parent, hidden, mark, hidden
         self.children: list[Node] = []
         self.parts: list = []  # texts and child nodes in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _is_hidden(tag: str, attributes: str) -> bool:
-    if tag in NOT_SHOWN_TAGS:
-        return True
-    for m in _ATTRIBUTE.finditer(attributes):
-        name = m[1].lower()
-        if name == "hidden" or name == "style" and _NOT_SHOWN.search((m[2] or "").lower()):
-            return True
-    return False
+def _attributes(text: str) -> dict[str, str]:
+    """Names and values; the first of equal names counts, a name without a value has an empty one."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text) if text else ():
+        if m[1]:
+            found.setdefault(m[1].lower(), (m[2] or "").strip("\"'").lower())
+    return found
 
 
-def _is_clutter(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in CUT_TAGS or tag == "header" and not inside_article:
+def _is_hidden(tag: str, attributes: dict[str, str]) -> bool:
+    return tag in NOT_SHOWN_TAGS or "hidden" in attributes or bool(_NOT_SHOWN.search(attributes.get("style", "")))
+
+
+def _is_clutter(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
+    if tag in CUT_TAGS or tag == "header" and not inside_article or attributes.get("role", "").strip() in CUT_ROLES:
         return True
-    if not attributes:
+    if tag in ("body", "html", "main"):
         return False
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name == "role" and value.strip() in CUT_ROLES:
+    cut = CUT_ARTICLES if tag == "article" else CUT_NAMES
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+    titled = inside_article or tag == "article" or tag in HEADINGS or any(TITLED.intersection(_PARTS.split(n)) for n in names)
+    for name in names:
+        parts = set(_PARTS.split(name)) - {""}
+        # The head of the page counts, but not that of a post, which holds its title.
+        if parts <= cut | NEUTRAL and (parts & cut or "header" in parts and not titled):
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "main"):
-            parts = set(_PARTS.split(value))
-            if parts & (CUT_ARTICLES if tag == "article" else CUT_NAMES):
-                return True
-            # The head of the page, but not that of a post, which holds its title.
-            if "header" in parts and not inside_article and tag not in HEADINGS and tag != "article" and not parts & TITLED:
-                return True
     return False
 
 
+def settle_cuts(body: Node) -> None:
+    """Decide which marked nodes are cut: those outermost, unless one wraps the page, whose own marked parts then count.
+
+    Needs the characters of ``weigh``.
+    """
+    outer, left = _outermost(body), 0
+    left = body.chars - sum(n.chars for n in outer)
+    while True:
+        most = max((n for n in outer if n.tag not in KEPT_TAGS), key=lambda n: n.chars, default=None)
+        if most is None or not most.chars or most.chars < WRAPPER * left:
+            break
+        most.mark = 0
+        inner = _outermost(most)
+        outer = [*(n for n in outer if n is not most), *inner]
+        left += most.chars - sum(n.chars for n in inner)
+    for n in _in_order(body):
+        n.cut = n.hidden or n.mark > 0 or n is not body and n.parent.cut
+
+
+def _outermost(node: Node) -> list[Node]:
+    """Marked nodes below a node that are in no other marked one below it."""
+    found, todo = [], list(node.children)
+    while todo:
+        n = todo.pop()
+        if n.mark:
+            found.append(n)
+        else:
+            todo.extend(n.children)
+    return found
+
+
 def parse(page: str) -> Node:
-    """Tree of the page; what is not shown is left off the tree, clutter is in it and marked as cut."""
-    root = Node("html", None, False, False)
+    """Tree of the page; what is not shown is left off the tree, what looks like clutter is in it and marked."""
+    root = Node("html", None)
     here, at, articles = root, 0, 0
     opened: list[Node] = [root]
     while True:
@@ -141,9 +184,10 @@ def parse(page: str) -> Node:
         here = opened[-1]
         if tag in ("html", "body") and any(n.tag == tag for n in opened[1 if tag == "body" else 0 :]):
             continue
-        attributes = m[3] or m[6] or ""
+        written = m[3] or m[6] or ""
+        attributes = _attributes(written)
         hidden = here.hidden or _is_hidden(tag, attributes)
-        node = Node(tag, here, hidden, hidden or here.cut or _is_clutter(tag, attributes, articles > 0))
+        node = Node(tag, here, hidden, int(not hidden and _is_clutter(tag, attributes, articles > 0)))
         if not here.hidden:
             here.parts.append(node)
             if not hidden:
@@ -151,7 +195,7 @@ def parse(page: str) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
-        elif tag not in VOID and not attributes.rstrip().endswith("/") or tag in BLOCKS - VOID:
+        elif tag not in VOID and not written.rstrip().endswith("/") or tag in BLOCKS - VOID:
             opened.append(node)
             articles += tag in ("article", "main")
             here = node
@@ -204,6 +248,7 @@ def content_nodes(root: Node) -> list[Node]:
     """Nodes that hold the article, outermost only, in page order."""
     nodes = weigh(root)
     body = next((n for n in nodes if n.tag == "body"), root)
+    settle_cuts(body)
     inside = [n for n in _in_order(body) if not n.cut]
     best = max(inside, key=lambda n: n.total, default=body)
     if best.total <= 0:

@@ -58,6 +58,49 @@ def test_lines_of_a_large_group_of_near_copies(spark):
     same([(r.doc_id, r.text) for r in got], [(d, plainly[d, t]) for d, t in rows])
 
 
+ARTICLE = "<h1>A title</h1>" + "".join(
+    f"<p>Paragraph {i} of the article, with a good number of words, so that it counts as text; it goes on and on.</p>" for i in range(6))
+TEXT = html_text.main_text(f"<body><article>{ARTICLE}</article></body>")
+AROUND = ("<nav><a href=a>Home</a> <a href=b>News</a></nav>", "<footer>All rights reserved <a href=c>Imprint</a></footer>")
+
+
+@pytest.mark.parametrize("wrapper", [
+    'div class="container has-sidebar"', 'div class="site fixed-header"', 'form id="aspnetForm"', 'div class="social-history"', 'div data-id="menu"',
+    'div title="the hidden war"', 'div aria-hidden="false"', 'div class="layout sidebar-right"', 'div id="page" class="comments"', 'form action="/x"',
+    'section id="share-prices"', 'div role="dialog"', 'div data-x="class=ad" data-style="display:none"', "div class=menu", 'table class="main menu"',
+])
+@pytest.mark.parametrize("inner", ["", "article", 'article data-title="the hidden war"'])
+def test_wrappers_keep_the_text(wrapper, inner):
+    content = f"<{inner}>{ARTICLE}</{inner.split()[0]}>" if inner else ARTICLE
+    for before, after in (("", ""), AROUND):
+        page = f"<html><body>{before}<{wrapper}>{content}</{wrapper.split()[0]}>{after}</body></html>"
+        assert html_text.main_text(page) == TEXT, page[:120]
+
+
+@pytest.mark.parametrize("clutter", [
+    '<div class="comments"><p>Nice one, thank you for it all.</p></div>', '<div class="sidebar-left"><p>Read this as well, please do.</p></div>',
+    '<div id="site-header"><a href=x>Start</a></div>', "<aside><p>Something else that is on the side.</p></aside>", '<div class="cookie-notice">We use cookies, more or less.</div>',
+    "<form><label>Your name</label><button>Send</button></form>", '<div hidden>Not shown</div>', '<div style="display: none">Not shown</div>', '<div role="navigation">Up and down</div>',
+])
+def test_marked_clutter_goes(clutter):
+    for page in (f"<body>{clutter}<div>{ARTICLE}</div></body>", f"<body><form><div class=content>{ARTICLE}</div>{clutter}</form></body>"):
+        assert html_text.main_text(page) == TEXT, page[:100]
+
+
+def test_part_of_an_article_with_a_telling_name_stays():
+    page = f"<body><article>{ARTICLE}<section id='share-prices'><p>Prices went up by a lot and then they fell again.</p></section></article></body>"
+    assert html_text.main_text(page) == TEXT + "\nPrices went up by a lot and then they fell again."
+
+
+def test_articles_of_given_pages(spark, sf_dir):
+    """The text of a given page with one article is that article's, but for marked parts of it."""
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect() if r.html and r.html.count("<article") == 1]
+    assert len(pages) > 20
+    for page in pages:
+        inner = page[page.index("<article") : page.index("</article>")]
+        assert html_text.main_text(page) == html_text.main_text(f"<body>{inner}</article></body>")
+
+
 def test_pairs_of_a_group_of_near_copies_grow_with_its_size(spark):
     """Twice the near copies give about twice the pairs, not four times; ids may be texts."""
     def pairs(n):
