@@ -1,7 +1,7 @@
 """Toxicity: votes of the nearest labelled examples by exact TF-IDF cosine, found in a block-max inverted index.
 
 Terms are lower-cased runs of word characters. The vector space holds all terms of the examples. A term weighs its inverse
-document frequency, counted over all documents, times the strength of its dependence on the label (phi over the examples, plus
+document frequency among the examples, the collection that is searched, times the strength of its dependence on the label (phi over the examples, plus
 ``FLOOR``, so every term counts): long neutral texts do not drown few telling words, and no term is left out. Exact copies count
 once. Examples are at most ``SAMPLE`` texts of either label (a documented, bounded sample). The index keeps, for each term, its
 examples in blocks of ``BLOCK`` with the largest weight of each block. A query sums these bounds per block, visits blocks
@@ -11,13 +11,14 @@ exact. Terms that more than one in ``OFTEN`` examples hold are multiplied as a d
 The score is the weighted share of label 1 among the k nearest: each vote weighs 1 / (0.05 + distance)
 times the number of labelled rows its example stands for, and one vote at distance 1 for the overall
 share of label 1. Texts without any term (null and empty ones, too) get that share. Without any usable label all
-scores are 0. Evidence: ids of the nearest examples and the weightiest terms met. Ties are decided by the smaller id;
+scores are 0; an empty table gives an empty result. Evidence: ids of the nearest examples and the weightiest terms met. Ties are decided by the smaller id;
 very long texts are scored whole; repeated rows each get their row. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,13 +67,10 @@ class Index:
         self.names = list(self.terms)
 
     def vector(self, words: list[str]) -> tuple[list[int], np.ndarray]:
-        counts: dict[int, int] = {}
-        for w in words:
-            t = self.terms.get(w)
-            if t is not None:
-                counts[t] = counts.get(t, 0) + 1
-        at = sorted(counts)
-        x = (1.0 + np.log([counts[t] for t in at])) * self.idf[at]
+        number = self.terms.get
+        counts = sorted((t, n) for w, n in Counter(words).items() if (t := number(w)) is not None)
+        at = [t for t, _ in counts]
+        x = (1.0 + np.log([n for _, n in counts])) * self.idf[at]
         return at, x / np.sqrt(x @ x) if at else x
 
     def nearest(self, at, x: np.ndarray, k: int = NEIGHBOURS, common: np.ndarray | None = None) -> list[tuple[float, int]]:
@@ -155,27 +153,6 @@ def build_index(ids, labels, vectors, terms: dict[str, int], idf: np.ndarray, ro
     )
 
 
-def _term_counts(docs: DataFrame, terms: dict[str, int], text: str = "text") -> tuple[int, np.ndarray]:
-    """Number of documents, and of those that hold each of the terms."""
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
-
-    def counted(batches):
-        known, counts, n = shared.value, np.zeros(len(shared.value), np.int64), 0
-        for rows in batches:
-            n += len(rows)
-            for t in rows["text"]:
-                counts[[known[w] for w in set(terms_of(t)) if w in known]] += 1
-        at = np.flatnonzero(counts)
-        yield pd.DataFrame({"term": np.append(at, -1), "n": np.append(counts[at], n)})
-
-    found = docs.select(F.col(text).alias("text")).mapInPandas(counted, record(term="long", n="long"))
-    table = found.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    at, n = table["term"].to_numpy(), table["n"].to_numpy()
-    counts = np.zeros(len(terms), np.int64)
-    counts[at[at >= 0]] = n[at >= 0]
-    return int(n[at < 0].sum()), counts
-
-
 def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Index:
     """Weigh the terms and index the examples; term counts and vectors are computed on the cluster.
 
@@ -195,8 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Index:
     a, b, n = found["a"].to_numpy().astype(float), found["b"].to_numpy().astype(float), float(n0 + n1)
     spread = (a + b) * (n - a - b) * n0 * n1
     phi = np.abs(a * (n0 - b) - b * (n1 - a)) / np.sqrt(np.where(spread > 0, spread, 1.0)) * (spread > 0)
-    n_docs, held_by = _term_counts(docs, terms)
-    idf = (np.log((n_docs + 1) / (held_by + 1)) + 1) * (phi + FLOOR)
+    idf = (np.log((n + 1) / (a + b + 1)) + 1) * (phi + FLOOR)
     space = docs.sparkSession.sparkContext.broadcast(build_index([], [], [], terms, idf, (0, 0)))
 
     def vectors(batches):
