@@ -6,10 +6,10 @@ among them, however short a line is. Lines without a token (blank lines) stay.
 
 1. Equal lines become one row, the first occurrence, in a partial aggregate, however many copies there are.
 2. Tokens are ordered by rarity: counts of all tokens, hashed into ``BUCKETS`` levels of one byte.
-3. A line needs one earlier match, not all of them. So it first meets the earliest line that shares two of its extreme token
-   hashes (the two least, the two largest, or the least and the largest), and the earliest one that shares each token of its
-   prefix: a few comparisons for each line, so large groups of near copies are settled without pairing their members. This
-   only saves work; it decides nothing on its own.
+3. A line needs one earlier match, not all of them. So it first meets the earliest line that shares two neighbouring token
+   hashes: its two least, its two largest, or the two that come first from 0 on (three places that the exchange of one token
+   cannot all change): three comparisons for each line, so large groups of near copies are settled without pairing their
+   members. This only saves work; it decides nothing on its own.
 4. All other pairs: the prefix of a line (the tokens of which a match must share one) is joined by token with the
    shorter prefix of lines at most as long; length, position and a 128-bit parity bitmap of the set rule out pairs inside the join
    (a token in one of two sets only changes one bit, so the sets differ in at least as many tokens as bits).
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tauflow.llm.common import packed, shared_folder
 
 NUM, DEN, BUCKETS, FEW = 4, 5, 1 << 17, 1_000_000
-ENDS = ((1, 2), (-1, -2), (1, -1))
+ENDS = ((1, 2), (-1, -2))
 
 
 def tokens_of(line: Column) -> Column:
@@ -119,7 +119,10 @@ def with_prefixes(lines: DataFrame, levels: bytes) -> DataFrame:
         F.monotonically_increasing_id().alias("lid"), "doc_id", "line_no", "_text", "line", size.alias("size"),
         *[_parity(i).alias(f"p{i}") for i in (0, 1)],
         F.slice("_k", F.lit(1), size - _ceil(size * NUM, DEN) + 1).alias("prefix"),
-        F.array(*[F.xxhash64(F.lit(i), F.try_element_at("_h", F.lit(a)), F.try_element_at("_h", F.lit(b))) for i, (a, b) in enumerate(ENDS)]).alias("ends"),
+        F.array(
+            *[F.xxhash64(F.lit(i), F.try_element_at("_h", F.lit(a)), F.try_element_at("_h", F.lit(b))) for i, (a, b) in enumerate(ENDS)],
+            F.xxhash64(F.lit(len(ENDS)), F.slice(F.concat(F.filter("_h", lambda h: h >= 0), "_h"), 1, 2)),
+        ).alias("ends"),
     )
 
 
@@ -156,9 +159,8 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(lines: DataFrame) -> DataFrame:
-    """Each line with the earliest holders of its extreme hashes and of its prefix tokens: a number of pairs in proportion to the keys."""
-    keys = F.explode(F.array_distinct(F.concat("ends", "prefix")))
-    keyed = lines.select("lid", "size", "p0", "p1", "doc_id", "line_no", keys.alias("key"))
+    """Each line with the earliest holders of its three pairs of hashes: at most three pairs for each line."""
+    keyed = lines.select("lid", "size", "p0", "p1", "doc_id", "line_no", F.explode("ends").alias("key"))
     hub = F.min(F.struct(
         "doc_id", "line_no", F.col("lid").alias("b"), F.col("size").alias("b_size"), F.col("p0").alias("q0"), F.col("p1").alias("q1")))
     hubs = keyed.groupBy("key").agg(hub.alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
