@@ -66,12 +66,13 @@ class Index:
     def __post_init__(self):
         self.names = list(self.terms)
 
-    def vector(self, words: list[str]) -> tuple[list[int], np.ndarray]:
-        number = self.terms.get
-        counts = sorted((t, n) for w, n in Counter(words).items() if (t := number(w)) is not None)
-        at = [t for t, _ in counts]
-        x = (1.0 + np.log([n for _, n in counts])) * self.idf[at]
-        return at, x / np.sqrt(x @ x) if at else x
+    def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        counts, number = Counter(words), self.terms.get
+        at = np.array([number(w, -1) for w in counts], np.int64)
+        order = np.argsort(at)[np.count_nonzero(at < 0) :]
+        at, n = at[order], np.fromiter(counts.values(), np.int64, len(counts))[order]
+        x = (1.0 + np.log(n)) * self.idf[at]
+        return at, x / np.sqrt(x @ x) if len(at) else x
 
     def nearest(self, at, x: np.ndarray, k: int = NEIGHBOURS, common: np.ndarray | None = None) -> list[tuple[float, int]]:
         """The k examples of the largest cosine above 0: (cosine, example). ``common``: what the frequent terms add."""
@@ -110,16 +111,16 @@ class Index:
         vectors = [self.vector(terms_of(t)) for t in texts]
         queries = np.zeros((len(texts), len(self.dense)))
         for i, (at, x) in enumerate(vectors):
-            row = self.frequent[at] if at else np.zeros(0, np.int64)
+            row = self.frequent[at]
             queries[i, row[row >= 0]] = x[row >= 0]
         out = []
         for (at, x), common in zip(vectors, queries @ self.dense):
-            near = self.nearest(at, x, common=common) if at else []
+            near = self.nearest(at, x, common=common) if len(at) else []
             for_one, total = self.share / 1.05, 1 / 1.05
             for cosine, e in near:
                 v = self.votes[e] / (0.05 + 1.0 - min(cosine, 1.0))
                 for_one, total = for_one + v * self.labels[e], total + v
-            telling = np.argsort(-x, kind="stable")[:20].tolist() if at else []
+            telling = np.argsort(-x, kind="stable")[:20].tolist()
             out.append((for_one / total, [int(self.ids[e]) for _, e in near[:5]], " ".join(self.names[at[i]] for i in telling)))
         return out
 
@@ -178,11 +179,11 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Index:
     def vectors(batches):
         for texts in batches:
             made = [space.value.vector(terms_of(t)) for t in texts["text"]]
-            keep = [i for i, (at, _) in enumerate(made) if at]
+            keep = [i for i, (at, _) in enumerate(made) if len(at)]
             if keep:
                 yield pd.DataFrame({
                     "doc_id": texts["doc_id"].iloc[keep], "label": texts["label"].iloc[keep],
-                    "at": [np.asarray(made[i][0], np.int64).tobytes() for i in keep], "x": [made[i][1].tobytes() for i in keep],
+                    "at": [made[i][0].tobytes() for i in keep], "x": [made[i][1].tobytes() for i in keep],
                 })
 
     held = sample.mapInPandas(vectors, record(doc_id="long", label="int", at="binary", x="binary")).collect()
