@@ -188,6 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Index:
 
     held = sample.mapInPandas(vectors, record(doc_id="long", label="int", at="binary", x="binary")).collect()
     sample.unpersist()
+    space.destroy()  # nothing is left that could need it again
     held.sort(key=lambda r: r.doc_id)
     weights = (rows.get(0, 0), rows.get(1, 0))
     index = build_index(
