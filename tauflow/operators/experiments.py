@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tauflow.functions.measures import percent_improvement
@@ -14,6 +15,7 @@ from tauflow.operators.sequence import MAX_ROWS
 from tauflow.operators.summary import summarize
 from tauflow.operators.trigger import Trigger
 from tauflow.schemas import POLICIES, PROFILES
+from tauflow.session import staged
 
 # The goals of the comparison, in percent against periodic sending, and runs per cell.
 RATE_GOAL, AOI_GOAL, MAE_GOAL = 60.0, 30.0, -10.0
@@ -66,21 +68,27 @@ def improvement_vs_baseline(summary: DataFrame, keys: Sequence[str] = ("profile"
 def pareto_front(points: DataFrame, keys: Sequence[str], cost: str = "rate_Bps", age: str = "aoi_mean_ms") -> DataFrame:
     """Points of each group that no other point beats on both measures; equal points stay together.
 
-    Summary points are few, but the group may be any set of points: a point survives if its age is below
-    that of all cheaper points and the least among equally cheap ones.
+    A point survives if its age is below that of all cheaper points and the least among equally cheap ones. The
+    group may be any set of points: the best age per cost is put in order in ranges of costs, each in a task of its own, and what the cheaper
+    ranges have reached is carried over from one row per range.
     """
     usable = points.where(~F.isnan(cost) & ~F.isnan(age))
     # Only the best age per cost can survive, which leaves distinct costs to put in order.
     best = usable.groupBy(*keys, cost).agg(F.min(age).alias("_best"))
-    cheaper = Window.partitionBy(*keys).orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
-    front = best.withColumn("_bound", F.min("_best").over(cheaper)).where(
+    # Written, so that both readings see the same ranges.
+    ranged = staged(best.repartitionByRange(*keys, cost).withColumn("_range", F.spark_partition_id()), "cost-ranges")
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    reached = ranged.groupBy(*keys, "_range").agg(F.min("_best").alias("_least"))
+    reached = reached.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_range").alias("_of"), F.min("_least").over(earlier).alias("_reached"))
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys] + [F.col("_range") == F.col("_of")]
+    cheaper = Window.partitionBy(*keys, "_range").orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
+    bound = F.least(F.min("_best").over(cheaper), F.col("_reached"))
+    front = ranged.join(reached, reduce(Column.__and__, same)).withColumn("_bound", bound).where(
         F.col("_bound").isNull() | (F.col("_best") < F.col("_bound"))
     )
-    return (
-        usable.join(front.drop("_bound"), [*keys, cost])
-        .where(F.col(age) == F.col("_best"))
-        .select(*points.columns)
-    )
+    front = front.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col(cost).alias("_cost"), "_best")
+    on_front = [*same[:-1], F.col(cost) == F.col("_cost"), F.col(age) == F.col("_best")]
+    return usable.join(front, reduce(Column.__and__, on_front), "left_semi").select(*points.columns)
 
 
 def policy_sweep(

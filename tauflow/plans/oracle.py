@@ -429,6 +429,14 @@ SELECT seq, valid, last_value(stored IGNORE NULLS) OVER (PARTITION BY {STREAM} O
 sums AS (SELECT {STREAM}, count(*) AS n_pairs, sum(pow(0.99::DOUBLE, age) * x * x1) AS up, sum(pow(0.99::DOUBLE, age) * x1 * x1) AS down
   FROM pairs WHERE x1 IS NOT NULL GROUP BY {STREAM})
 SELECT {STREAM}, n_pairs, round(CASE WHEN down > 0 THEN up / down ELSE 1.0 END, 6) AS a FROM sums""")
+    sql["ar1_rls_update"] = sql["ar1_rls_update_cut"] = _with(["samples"], f"""WITH pairs AS (SELECT seq, {STREAM}, x, lag(x) OVER {stream_window} AS x1,
+    row_number() OVER {stream_window} AS n FROM samples),
+sums AS (SELECT seq, {STREAM}, n, x, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down FROM pairs WHERE n = 1
+  UNION ALL SELECT p.seq, p.device_id, p.sensor, p.n, p.x, 0.99::DOUBLE * s.up + p.x * p.x1, 0.99::DOUBLE * s.down + p.x1 * p.x1
+  FROM sums s JOIN pairs p ON p.device_id = s.device_id AND p.sensor = s.sensor AND p.n = s.n + 1),
+known AS (SELECT seq, x, CASE WHEN down > 0 THEN up / down ELSE 1.0 END AS a FROM sums)
+SELECT seq, round(a, 6) AS a, round(a * x, 6) AS forecast FROM known""", recursive=True)
+    sql["read_mixed_logs"] = _select(["telemetry"], f"SELECT seq, ts_ns, {STREAM}, val, pred, kbits, profile, policy FROM telemetry")
     sql["calibrate"] = _with(["temp_samples"], """WITH c AS (SELECT seq, valid, 1.5::DOUBLE * celsius - 0.75::DOUBLE AS c FROM temp_samples)
 SELECT seq, round(c, 6) AS celsius, valid AND c >= 1.0 AND c <= 60.0 AS valid FROM c""")
     sql["clock_drift"] = _with(["clock_pairs"], """WITH d AS (SELECT *, abs(system_us - rtc_us) / 1e6::DOUBLE AS drift_s FROM clock_pairs)
@@ -502,6 +510,8 @@ FROM scores QUALIFY row_number() OVER (PARTITION BY seq ORDER BY score DESC, arm
     unique = "SELECT device_id, sensor, seq, ts_ns, round(val, 6) AS val FROM telemetry"
     sql["stream_dedup"] = sql["stream_dedup_watermark"] = _select(["telemetry"], unique)
     sql["stream_dedup_accounting"] = sql["dedup_accounting"]
+    sql["stream_dedup_accounting_watermark"] = f"""SELECT * FROM ({sql["dedup_accounting"]}) a
+WHERE ts_ns // 1000000 <= (SELECT max(epoch_us(ts)) // 1000 - 86400000 FROM events)"""
     sql["event_log_round_trip"] = _with(["arrivals"], f"""WITH {ACCOUNTED} SELECT {SCENARIO}, count(*) AS n,
   sum(mqtt_size_bytes)::BIGINT AS bytes, max(t_recv_ns) AS last_recv_ns FROM accounted GROUP BY {SCENARIO}""")
     sql["stream_decisions"] = sql["decision_log_round_trip"] = sql["decode_decisions"]

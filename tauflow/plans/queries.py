@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tauflow.functions import measures, quantize, signals, wire
 from tauflow.operators import (
     aoi,
+    ar1,
     backlog,
     bandit,
     delta,
@@ -28,7 +29,7 @@ from tauflow.plans.run_report import run_report
 from tauflow.schemas import SCENARIO, STREAM
 from tauflow.session import staged, work_folder
 from tauflow.sinks import reports, tables
-from tauflow.sources import audio, messages
+from tauflow.sources import audio, files, messages
 from tauflow.streaming import age as streaming_age
 from tauflow.streaming import bandit as streaming_bandit
 from tauflow.streaming import collect as streaming_collect
@@ -370,6 +371,22 @@ def _strip_partition_names(spark: SparkSession, folder: str) -> None:
             fs.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(path, name[len("_run="):]))
 
 
+@query
+def read_mixed_logs(spark, sf_dir):
+    """Logs of several makes in one reading: Parquet with and without run columns, CSV with two orders of columns and one more column."""
+    folder = work_folder(spark, "mixed")
+    rows = staged(views.telemetry(spark, sf_dir), "telemetry").withColumnRenamed("ts_ns", "ts")
+    bare = (F.col("profile") == "slow_10kbps") & (F.col("policy") == "periodic")
+    kind = F.col("seq") % 3
+    rows.where(bare).drop("profile", "policy").write.parquet(f"{folder}/parquet/slow_10kbps__periodic")
+    rows.where(~bare & (kind == 0)).write.parquet(f"{folder}/parquet/whole")
+    rows.where(~bare & (kind == 1)).write.option("header", True).csv(f"{folder}/csv/a")
+    reversed_columns = rows.withColumn("note", F.lit("x, y")).select("note", *reversed(rows.columns))
+    reversed_columns.where(~bare & (kind == 2)).write.option("header", True).csv(f"{folder}/csv/b")
+    read = files.read_events(spark, [f"{folder}/parquet", f"{folder}/csv"])
+    return read.select("seq", "ts_ns", *STREAM, "val", "pred", "kbits", "profile", "policy")
+
+
 # ---- quantizer
 
 
@@ -466,6 +483,23 @@ def ar1_rls_fit(spark, sf_dir):
     return rounded(sequence.ar1_rls_fit(readings, STREAM, ORDER, "x"), a=6)
 
 
+def _ar1_updates(spark, sf_dir, max_rows: int) -> DataFrame:
+    readings = sequence.cut_long_streams(views.samples(spark, sf_dir), STREAM, max_rows=max_rows)
+    return rounded(ar1.ar1_rls_update(readings, STREAM, ORDER, "x").select("seq", "a", "forecast"), a=6, forecast=6)
+
+
+@query
+def ar1_rls_update(spark, sf_dir):
+    """Coefficient and next forecast after every reading."""
+    return _ar1_updates(spark, sf_dir, sequence.MAX_ROWS)
+
+
+@query
+def ar1_rls_update_cut(spark, sf_dir):
+    """The same with streams cut into slices of some rows, as long ones are."""
+    return _ar1_updates(spark, sf_dir, 10)
+
+
 @query
 def calibrate(spark, sf_dir):
     celsius = signals.calibrate(F.col("celsius"), 1.5, -0.75)
@@ -721,17 +755,35 @@ def stream_dedup_accounting(spark, sf_dir):
     )
 
 
+def _arriving(spark: SparkSession, arrivals: DataFrame, by: str = "t_recv_ns", batches: int = 6) -> DataFrame:
+    """A table as a stream that comes in so many micro-batches, in order of arrival."""
+    source = work_folder(spark, "in")
+    arrivals = staged(arrivals, "arrivals")
+    borders = [-1, *arrivals.approxQuantile(by, [i / batches for i in range(1, batches)], 0.01), float("inf")]
+    for low, high in zip(borders, borders[1:]):  # a file for each micro-batch
+        rows = arrivals.where((F.col(by) > low) & (F.col(by) <= high))
+        rows.coalesce(1).write.mode("append").parquet(source)
+    return spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+
+@query
+def stream_dedup_accounting_watermark(spark, sf_dir):
+    """Final accounts from six micro-batches: all those of events older than a day before the newest one."""
+    sink = work_folder(spark, "out")
+    stream = _arriving(spark, packets.with_event_bytes(views.arrivals(spark, sf_dir)))
+    accounts = streaming_collect.stream_final_accounts(stream, "1 day")
+    streaming_collect.write_log_stream(accounts, sink, work_folder(spark, "checkpoint"), None).awaitTermination()
+    return spark.read.parquet(sink).select(
+        "device_id", "sensor", "seq", "ts_ns", "t_recv_ns", "first_bytes", "mqtt_size_bytes", "copies_dropped", "dup_flag"
+    )
+
+
 @query
 def stream_aoi(spark, sf_dir):
     """Running mean and percentile of each stream's age over six micro-batches in order of arrival, times going back among them."""
-    source, sink = work_folder(spark, "in"), work_folder(spark, "out")
+    sink = work_folder(spark, "out")
     keys, order = [*SCENARIO, "device_id"], ["t_recv_ns", "seq", "copy_no"]
-    arrivals = staged(views.arrivals(spark, sf_dir).select(*keys, *order, "ts_ns"), "arrivals")
-    borders = [-1, *arrivals.approxQuantile("t_recv_ns", [i / 6 for i in range(1, 6)], 0.01), float("inf")]
-    for low, high in zip(borders, borders[1:]):  # a file for each micro-batch
-        rows = arrivals.where((F.col("t_recv_ns") > low) & (F.col("t_recv_ns") <= high))
-        rows.coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = _arriving(spark, views.arrivals(spark, sf_dir).select(*keys, *order, "ts_ns"))
     ages = streaming_age.stream_age(stream, keys, order)
     streaming_collect.write_accounting_stream(ages, sink, work_folder(spark, "checkpoint"), None).awaitTermination()
     latest = streaming_collect.latest_accounts(spark, sink, keys)

@@ -1,13 +1,23 @@
-"""Event logs from Parquet and CSV files."""
+"""Event logs from Parquet and CSV files.
+
+Logs of several versions may lie side by side. A Spark job reads the footer or header of every file, files of the same columns are read
+together with the columns they have, and each file is held against the log's columns. What reaches the driver
+are the paths, which Spark's own listing of a folder brings there as well.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import csv
+import io
+import re
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tauflow.schemas import EVENT, EVENT_KEYS, POLICIES, PROFILES, UNKNOWN
 
@@ -77,16 +87,85 @@ def _covers(directory: Source, file: Source) -> bool:
     return fits and file.path.startswith(directory.path.rstrip("/") + "/")
 
 
-def _read(spark: SparkSession, source: Source) -> DataFrame:
-    reader = spark.read
+def _opened(path: str):
+    """A file on any file system that Arrow knows."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file(re.sub("^file:/*", "/", path))
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
+
+
+def _layout_of(path: str, kind: str) -> list[str] | None:
+    """Columns of a file as ``name type``; None for a CSV file without any content."""
+    with _opened(path) as file:
+        if kind == "parquet":
+            import pyarrow.parquet as pq
+
+            return [f"{f.name} {f.type}" for f in pq.read_schema(file)]
+        with io.TextIOWrapper(file, encoding="utf-8-sig", newline="") as text:
+            header = next(csv.reader(text), None)
+    return None if header is None else [f"{name} string" for name in header]
+
+
+def _layouts(kind: str):
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                try:
+                    layout = _layout_of(path, kind)
+                except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as error:
+                    if "filesystem type" not in str(error):
+                        raise
+                    rows.append((path, None, False))
+                else:
+                    rows.append((path, layout, True))
+            yield pd.DataFrame(rows, columns=["path", "layout", "opened"])
+
+    return read
+
+
+_LAYOUT = T.StructType([
+    T.StructField("path", T.StringType()), T.StructField("layout", T.ArrayType(T.StringType())), T.StructField("opened", T.BooleanType())])
+
+
+def file_layouts(spark: SparkSession, source: Source) -> dict[tuple[str, ...], list[str]]:
+    """Paths of a source's files by their columns. CSV files without any content have no rows and are left out.
+
+    Spark lists the files (their content is not read), and its tasks open each one at its footer or first line. Files on a file system that
+    Arrow does not know are opened by Spark's own reader, one after the other.
+    """
+    reader = spark.read.format("binaryFile")
     if source.pattern:
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", source.pattern)
-    if source.kind == "parquet":
-        df = reader.option("mergeSchema", True).parquet(source.path)
-    else:
-        # All columns as text, typed later; every file's header is held against these names.
-        header = reader.option("header", True).csv(source.path)
-        df = reader.schema(header.schema).option("header", True).option("enforceSchema", False).csv(source.path)
+    files = reader.load(_literal(source.path)).select("path").mapInPandas(_layouts(source.kind), _LAYOUT)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in sorted(files.collect(), key=lambda r: r.path):
+        layout = row.layout
+        if not row.opened:
+            one = spark.read.option("header", source.kind == "csv").format(source.kind).load(_literal(row.path))
+            layout = [f"{f.name} {f.dataType.simpleString()}" for f in one.schema] or None
+        if layout is not None:
+            groups.setdefault(tuple(layout), []).append(row.path)
+    return groups
+
+
+def _literal(path: str) -> str:
+    """A path without wildcards: signs that a path pattern gives a meaning stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def _read(spark: SparkSession, kind: str, layout: Sequence[str], paths: Sequence[str]) -> DataFrame:
+    """Files of one layout; the columns of CSV files are text, typed later."""
+    reader = spark.read.option("recursiveFileLookup", True)
+    if kind == "csv":
+        names = [c.rsplit(" ", 1)[0] for c in layout]
+        reader = reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).option("header", True)
+    df = reader.format(kind).load([_literal(p) for p in paths])
     return df.withColumn(SOURCE_FILE, F.col("_metadata.file_path"))
 
 
@@ -108,13 +187,6 @@ def _with_run(df: DataFrame) -> DataFrame:
     profile, policy = infer_run(F.col(SOURCE_FILE))
     if "profile" not in df.columns and "policy" not in df.columns:
         return df.withColumn("profile", profile).withColumn("policy", policy)
-    if "profile" in df.columns and "policy" in df.columns:
-        # Files of one directory may differ: those without both columns read as null in both.
-        neither = F.col("profile").isNull() & F.col("policy").isNull()
-        return df.withColumns({
-            "profile": F.when(neither, profile).otherwise(F.col("profile")),
-            "policy": F.when(neither, policy).otherwise(F.col("policy")),
-        })
     return df
 
 
@@ -126,19 +198,26 @@ def cast_events(df: DataFrame) -> DataFrame:
 
 
 def read_events(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """All event logs found under ``paths`` as one typed table, each row tagged with its file."""
+    """All event logs found under ``paths`` as one typed table, each row tagged with its file.
+
+    A file without one of the log's columns stops the reading and is named; profile and policy may both be absent, then the folder's
+    name tells them. CSV files may each have an order of columns of their own.
+    """
     paths = list(paths)
     sources = discover_inputs(spark, paths)
     if not sources:
         raise FileNotFoundError(f"no parquet or csv input below {paths}")
     parts = []
     for source in sources:
-        df = _with_run(_read(spark, source))
-        for old, new in RENAMED.items():
-            if old in df.columns and new not in df.columns:
-                df = df.withColumnRenamed(old, new)
-        require_columns(df, ["ts_ns" if k == "ts" else k for k in EVENT_KEYS], source.path)
-        parts.append(cast_events(df))
+        for layout, files in file_layouts(spark, source).items():
+            df = _with_run(_read(spark, source.kind, layout, files))
+            for old, new in RENAMED.items():
+                if old in df.columns and new not in df.columns:
+                    df = df.withColumnRenamed(old, new)
+            require_columns(df, ["ts_ns" if k == "ts" else k for k in EVENT_KEYS], files[0])
+            parts.append(cast_events(df))
+    if not parts:
+        raise FileNotFoundError(f"no parquet or csv file with content below {paths}")
     return union_sources(parts)
 
 

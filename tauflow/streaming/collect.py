@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -33,7 +33,7 @@ def stream_dedup(events: DataFrame, lateness: str | None = None) -> DataFrame:
     """
     if lateness is None:
         return events.dropDuplicates(list(EVENT_ID))
-    timed = events.withColumn("event_time", F.timestamp_micros((F.col("ts_ns") / 1000).cast("bigint")))
+    timed = events.withColumn("event_time", event_times())
     return timed.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(list(EVENT_ID)).drop("event_time")
 
 
@@ -42,6 +42,21 @@ def stream_dedup_accounting(arrivals: DataFrame, size: str = "mqtt_bytes") -> Da
     return dedup_accounting(arrivals, size, order=("t_recv_ns",))
 
 
+def event_times() -> Column:
+    return F.timestamp_micros((F.col("ts_ns") / 1000).cast("bigint"))
+
+
+def stream_final_accounts(arrivals: DataFrame, lateness: str, size: str = "mqtt_bytes") -> DataFrame:
+    """The account of each event id, given out once and then forgotten: when an event ``lateness`` newer has come.
+
+    State holds the ids of the newest ``lateness`` of event time only. Copies that come later than that are left out, as
+    are the accounts of that newest stretch until the stream goes on; copies carry the time of their event. Spark's watermark starts
+    at 1970, so events of before count as late. For output mode "append".
+    """
+    timed = arrivals.withColumn("event_time", event_times()).withWatermark("event_time", lateness)
+    return dedup_accounting(timed, size, order=("t_recv_ns",), key=(*EVENT_ID, "event_time")).drop("event_time")
+
+
 def _trigger(writer, flush_s: float | None):
     # One bounded run over what is there, or a flush every so many seconds.
     return writer.trigger(availableNow=True) if flush_s is None else writer.trigger(processingTime=f"{flush_s} seconds")

@@ -70,11 +70,35 @@ def test_missing_columns_are_named(spark, tmp_path):
         read_events(spark, [str(tmp_path)])
 
 
-def test_csv_headers_are_held_against_each_other(spark, tmp_path):
+def test_one_file_without_a_column_is_named(spark, tmp_path):
+    write_file(log(spark), tmp_path, "a.parquet")
+    write_file(log(spark).drop("tau"), tmp_path / "old", "b.parquet")
+    with pytest.raises(ValueError, match=r"old/b.parquet missing columns: \['tau'\]"):
+        read_events(spark, [str(tmp_path)])
+    # The one of the two run columns that a file lacks is not guessed.
+    write_file(log(spark).drop("policy"), tmp_path / "slow_10kbps__adaptive", "events.parquet")
+    with pytest.raises(ValueError, match=r"missing columns: \['policy'\]"):
+        read_events(spark, [str(tmp_path / "slow_10kbps__adaptive")])
+
+
+def test_csv_files_are_read_by_their_own_headers(spark, tmp_path):
+    rows = log(spark).withColumn("seq", F.col("seq") + 100)
     write_file(log(spark), tmp_path, "a.csv", "csv")
-    write_file(log(spark).select("seq", *[c for c in log(spark).columns if c != "seq"]), tmp_path, "b.csv", "csv")
-    with pytest.raises(Exception, match="(?i)header"):
-        read_events(spark, [str(tmp_path)]).collect()
+    write_file(rows.select("seq", "sensor", *[c for c in rows.columns if c not in ("seq", "sensor")]), tmp_path, "b [1].csv", "csv")
+    write_file(rows.withColumn("a, b", F.lit("1")).drop("profile", "policy"), tmp_path / "slow_10kbps__adaptive", "c.csv", "csv")
+    (tmp_path / "empty.csv").write_text("")
+    got = read_events(spark, [str(tmp_path)])
+    assert sorted(r.seq for r in got.collect()) == [0, 1, 2, 3, 100, 100, 101, 101, 102, 102, 103, 103]
+    assert {r.sensor for r in got.collect()} == {"temp"} and got.where("policy = 'adaptive'").count() == 4
+    with pytest.raises(ValueError, match=r"d.csv missing columns: \['tau'\]"):
+        write_file(log(spark).drop("tau"), tmp_path / "x", "d.csv", "csv")
+        read_events(spark, [str(tmp_path)])
+
+
+def test_only_empty_csv_files(spark, tmp_path):
+    (tmp_path / "empty.csv").write_text("")
+    with pytest.raises(FileNotFoundError):
+        read_events(spark, [str(tmp_path)])
 
 
 def test_collector_names_are_accepted(spark, tmp_path):
