@@ -53,6 +53,11 @@ def _pieces(text: Column) -> Column:
     return F.split(F.replace(F.replace(text, F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" ")), " ")
 
 
+def _blank(line: Column) -> Column:
+    """Whether a line has no token; looks no further than its first one."""
+    return F.ltrim(line, F.lit(" \t\r")) == ""
+
+
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
@@ -97,7 +102,7 @@ def first_lines(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("_text"), lines_of(F.col("text")).alias("_lines"))
     lines = rows.select("doc_id", "_text", F.posexplode("_lines").alias("line_no", "line"))
-    lines = lines.where(F.size(_words(F.col("line"))) > 0)
+    lines = lines.where(~_blank(F.col("line")))
     place = F.struct("doc_id", "line_no", "_text", "line")
     first = lines.groupBy(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2")).agg(F.min(place).alias("f"))
     return first.select("f.*")
@@ -230,8 +235,7 @@ def remove_copied_lines(docs: DataFrame) -> DataFrame:
             F.array_repeat(F.lit(False), k - F.coalesce(F.get(F.col("kept"), i - 1), F.lit(-1)) - 1), F.array(F.lit(True))
         ),
     )
-    blank = lambda line: F.size(_words(line)) == 0
-    stays = F.zip_with(lines_of(text), F.flatten(gaps), lambda line, flag: F.when(F.coalesce(flag, F.lit(False)) | blank(line), line))
+    stays = F.zip_with(lines_of(text), F.flatten(gaps), lambda line, flag: F.when(F.coalesce(flag, F.lit(False)) | _blank(line), line))
     rows = rows.select("_doc", "kept", stays.alias("_stays"))
     left = F.array_compact("_stays")
     return rows.select(
