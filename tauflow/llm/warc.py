@@ -5,9 +5,12 @@ page already has, a revisit without it), the request, and a metadata record. Rec
 functions, and Spark's text writer puts them into gzip files of a bounded number of records, with the end mark of a
 record as line end. Of pages with equal payloads of ``LEAST`` bytes or more, those with the smallest page_id are responses.
 
-Reading: a file is parsed by the lengths its records state, so a payload may hold anything. Payloads are hashed as they
-are read. ``assemble`` brings the records of one capture together by their concurrent-to identifiers in one shuffle and
-emits one nested row per capture; ``resolve_revisits`` finds what a revisit repeats by the payload's digest.
+Reading: Spark's text reader inflates a file as a stream and cuts it at ``MARK``, the beginning of a record. A cut inside a
+payload is undone by the length that the record states, so a payload may hold anything. A task holds one Arrow batch
+(bounded by bytes) and one record, however large the archive. Payloads are hashed as they are read. ``assemble`` brings the
+records of one capture together by their concurrent-to identifiers in one shuffle and emits one nested row per capture;
+``resolve_revisits`` finds what a revisit repeats by the payload's digest. Digests that many pages share are spread
+over ``PARTS`` tasks in both joins.
 
 Null html is an empty payload; a null page_id is not written and reads back as null, and is never the smallest;
 rows that repeat a page_id and payload are all responses or all revisits; null urls read back as null. Other columns are not read.
@@ -17,8 +20,8 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 
 from tauflow.llm.common import record, shared_folder
 
-LEAST, RECORDS_PER_FILE = 100, 30_000
+LEAST, RECORDS_PER_FILE, PARTS, BATCH_BYTES = 100, 30_000, 64, 16 << 20
+MARK = b"WARC/1."
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -53,6 +57,11 @@ def _record(kind: Column | str, record_id: Column, block: Column, **headers: Col
     return F.concat(F.lit("WARC/1.1\r\n"), F.concat_ws("\r\n", *lines), F.lit(END), block)
 
 
+def _part(*columns: str) -> Column:
+    """Splits rows of one digest among tasks."""
+    return F.pmod(F.xxhash64(*columns), F.lit(PARTS)).cast("int")
+
+
 def archive_folder(spark: SparkSession) -> str:
     """A new folder in the shared work folder of the cluster."""
     return f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
@@ -65,13 +74,18 @@ def write_captures(pages: DataFrame, path: str, least: int = LEAST) -> None:
         "page_id", F.regexp_replace("url", r"[\r\n]", "").alias("url"), html.alias("html"),
         F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).cast("bigint").alias("n"),
     )
+    # Payloads below the limit are no one's copy and stay out of the join.
+    rows = rows.withColumn("_part", _part("page_id", "url"))
+    small, large = rows.where(F.col("n") < least), rows.where(F.col("n") >= least)
+    parts = large.groupBy("digest", "_part").agg(
+        F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count(F.lit(1)).alias("_same"))
     groups = (
-        rows.where(F.col("n") >= least).groupBy("digest")
-        .agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count(F.lit(1)).alias("_same"))
-        .where("_same > 1").select(F.col("digest").alias("_digest"), "first", "first_url")
+        parts.groupBy("digest").agg(F.min("first").alias("_first"), F.min_by("first_url", "first").alias("_first_url"), F.sum("_same").alias("_same"))
+        .where("_same > 1").drop("_same")
     )
-    # Payloads below the limit are no one's copy; a null key keeps them out of the join's partitions of real keys.
-    rows = rows.join(groups, F.when(F.col("n") >= least, F.col("digest")) == F.col("_digest"), "left")
+    repeated = parts.select("digest", "_part").join(groups, "digest")
+    rows = large.join(repeated, ["digest", "_part"], "left").unionByName(small, allowMissingColumns=True)
+    rows = rows.withColumnsRenamed({"_first": "first", "_first_url": "first_url"})
     rows = rows.withColumn("_new", F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first")))
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
     ids = {kind: _urn(F.lit(kind), F.col("_row"), F.col("page_id"), F.col("digest")) for kind in ("response", "request", "metadata")}
@@ -100,33 +114,41 @@ def write_captures(pages: DataFrame, path: str, least: int = LEAST) -> None:
 
 
 def parse_records(data: bytes) -> Iterator[dict]:
-    """Records of one archive, by the lengths they state. A broken end raises an error rather than losing records."""
-    if data[:2] == b"\x1f\x8b":
-        parts, rest = [], data
-        while rest:  # one member for the file or one per record
-            member = zlib.decompressobj(31)
-            parts.append(member.decompress(rest) + member.flush())
-            rest = member.unused_data
-        data = b"".join(parts)
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            if data[at:].strip(b"\r\n"):
-                raise ValueError(f"no WARC record at byte {at}")
-            return
+    """Records of one archive in memory, see ``records_of``."""
+    return records_of(data.split(MARK))
+
+
+def records_of(pieces: Iterable[bytes]) -> Iterator[dict]:
+    """Records of one archive that comes in pieces, cut at every ``MARK``; the lengths that records state tell which cuts
+    are theirs. Anything else between records, or a broken end, raises an error rather than losing records."""
+    pieces = iter(pieces)
+    if next(pieces, b"").strip(b"\r\n"):
+        raise ValueError("the archive does not begin with a record")
+    for piece in pieces:
+        parts, size = [piece], len(piece)
+        while (end := piece.find(END.encode())) < 0:  # a mark inside the head
+            piece = piece + MARK + _next(pieces)
+            parts, size = [piece], len(piece)
         heads: dict[str, str] = {}
-        for line in data[at:end].decode().split("\r\n")[1:]:
+        for line in piece[:end].decode().split("\r\n")[1:]:
             name, _, value = line.partition(":")
             heads.setdefault(name.strip().lower(), value.strip())
-        start = end + 4
-        at = start + int(heads["content-length"])
-        block = data[start:at]
-        if len(block) != at - start:
-            raise ValueError("archive ends inside a record")
-        while data.startswith(b"\r\n", at):
-            at += 2
-        yield {"heads": heads, "block": block}
+        start = end + len(END)
+        stop = start + int(heads["content-length"])
+        while size < stop:
+            parts += [MARK, _next(pieces)]
+            size += len(MARK) + len(parts[-1])
+        whole = b"".join(parts)
+        if whole[stop:].strip(b"\r\n"):
+            raise ValueError(f"a record is longer than it states: {heads.get('warc-record-id')}")
+        yield {"heads": heads, "block": whole[start:stop]}
+
+
+def _next(pieces: Iterator[bytes]) -> bytes:
+    piece = next(pieces, None)
+    if piece is None:
+        raise ValueError("archive ends inside a record")
+    return piece
 
 
 def _row(r: dict, with_payload: bool) -> tuple:
@@ -143,22 +165,27 @@ def _row(r: dict, with_payload: bool) -> tuple:
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """One row per record of the archives in a folder; a task holds the files of one input split."""
+    """One row per record of the archives (``*.gz``) in a folder. A gzip file is read by one task, from its beginning to its end."""
 
-    def parse(batches: Iterator[pd.DataFrame]):
+    def pieces_by_file(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, bytes]]:
         for batch in batches:
-            for content in batch["content"]:
-                rows = []
-                for r in parse_records(content):
-                    rows.append(_row(r, with_payload))
-                    if len(rows) == 2000:
-                        yield pd.DataFrame(rows, columns=RECORDS.names).astype({"payload_bytes": "Int64"})
-                        rows = []
-                if rows:
+            yield from zip(batch["file"], batch["piece"])
+
+    def parse(batches: Iterator[pd.DataFrame]):
+        rows, held = [], 0
+        for _, pieces in groupby(pieces_by_file(batches), key=lambda p: p[0]):
+            for r in records_of(piece for _, piece in pieces):
+                rows.append(_row(r, with_payload))
+                held += len(r["block"]) if with_payload else 0
+                if len(rows) == 2000 or held > BATCH_BYTES:
                     yield pd.DataFrame(rows, columns=RECORDS.names).astype({"payload_bytes": "Int64"})
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=RECORDS.names).astype({"payload_bytes": "Int64"})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInPandas(parse, RECORDS)
+    files = spark.read.option("pathGlobFilter", "*.gz").option("lineSep", MARK.decode()).text(path)
+    pieces = files.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece"))
+    return pieces.mapInPandas(parse, RECORDS)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -190,7 +217,9 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     )
     whole = flat.where(F.col("record_type") == "response")
     firsts = whole.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.max("payload_bytes").alias("full"))
-    revisits = flat.where(F.col("record_type") == "revisit").join(firsts, "payload_digest", "left").select(
+    revisits = flat.where(F.col("record_type") == "revisit").withColumn("_part", _part("page_id", "url"))
+    told = revisits.select("payload_digest", "_part").distinct().join(firsts, "payload_digest")
+    revisits = revisits.join(told, ["payload_digest", "_part"], "left").select(
         "page_id", "url", F.col("full").alias("payload_bytes"), "payload_digest", "record_type", F.col("first").alias("refers_to")
     )
     return whole.withColumn("refers_to", F.lit(None).cast("bigint")).unionByName(revisits)
