@@ -6,7 +6,10 @@ posterior over the domains; long texts count as at most about ``EFFECTIVE`` inde
 posterior p, taken at rate r, adds r * n * p[d] expected words to domain d. The rates are the least-squares solution
 under r >= 0 of "totals equal targets", found by projected gradient from r = 1. Squares are measured by the inverse of the
 domains' Gram matrix (4 x 4, words times posterior times posterior, summed on the cluster); in that measure the gradient has a
-Lipschitz constant of 1, so the step length is 1 and steps are few.
+Lipschitz constant of 1, so the step length is 1. Each step is drawn on by the one before (Nesterov's momentum, dropped when the
+squares grow). Steps go on until every total is within ``CLOSE`` of its target, or, where no rates can meet the targets, until a
+step of the projected gradient moves the rates by less than ``STILL`` of their size: then they are the least-squares solution.
+Column ``met`` says which. After ``STEPS`` steps without either an error is raised.
 
 The Gram matrix and the totals are sums over the documents' unrounded posteriors, a Spark aggregate per step over a narrow
 table. A rate is a function of the posterior and of the steps taken, so it is computed
@@ -19,6 +22,8 @@ share one result and each get their row. Other columns are not read.
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass, field
 from math import log
 
 import numpy as np
@@ -30,7 +35,7 @@ from tauflow.llm.common import kept_for_reuse, labelled_sample, packed
 #: (quality, toxic) of each domain, and the wanted shares of words.
 DOMAINS = ((0, 0), (0, 1), (1, 0), (1, 1))
 TARGETS = (0.04, 0.01, 0.93, 0.02)
-SAMPLE, BUCKETS, EFFECTIVE, STEPS, CLOSE = 2000, 1 << 14, 200.0, 40, 1e-3
+SAMPLE, BUCKETS, EFFECTIVE, STEPS, CLOSE, STILL = 2000, 1 << 14, 200.0, 2000, 1e-3, 1e-6
 _D = range(len(DOMAINS))
 
 
@@ -96,50 +101,80 @@ def _shares() -> list[Column]:
     return [F.col(f"k{d}") for d in _D]
 
 
-def _rate(steps: list[list[float]]) -> Column:
-    """Rate after the steps taken: each moves it against the gradient and back to at least 0."""
+@dataclass
+class Fit:
+    """Steps taken (gradient in the domains, momentum after it), the totals they lead to, and whether these are the wanted ones."""
+
+    steps: list[list[float]] = field(default_factory=list)
+    wanted: list[float] = field(default_factory=list)
+    reached: list[float] = field(default_factory=list)
+    met: bool = True
+
+
+def _walk(steps: list[list[float]]) -> Column:
+    """After the steps: the rate projected last, the rate to go on from, and how far the last step of the gradient went."""
+    start = F.struct(F.lit(1.0).alias("last"), F.lit(1.0).alias("rate"), F.lit(0.0).alias("moved"))
     if not steps:
-        return F.lit(1.0)
+        return start
     shares = F.array(*_shares())
-    history = F.array(*[F.array(*[F.lit(float(g)) for g in step]) for step in steps])
-    down = lambda g: sum((F.get(shares, F.lit(d)) * F.get(g, F.lit(d)) for d in _D), F.lit(0.0))
-    return F.aggregate(history, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - down(g)))
+    history = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")  # one constant, however many steps
+
+    def go(s: Column, step: Column) -> Column:
+        down = sum((F.get(shares, F.lit(d)) * F.get(step, F.lit(d)) for d in _D), F.lit(0.0))
+        new = F.greatest(F.lit(0.0), s.rate - down)
+        on = F.greatest(F.lit(0.0), new + F.get(step, F.lit(len(DOMAINS))) * (new - s.last))
+        return F.struct(new.alias("last"), on.alias("rate"), (new - s.rate).alias("moved"))
+
+    return F.aggregate(history, start, go)
+
+
+def _rate(found: Fit) -> Column:
+    """Rate of a document by its posterior."""
+    return _walk(found.steps).getField("rate")
 
 
-def fit(found: DataFrame, targets: tuple[float, ...] = TARGETS) -> list[list[float]]:
-    """Steps of the projected gradient; each is one aggregate over all documents."""
+def fit(found: DataFrame, targets: tuple[float, ...] = TARGETS) -> Fit:
+    """Projected gradient; each step is one aggregate over all documents."""
     cells = found.select(*[f"k{d}" for d in _D], (F.col("n_tokens") * F.col("copies")).cast("double").alias("n"))
     shares, pairs = _shares(), [(a, b) for a in _D for b in _D]
-    total = lambda *columns: [float(x or 0.0) for x in cells.agg(*[F.sum(F.col("n") * c) for c in columns]).first()]
-    sums = total(*shares, *[shares[a] * shares[b] for a, b in pairs])
-    own, gram = np.array(sums[: len(DOMAINS)]), np.array(sums[len(DOMAINS) :]).reshape(len(DOMAINS), -1)
+    total = lambda rows, *columns: np.array([float(x or 0.0) for x in rows.agg(*[F.sum(F.col("n") * c) for c in columns]).first()])
+    sums = total(cells, *shares, *[shares[a] * shares[b] for a, b in pairs])
+    own, gram = sums[: len(DOMAINS)], sums[len(DOMAINS) :].reshape(len(DOMAINS), -1)
     wanted = np.where(own > 0, targets, 0.0)
+    if wanted.sum() <= 0:
+        return Fit()
+    lead = int(wanted.argmax())
+    goal, inverse = wanted / wanted[lead] * own[lead], np.linalg.pinv(gram, hermitian=True)
+    close = CLOSE * np.where(goal > 0, goal, np.maximum(own, 1.0))
     steps: list[list[float]] = []
-    last = None
-    if wanted.sum() > 0:
-        lead = int(wanted.argmax())
-        goal, inverse = wanted / wanted[lead] * own[lead], np.linalg.pinv(gram, hermitian=True)
-        for _ in range(STEPS):
-            gaps = np.array(total(*[s * _rate(steps) for s in shares])) - goal
-            # Done if the totals are met, or if they no longer move (targets that no rates can meet).
-            size = CLOSE * np.maximum(own, 1.0)
-            if np.all(np.abs(gaps) <= size) or last is not None and np.all(np.abs(gaps - last) <= size / 10):
-                break
-            last = gaps
-            steps.append((inverse @ gaps).tolist())
-    return steps
+    least, pace = np.inf, 1.0
+    while len(steps) <= STEPS:
+        state = _walk(steps)
+        walked = cells.withColumn("_s", state)
+        *reached, size, moved = total(walked, *[s * F.col("_s.rate") for s in shares], F.col("_s.last") ** 2, F.col("_s.moved") ** 2)
+        gaps = np.array(reached) - goal
+        met = bool(np.all(np.abs(gaps) <= close))
+        if met or steps and moved <= STILL**2 * size:
+            return Fit(steps, goal.tolist(), list(reached), met)
+        down = inverse @ gaps
+        squares = float(gaps @ down)
+        pace = 1.0 if squares > least else pace
+        least, after = squares, (1 + (1 + 4 * pace * pace) ** 0.5) / 2
+        steps.append([*down.tolist(), (pace - 1) / after])
+        pace = after
+    raise RuntimeError(f"the rates do not settle within {STEPS} steps")
 
 
 def document_rates(
     docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS, training: DataFrame | None = None
 ) -> DataFrame:
-    """One row per document row: doc_id, _key, n_tokens, posterior per domain (p_<quality><toxic>), rate."""
+    """One row per document row: doc_id, _key, n_tokens, posterior per domain (p_<quality><toxic>), rate, met (targets are met)."""
     found = kept_for_reuse(posteriors(docs, labels, training))
-    steps = fit(found, targets)
+    fitted = fit(found, targets)
     shares = [F.round(s, 6).alias(f"p_{q}{t}") for s, (q, t) in zip(_shares(), DOMAINS)]
-    rated = found.withColumn("rate", F.round(_rate(steps), 6))
+    rated = found.withColumn("rate", F.round(_rate(fitted), 6))
     one_each = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
-    return rated.select("doc_id", "_key", "n_tokens", *shares, "rate", one_each).drop("_copy")
+    return rated.select("doc_id", "_key", "n_tokens", *shares, "rate", F.lit(fitted.met).alias("met"), one_each).drop("_copy")
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None) -> DataFrame:
