@@ -181,8 +181,8 @@ def publish_size(spark, sf_dir):
 @query
 def remaining_length_bytes(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents")
-    # Up to the fourth power of the length, to reach all size classes and the error beyond them.
-    size = F.pow(F.col("n_chars").cast("double"), 1 + F.col("doc_id") % 4).cast("bigint")
+    # Up to the fourth power of the length, to reach all size classes and the error beyond them; null above 64 bits.
+    size = F.pow(F.col("n_chars").cast("double"), 1 + F.col("doc_id") % 4).try_cast("bigint")
     return docs.select("doc_id", size.alias("size")).select("doc_id", "size", wire.remaining_length_bytes(F.col("size")).alias("n"))
 
 
