@@ -21,13 +21,14 @@ Then all slices run in parallel. Readings pass through Python as Arrow tables, s
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +36,7 @@ from tauflow.functions.quantize import quantize, sensor_range
 from tauflow.operators.sequence import MAX_ROWS, SLICE, cut_long_streams
 from tauflow.operators.trigger import PERIODIC, Trigger, replay
 from tauflow.schemas import STREAM
+from tauflow.session import staged
 
 _SEED, _LAST = "_seed", "_last_sent"
 _NEVER = -(2**63) + 1
@@ -178,8 +180,10 @@ def _sender(keys: list[str], value: str, triggers: list[Trigger], carried: list[
 def _slice_states(rows: DataFrame, keys: list[str], value: str, triggers: list[Trigger]) -> tuple[DataFrame, DataFrame]:
     """The rows, slices joined where needed, and seed rows (keys, slice, value = forecast, last message).
 
-    There is a seed for every setting and slice but a stream's first. Streams that are not cut have slice null.
+    There is a seed for every setting and slice but a stream's first. Streams that are not cut have slice null. Rows and the
+    table of slices are written once, as three passes read them; nothing here has a cost per stream but its rows.
     """
+    rows = staged(rows, "sliced-readings")
     long_rows = rows.where(F.col(SLICE).isNotNull()).select(*keys, SLICE, "ts_ns", "seq", value)
     key_fields = [f for f in rows.schema if f.name in keys]
     key_fields.sort(key=lambda f: keys.index(f.name))
@@ -188,33 +192,60 @@ def _slice_states(rows: DataFrame, keys: list[str], value: str, triggers: list[T
     def schema(*extra):
         return T.StructType([*slice_fields, *[T.StructField(n, t) for n, t in extra]])
 
-    doubles, longs = T.ArrayType(T.DoubleType()), T.ArrayType(T.LongType())
+    longs = T.ArrayType(T.LongType())
     no_seed = long_rows.withColumn(_SEED, F.lit(None).cast("int"))
 
-    # One row for each cut stream, and some rows for each slice: as few as the list of long streams and its slices.
-    bounds = long_rows.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-    bounded = no_seed.join(F.broadcast(bounds), keys)
-    ends = _in_stream_order(bounded, keys).mapInArrow(_slice_ends(keys, value, triggers), schema(("ends", doubles)))
-    joined = ends.groupBy(*keys).applyInPandas(
-        _join_slices(keys, triggers), schema(("_part", T.LongType()), ("starts", doubles))
+    # Least and largest reading of the stream come as the first two rows of each of its slices.
+    stream = Window.partitionBy(*keys)
+    bounds = long_rows.groupBy(*keys, SLICE).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    both = F.array(F.min("_low").over(stream), F.max("_high").over(stream))
+    bounds = bounds.select(*keys, SLICE, both.alias("_both")).select(*keys, SLICE, F.posexplode("_both").alias(_SEED, value))
+    bounded = no_seed.unionByName(bounds, allowMissingColumns=True)
+    ends = _in_stream_order(bounded, keys).mapInArrow(
+        _slice_ends(keys, value, triggers), schema(("ends", T.ArrayType(T.DoubleType())))
     )
-    parts = joined.select(*keys, SLICE, "_part")
-
-    def renumbered(df: DataFrame) -> DataFrame:
-        moved = df.join(F.broadcast(parts), [*keys, SLICE], "left")
-        return moved.withColumn(SLICE, F.coalesce("_part", SLICE)).drop("_part").select(*df.columns)
-
-    seeds = joined.where((F.col(SLICE) == F.col("_part")) & F.col("starts").isNotNull())
-    seeds = seeds.select(*keys, SLICE, F.posexplode("starts").alias(_SEED, value)).where(F.col(value).isNotNull())
-    with_forecasts = renumbered(no_seed).unionByName(seeds, allowMissingColumns=True)
-    steps = _in_stream_order(with_forecasts, keys).mapInArrow(
-        _last_sent_steps(keys, value, triggers),
-        schema((_SEED, T.IntegerType()), (value, T.DoubleType()), ("until", longs), ("sent", longs)),
+    joined = staged(_joined_slices(ends, keys, triggers), "joined-slices")
+
+    def renumbered(df: DataFrame, parts: DataFrame, how: str) -> DataFrame:
+        there = parts.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col(SLICE).alias("_of"), "_part")
+        same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)] + [F.col(SLICE) == F.col("_of")]
+        moved = df.join(there, reduce(Column.__and__, same), how)
+        return moved.withColumn(SLICE, F.coalesce("_part", SLICE)).select(*df.columns)
+
+    starts = joined.where((F.col(SLICE) == F.col("_part")) & F.col("starts").isNotNull())
+    seeds = starts.select(*keys, SLICE, "_final", F.posexplode("starts").alias(_SEED, value)).where(F.col(value).isNotNull())
+    # Nothing follows a stream's final slice, so its last message is not needed.
+    followed = renumbered(no_seed, joined.where(~F.col("_final")), "inner")
+    followed = followed.unionByName(seeds.where(~F.col("_final")).drop("_final"), allowMissingColumns=True)
+    steps = _in_stream_order(followed, keys).mapInArrow(
+        _last_sent_steps(keys, value, triggers), schema((_SEED, T.IntegerType()), ("until", longs), ("sent", longs))
     )
-    states = steps.groupBy(*keys).applyInPandas(
+    # The seed of a slice comes before the step of that slice.
+    by = [*keys, _SEED, SLICE]
+    turns = seeds.drop("_final").unionByName(steps, allowMissingColumns=True)
+    turns = turns.repartition(*keys, _SEED).sortWithinPartitions(*by, F.col("until").isNotNull())
+    states = turns.mapInArrow(
         _fold_last_sent(keys, value), schema((_SEED, T.IntegerType()), (value, T.DoubleType()), (_LAST, T.LongType()))
     )
-    return renumbered(rows), states
+    return renumbered(rows, joined, "left"), states
+
+
+def _joined_slices(ends: DataFrame, keys: list[str], triggers: list[Trigger]) -> DataFrame:
+    """Slices with ``_part``, the first slice of those joined; ``starts``, the forecasts before it where they are known; ``_final``.
+
+    A slice starts a part if the forecasts after the slice before it are known for all settings of the sensor.
+    """
+    in_order = Window.partitionBy(*keys).orderBy(SLICE)
+    before = ends.withColumn("_before", F.lag("ends").over(in_order))
+    known = F.col("_before").isNotNull()
+    for i, t in enumerate(triggers):
+        end = F.get("_before", F.lit(i))
+        applies = F.lit(True) if t.sensor is None else F.col("sensor").eqNullSafe(F.lit(t.sensor))
+        known = known & (~applies | (end.isNotNull() & ~F.isnan(end)))
+    before = before.withColumn("_known", known).withColumn("_first", F.lag(SLICE).over(in_order).isNull())
+    part = F.max(F.when(F.col("_known") | F.col("_first"), F.col(SLICE))).over(in_order)
+    found = before.withColumn("_part", part).withColumn("_final", F.col("_part") == F.max("_part").over(Window.partitionBy(*keys)))
+    return found.select(*keys, SLICE, "_part", "_final", F.when(F.col("_known"), F.col("_before")).alias("starts"))
 
 
 def _after(alpha: float, forecast: float, values: list) -> float:
@@ -247,49 +278,39 @@ def _slice_ends(keys: list[str], value: str, triggers: list[Trigger]):
 
     def ends(batches):
         current, first, tail, low, high = None, None, [], 0.0, 0.0
-
-        def row():
-            names = [*keys, SLICE, "ends"]
-            arrays = [pa.array([k], pa.string() if isinstance(k, str) else None) for k in current]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array([finish(current, first, tail, low, high)], pa.list_(pa.float64()))], names=names)
-
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values, lows, highs = _doubles(batch, value).tolist(), _doubles(batch, "_low"), _doubles(batch, "_high")
+            done = []
+            seed, values = _longs(batch, _SEED, -1).tolist(), _doubles(batch, value).tolist()
             for key, a, b in _pieces(batch, keys):
                 if key != current:
                     if current is not None:
-                        yield row()
-                    current, tail, low, high = key, [], float(lows[a]), float(highs[a])
-                    first = [values[a]] * len(triggers) if key[-1] == 0 else None
-                    a += first is not None
-                if first is not None:
+                        done.append([*current, finish(current, first, tail, low, high)])
+                    current, first, tail = key, None, []
+                while a < b and seed[a] >= 0:
+                    low, high = (values[a], high) if seed[a] == 0 else (low, values[a])
+                    a += 1
+                if key[-1] == 0 and a < b:
+                    if first is None:
+                        first = [values[a]] * len(triggers)
+                        a += 1
                     first = [_after(t.alpha, f, values[a:b]) for t, f in zip(triggers, first)]
-                tail = (tail + values[a:b])[-_TAIL:]
+                else:
+                    tail = (tail + values[a:b])[-_TAIL:]
+            if done:
+                yield _as_batch(done, batch, keys, [("ends", pa.list_(pa.float64()))])
         if current is not None:
-            yield row()
+            yield _as_batch([[*current, finish(current, first, tail, low, high)]], batch, keys, [("ends", pa.list_(pa.float64()))])
 
     return ends
 
 
-def _join_slices(keys: list[str], triggers: list[Trigger]):
-    sensor_at = keys.index("sensor")
-
-    def join(slices: pd.DataFrame) -> pd.DataFrame:
-        key = slices[keys].iloc[0].tolist()
-        used = [i for i, t in enumerate(triggers) if t.applies_to(key[sensor_at])]
-        out, part, before = [], None, None
-        for number, ends in slices.sort_values(SLICE)[[SLICE, "ends"]].itertuples(index=False):
-            known = before is not None and all(before[i] is not None and not np.isnan(before[i]) for i in used)
-            if part is None or known:
-                part = number
-            starts = [float(before[i]) if i in used else None for i in range(len(triggers))] if known else None
-            out.append([*key, number, part, starts])
-            before = list(ends)
-        return pd.DataFrame(out, columns=[*keys, SLICE, "_part", "starts"])
-
-    return join
+def _as_batch(rows: list, like: pa.RecordBatch, keys: list[str], extra: list) -> pa.RecordBatch:
+    """Rows of keys, slice and the ``extra`` (name, type) columns; keys have the types they have in ``like``."""
+    kinds = [*[like.schema.field(k).type for k in keys], pa.int64(), *[kind for _, kind in extra]]
+    arrays = [pa.array(list(c), kind) for c, kind in zip(zip(*rows), kinds)]
+    return pa.RecordBatch.from_arrays(arrays, names=[*keys, SLICE, *[name for name, _ in extra]])
 
 
 def last_sent_steps(trigger: Trigger, times: np.ndarray, exceeds: np.ndarray, is_first: bool):
@@ -341,26 +362,22 @@ def _last_sent_steps(keys: list[str], value: str, triggers: list[Trigger]):
             run = list(accumulate(rest.tolist(), lambda f, x, a=t.alpha, k=keep: a * x + k * f, initial=float(start)))[:-1]
             expected = np.array(([float(start)] if forecast is None else []) + run)
             until, sent = last_sent_steps(t, times, np.abs(values - expected) > t.tau, forecast is None)
-            out.append([*key, i, forecast, until.tolist(), sent.tolist()])
-        return _as_batch(out)
-
-    def _as_batch(rows):
-        names = [*keys, SLICE, _SEED, value, "until", "sent"]
-        longs = pa.list_(pa.int64())
-        kinds = [*[None] * len(keys), pa.int64(), pa.int32(), pa.float64(), longs, longs]
-        columns = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
+            out.append([*key, i, until.tolist(), sent.tolist()])
+        return out
 
     def steps(batches):
+        longs = pa.list_(pa.int64())
+        extra = [(_SEED, pa.int32()), ("until", longs), ("sent", longs)]
         current, seeds, times, values = None, {}, [], []
         for batch in batches:
             if not batch.num_rows:
                 continue
+            done = []
             seed, ts, x = _longs(batch, _SEED, -1).tolist(), _longs(batch, "ts_ns"), _doubles(batch, value)
             for key, a, b in _pieces(batch, keys):
                 if key != current:
-                    if times and (made := finish(current, seeds, times, values)).num_rows:
-                        yield made
+                    if times:
+                        done += finish(current, seeds, times, values)
                     current, seeds, times, values = key, {}, [], []
                 while a < b and seed[a] >= 0:
                     seeds[seed[a]] = float(x[a])
@@ -368,25 +385,34 @@ def _last_sent_steps(keys: list[str], value: str, triggers: list[Trigger]):
                 if a < b:
                     times.append(ts[a:b])
                     values.append(x[a:b])
-        if times and (made := finish(current, seeds, times, values)).num_rows:
-            yield made
+            if done:
+                yield _as_batch(done, batch, keys, extra)
+        if times and (made := finish(current, seeds, times, values)):
+            yield _as_batch(made, batch, keys, extra)
 
     return steps
 
 
 def _fold_last_sent(keys: list[str], value: str):
-    def fold(slices: pd.DataFrame) -> pd.DataFrame:
-        key = slices[keys].iloc[0].tolist()
-        out = []
-        for setting, rows in slices.sort_values(SLICE).groupby(_SEED):
-            last = _NEVER
-            for number, forecast, until, sent in zip(rows[SLICE], rows[value], rows["until"], rows["sent"]):
-                if not pd.isna(forecast):
+    """Goes through the slices of each stream and setting in order: a seed is given the last message before its slice, a step moves it on."""
+
+    def fold(batches):
+        current, last = None, _NEVER
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out = []
+            columns = [batch.column(c).to_pylist() for c in (*keys, SLICE, _SEED, value, "until", "sent")]
+            for *key, number, setting, forecast, until, sent in zip(*columns):
+                if (key, setting) != current:
+                    current, last = (key, setting), _NEVER
+                if until is None:
                     out.append([*key, number, setting, forecast, None if last == _NEVER else last])
-                step = int(np.searchsorted(np.asarray(until, dtype="int64"), last))
+                    continue
+                step = bisect_left(until, last)
                 if step < len(until):
-                    last = int(sent[step])
-        frame = pd.DataFrame(out, columns=[*keys, SLICE, _SEED, value, _LAST])
-        return frame.astype({_LAST: "Int64"})
+                    last = sent[step]
+            if out:
+                yield _as_batch(out, batch, keys, [(_SEED, pa.int32()), (value, pa.float64()), (_LAST, pa.int64())])
 
     return fold

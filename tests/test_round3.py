@@ -1,5 +1,9 @@
 """Queries on tables larger than the test tables."""
 
+from pyspark.sql import functions as F
+
+from tauflow.operators import delta
+from tauflow.operators.trigger import Trigger
 from tauflow.plans.queries import QUERIES
 
 
@@ -9,3 +13,16 @@ def test_length_bytes_of_sizes_beyond_64_bits(spark, tmp_path):
     got = {r.doc_id: (r.size, r.n) for r in QUERIES["remaining_length_bytes"](spark, str(tmp_path)).collect()}
     assert got[3] == got[15] == (None, None)
     assert got[7] == (100**4, 4) and got[2] == (200_000**3, None) and got[11][1] is None and got[11][0] > 9 * 10**18
+
+
+def test_start_states_cost_nothing_per_stream(spark):
+    """Slices of many streams go through Python in batches, each pass once, streams of unknown devices among them."""
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 50 > 0, F.concat(F.lit("d"), F.col("id") % 50)).alias("device_id"), F.lit("temp").alias("sensor"),
+        (F.col("id") * 1_000_000_000).alias("ts_ns"), F.col("id").alias("seq"), F.sin(F.col("id") * F.col("id")).alias("x"))
+    settings = [Trigger(alpha=0.9, tau=0.8, kbits=8, heartbeat_s=400), Trigger(alpha=0.2, tau=1.2, kbits=8, heartbeat_s=None)]
+    cut = delta.send_on_delta(rows, settings, max_rows=7)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and plan.count("MapInArrow") <= 3
+    whole = delta.send_on_delta(rows, settings, max_rows=None)
+    assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
