@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tauflow.operators import delta
 from tauflow.operators.trigger import Trigger
+from tauflow.plans import queries
 from tauflow.plans.queries import QUERIES
 
 
@@ -26,3 +27,9 @@ def test_start_states_cost_nothing_per_stream(spark):
     assert "FlatMapGroupsInPandas" not in plan and plan.count("MapInArrow") <= 3
     whole = delta.send_on_delta(rows, settings, max_rows=None)
     assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_swept_settings_are_the_same_when_streams_are_cut(spark, sf_dir):
+    cut, whole = (delta.send_on_delta(queries.views.samples(spark, sf_dir), queries.SWEEP, max_rows=n) for n in (3, None))
+    assert "FlatMapGroupsInPandas" not in cut._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
