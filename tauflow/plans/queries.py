@@ -56,6 +56,7 @@ SWEEP = (
 DEPTHS = {"mic_rms": (4, 6, 8), "temp": (6, 8, 10)}
 CONFIGS = {s: bandit.PolicyConfig(arms=tuple(bandit.default_arms(s)), mae_max=10.0) for s in ("mic_rms", "temp")}
 FRAME = 20
+FILE_ROWS = 500_000
 
 
 def query(f: Query) -> Query:
@@ -759,11 +760,14 @@ def _arriving(spark: SparkSession, arrivals: DataFrame, by: str = "t_recv_ns", b
     """A table as a stream that comes in so many micro-batches, in order of arrival."""
     source = work_folder(spark, "in")
     arrivals = staged(arrivals, "arrivals")
-    borders = [-1, *arrivals.approxQuantile(by, [i / batches for i in range(1, batches)], 0.01), float("inf")]
-    for low, high in zip(borders, borders[1:]):  # a file for each micro-batch
-        rows = arrivals.where((F.col(by) > low) & (F.col(by) <= high))
-        rows.coalesce(1).write.mode("append").parquet(source)
-    return spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    borders = [-1, *sorted(set(arrivals.approxQuantile(by, [i / batches for i in range(1, batches)], 0.01))), float("inf")]
+    inside = [(F.col(by) > low) & (F.col(by) <= high) for low, high in zip(borders, borders[1:])]
+    sizes = arrivals.agg(*[F.count(F.when(c, 1)) for c in inside]).first()
+    # Equally many files for each micro-batch; none of them is empty, as each has far more rows than files.
+    n_files = max(1, min(sizes) // FILE_ROWS)
+    for rows in inside:
+        arrivals.where(rows).repartition(n_files).write.mode("append").parquet(source)
+    return spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", n_files).parquet(source)
 
 
 @query

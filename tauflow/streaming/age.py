@@ -5,12 +5,14 @@ lengths by their ``BITS`` leading bits (count and sum for each bin, so at most 6
 of 2^-(BITS - 1)). The mean is that of the batch operator; the percentile is solved inside the bin that
 holds it, so it is off by at most the bin's width. A time that goes back gives no gap, but the clock follows it.
 
-Events of a micro-batch are taken in order of arrival. A task holds three numbers for each event that one stream
-has in one micro-batch; ``maxFilesPerTrigger`` of the source bounds it.
+Events of a micro-batch are taken in order of arrival. Streams share ``BUCKETS`` states by a hash of their keys, so that many
+short streams cost no state call and no Arrow batch each. A task holds the events that one bucket has in one
+micro-batch, which ``maxFilesPerTrigger`` of the source bounds, and the bucket's states.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,17 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tauflow.streaming.buckets import BUCKET, bucket_of, streams_of
+
 BITS, P = 11, 0.95
 NS_PER_MS = 1e6
-#: Squares are added up exactly in two numbers, high * LIMB + low.
-LIMB = 1 << 62
 
-_long, _longs = T.LongType(), T.ArrayType(T.LongType())
-STATE = T.StructType([
-    T.StructField(n, t) for n, t in (
-        ("last", _long), ("n", _long), ("total", _long), ("squares_high", _long), ("squares_low", _long),
-        ("lows", _longs), ("counts", _longs), ("sums", _longs))
-])
+_long = T.LongType()
+#: Streams of the bucket, pickled: last time, number, sum and sum of squares of the gaps, bins by their lows.
+STATE = T.StructType([T.StructField("streams", T.BinaryType())])
 
 
 def bin_low(gap: int) -> int:
@@ -62,30 +61,33 @@ def stream_age(arrivals: DataFrame, keys: Sequence[str], order: Sequence[str] =
         T.StructField("n_gaps", _long), T.StructField("last_ts_ns", _long), T.StructField("aoi_mean_ms", T.DoubleType()),
         T.StructField("aoi_p95_ms", T.DoubleType())])
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = np.concatenate([b[[*order, "ts_ns"]].to_numpy(np.int64) for b in batches])
-        times = times[np.lexsort(times[:, :-1].T[::-1]), -1]
-        if state.exists:
-            last, n, total, high, low, lows, counts, sums = state.get
-            times = np.append(np.int64(last), times)
+    def advanced(known: tuple | None, times: np.ndarray) -> tuple:
+        if known is None:
+            n = total = squares = 0
+            bins = {}
         else:
-            n = total = high = low = 0
-            lows = counts = sums = ()
-        bins = {a: [c, s] for a, c, s in zip(lows, counts, sums)}
-        squares = high * LIMB + low
+            last, n, total, squares, bins = known
+            times = np.append(np.int64(last), times)
         gaps = np.diff(times)
         for gap, count in zip(*(x.tolist() for x in np.unique(gaps[gaps >= 0], return_counts=True))):
             n, total, squares = n + count, total + gap * count, squares + gap * gap * count
             own = bins.setdefault(bin_low(gap), [0, 0])
             own[0] += count
             own[1] += gap * count
-        lows = sorted(bins)
-        counts, sums = [bins[a][0] for a in lows], [bins[a][1] for a in lows]
-        state.update((int(times[-1]), n, total, *divmod(squares, LIMB), lows, counts, sums))
-        age = histogram_percentile(lows, counts, sums, p)
-        mean = squares / (2 * total) / NS_PER_MS if total > 0 else None
-        row = (*key, n, int(times[-1]), mean, None if age is None else age / NS_PER_MS)
-        yield pd.DataFrame([row], columns=out.names)
-
-    return arrivals.select(*keys, *order, "ts_ns").groupBy(*keys).applyInPandasWithState(
-        update, out, STATE, "update", GroupStateTimeout.NoTimeout)
+        return int(times[-1]), n, total, squares, bins
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        streams, rows = pickle.loads(state.get[0]) if state.exists else {}, []
+        events = pd.concat(list(batches), ignore_index=True)
+        events, runs = streams_of(events, keys, order)
+        times = events["ts_ns"].to_numpy(np.int64)
+        for stream, a, b in runs:
+            last, n, total, squares, bins = streams[stream] = advanced(streams.get(stream), times[a:b])
+            age = histogram_percentile(list(bins), [c for c, _ in bins.values()], [s for _, s in bins.values()], p)
+            mean = squares / (2 * total) / NS_PER_MS if total > 0 else None
+            rows.append((*stream, n, last, mean, None if age is None else age / NS_PER_MS))
+        state.update((pickle.dumps(streams),))
+        yield pd.DataFrame(rows, columns=out.names)
+
+    bucketed = arrivals.select(bucket_of(keys).alias(BUCKET), *dict.fromkeys([*keys, *order, "ts_ns"]))
+    return bucketed.groupBy(BUCKET).applyInPandasWithState(update, out, STATE, "update", GroupStateTimeout.NoTimeout)

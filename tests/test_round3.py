@@ -6,6 +6,7 @@ from tauflow.operators import delta
 from tauflow.operators.trigger import Trigger
 from tauflow.plans import queries
 from tauflow.plans.queries import QUERIES
+from tauflow.streaming import buckets
 
 
 def test_length_bytes_of_sizes_beyond_64_bits(spark, tmp_path):
@@ -33,3 +34,11 @@ def test_swept_settings_are_the_same_when_streams_are_cut(spark, sf_dir):
     cut, whole = (delta.send_on_delta(queries.views.samples(spark, sf_dir), queries.SWEEP, max_rows=n) for n in (3, None))
     assert "FlatMapGroupsInPandas" not in cut._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_running_ages_of_many_streams_in_a_state(spark, sf_dir, monkeypatch):
+    """Streams that share a state, micro-batches of several files: the same ages."""
+    expected = sorted(map(str, QUERIES["stream_aoi"](spark, sf_dir).collect()))
+    monkeypatch.setattr(buckets, "BUCKETS", 3)
+    monkeypatch.setattr(queries, "FILE_ROWS", 40)
+    assert sorted(map(str, QUERIES["stream_aoi"](spark, sf_dir).collect())) == expected
