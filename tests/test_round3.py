@@ -42,3 +42,9 @@ def test_running_ages_of_many_streams_in_a_state(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(buckets, "BUCKETS", 3)
     monkeypatch.setattr(queries, "FILE_ROWS", 40)
     assert sorted(map(str, QUERIES["stream_aoi"](spark, sf_dir).collect())) == expected
+
+
+def test_policies_of_many_streams_in_a_state(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(buckets, "BUCKETS", 3)
+    got = sorted(map(str, QUERIES["stream_bandit"](spark, sf_dir).collect()))
+    assert got == sorted(map(str, QUERIES["bandit_replay"](spark, sf_dir).collect()))
