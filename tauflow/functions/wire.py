@@ -17,6 +17,7 @@ TOPIC_MAX_BYTES = 65_535
 # Characters that JSON escapes to two characters; other control characters take six (\u00XX).
 _SHORT_ESCAPES = '"\\\b\f\n\r\t'
 _LONG_ESCAPES = "".join(chr(i) for i in range(32) if chr(i) not in _SHORT_ESCAPES)
+_ANY_ESCAPE = r'["\\\x00-\x1f]'
 
 
 def remaining_length_bytes(x: Column) -> Column:
@@ -104,10 +105,10 @@ def _is_scaled(text: Column) -> Column:
 
 
 def _text_length(s: Column) -> Column:
-    """UTF-8 length of a string inside JSON quotes, escapes included."""
+    """UTF-8 length of a string inside JSON quotes, escapes included; these are counted only where there are any."""
     short = F.length(s) - F.length(F.translate(s, _SHORT_ESCAPES, ""))
     long = F.length(s) - F.length(F.translate(s, _LONG_ESCAPES, ""))
-    return F.octet_length(s) + short + 5 * long
+    return F.octet_length(s) + F.when(s.rlike(_ANY_ESCAPE), short + 5 * long).otherwise(0)
 
 
 def _json_string(s: Column) -> Column:
@@ -147,9 +148,7 @@ def _json_length(keys, kinds, fields: dict[str, Column]) -> Column:
     # One expression for all numbers: spelled out per column it outgrows what the JVM compiles.
     total = F.aggregate(floats, F.lit(fixed), lambda acc, text: acc + _number_length(text))
     total = total + F.length(F.concat(*[c.cast("string") for c in by_kind["int"]]))
-    for c in by_kind["text"]:
-        total = total + _text_length(c)
-    return total
+    return total + _text_length(F.concat(*by_kind["text"]))
 
 
 def _event_fields(ts: str, aoi: str | None) -> dict[str, Column]:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tauflow.functions.measures import NAN
 from tauflow.operators import ranks
-from tauflow.operators.sequence import MAX_ROWS, SLICE, cut_long_streams, with_previous
+from tauflow.operators.sequence import MAX_ROWS, SLICE, cut_long_streams, partition_keys, with_previous
 
 NS_PER_MS = 1e6
 
@@ -30,6 +30,27 @@ def event_gaps(
     )
 
 
+def pooled_gaps(
+    events: DataFrame, keys: Sequence[str], ts: str = "ts_ns", max_rows: int | None = MAX_ROWS
+) -> DataFrame:
+    """(keys, gap_ns): the gaps of each stream, where it does not matter which rows they lie between.
+
+    Order among equal times then does not matter, either, and what crosses the border of two slices is the step from the
+    latest time of one to the earliest of the next: a row per slice, and no join.
+    """
+    if SLICE not in events.columns:
+        events = cut_long_streams(events, keys, ts, max_rows)
+    by = list(reversed(partition_keys(events, keys)))
+    rows = events.select(*by, ts).repartition(*by)
+    gap = (F.col(ts) - F.lag(ts).over(Window.partitionBy(*by).orderBy(ts))).alias("gap_ns")
+    gaps = rows.select(*keys, gap)
+    if SLICE in events.columns:
+        ends = rows.groupBy(*by).agg(F.min(ts).alias("_from"), F.max(ts).alias("_to"))
+        before = F.lag("_to").over(Window.partitionBy(*reversed(keys)).orderBy(SLICE))
+        gaps = gaps.unionByName(ends.select(*keys, (F.col("_from") - before).alias("gap_ns")))
+    return gaps.where(F.col("gap_ns").isNotNull())
+
+
 def arrival_gaps(
     arrivals: DataFrame,
     keys: Sequence[str],

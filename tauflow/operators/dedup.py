@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tauflow.operators.sequence import SLICE
 from tauflow.schemas import EVENT_ID
 
 
@@ -20,7 +21,9 @@ def dedup_first(
     Spark limits each window group to its first row before the shuffle as well as after it, so a
     message with very many copies reaches the network once per task.
     """
-    w = Window.partitionBy(*scope, *key).orderBy(*order, F.xxhash64(*events.columns))
+    # The sequence number first: the sort then seldom looks beyond it. Where a stream was cut tells nothing of an event.
+    columns = [c for c in events.columns if c != SLICE]
+    w = Window.partitionBy(*reversed(key), *scope).orderBy(*order, F.xxhash64(*columns))
     return events.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") == 1).drop("_nth")
 
 

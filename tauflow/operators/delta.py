@@ -38,10 +38,12 @@ from tauflow.operators.trigger import PERIODIC, Trigger, replay
 from tauflow.schemas import STREAM
 from tauflow.session import staged
 
-_SEED, _LAST = "_seed", "_last_sent"
+_SEED, _LAST, _CUT = "_seed", "_last_sent", "_cut"
 _NEVER = -(2**63) + 1
 _NO_LIMIT = 2**63 - 1
 _TAIL = 1 << 14
+# A first slice of at most so many rows is run row by row: arrays cost more than they save.
+_FEW_ROWS = 512
 
 
 def usable(value: Column, valid: Column | None = None) -> Column:
@@ -57,11 +59,13 @@ def send_on_delta(
     value: str = "x",
     valid: str | None = None,
     max_rows: int | None = MAX_ROWS,
+    keep_slices: bool = False,
 ) -> DataFrame:
     """Events of each stream under each trigger that applies to its sensor.
 
     Adds ``setting`` (position in ``triggers``), the quantized ``val``, ``pred``, ``res``, ``tau``, ``kbits``,
-    ``policy`` and ``reason`` to the columns of the reading; ``keys`` must contain ``sensor``.
+    ``policy`` and ``reason`` to the columns of the reading; ``keys`` must contain ``sensor``. With ``keep_slices`` and a
+    stream that was cut, column ``_slice`` tells the slice of the reading, so that a later step need not cut again.
     """
     keys, triggers = list(keys), list(triggers)
     rows = samples.where(usable(F.col(value), None if valid is None else F.col(valid)))
@@ -69,11 +73,11 @@ def send_on_delta(
     rows = cut_long_streams(rows.withColumn(value, F.col(value).cast("double")), keys, max_rows=max_rows)
     if SLICE in rows.columns:
         rows, seeds = _slice_states(rows, keys, value, triggers)
-        rows = _with_seeds(rows, seeds)
+        rows = _with_seeds(rows if keep_slices else rows.drop(_CUT), seeds)
     else:
         rows = rows.withColumn(SLICE, F.lit(None).cast("bigint"))
         rows = rows.withColumn(_SEED, F.lit(None).cast("int")).withColumn(_LAST, F.lit(None).cast("bigint"))
-    carried = [c for c in samples.columns if c in rows.columns]
+    carried = [c for c in (*samples.columns, _CUT) if c in rows.columns]
     out = T.StructType(
         [f for f in rows.schema if f.name in carried]
         + [
@@ -84,7 +88,7 @@ def send_on_delta(
         ]
     )
     sent = _in_stream_order(rows, keys).mapInArrow(_sender(keys, value, triggers, carried), out)
-    return with_setting(sent, value, triggers)
+    return with_setting(sent, value, triggers).withColumnRenamed(_CUT, SLICE)
 
 
 def with_setting(sent: DataFrame, value: str, triggers: Sequence[Trigger]) -> DataFrame:
@@ -178,7 +182,7 @@ def _sender(keys: list[str], value: str, triggers: list[Trigger], carried: list[
 
 
 def _slice_states(rows: DataFrame, keys: list[str], value: str, triggers: list[Trigger]) -> tuple[DataFrame, DataFrame]:
-    """The rows, slices joined where needed, and seed rows (keys, slice, value = forecast, last message).
+    """The rows, slices joined where needed (``_cut``: as they were), and seed rows (keys, slice, value = forecast, last message).
 
     There is a seed for every setting and slice but a stream's first. Streams that are not cut have slice null. Rows and the
     table of slices are written once, as three passes read them; nothing here has a cost per stream but its rows.
@@ -227,7 +231,7 @@ def _slice_states(rows: DataFrame, keys: list[str], value: str, triggers: list[T
     states = turns.mapInArrow(
         _fold_last_sent(keys, value), schema((_SEED, T.IntegerType()), (value, T.DoubleType()), (_LAST, T.LongType()))
     )
-    return renumbered(rows, joined, "left"), states
+    return renumbered(rows.withColumn(_CUT, F.col(SLICE)), joined, "left"), states
 
 
 def _joined_slices(ends: DataFrame, keys: list[str], triggers: list[Trigger]) -> DataFrame:
@@ -358,6 +362,10 @@ def _last_sent_steps(keys: list[str], value: str, triggers: list[Trigger]):
             if not t.applies_to(key[sensor_at]):
                 continue
             forecast, keep = seeds.get(i), 1.0 - t.alpha
+            if forecast is None and len(times) <= _FEW_ROWS:  # a stream's first slice: nothing was sent before it
+                last = replay(t, times.tolist(), values.tolist(), None, None)[-1]
+                out.append([*key, i, *([[], []] if last is None else [[_NO_LIMIT], [last]])])
+                continue
             start, rest = (values[0], values[1:]) if forecast is None else (forecast, values)
             run = list(accumulate(rest.tolist(), lambda f, x, a=t.alpha, k=keep: a * x + k * f, initial=float(start)))[:-1]
             expected = np.array(([float(start)] if forecast is None else []) + run)

@@ -96,10 +96,11 @@ def policy_sweep(
 ) -> DataFrame:
     """Replay recorded readings under every setting and summarize what each would have sent.
 
-    One pass over the readings serves all settings; only sent events are multiplied.
+    One pass over the readings serves all settings; only sent events are multiplied. Streams are cut once: an event
+    keeps the slice of its reading.
     """
     labels = F.array(*[F.lit(t.name) for t in settings])
-    sent = send_on_delta(samples, settings, valid=valid, max_rows=max_rows)
+    sent = send_on_delta(samples, settings, valid=valid, max_rows=max_rows, keep_slices=True)
     named = sent.withColumn("setting_name", F.get(labels, F.col("setting")))
     group = ("setting_name", "profile", "policy", "sensor")
     return summarize(named, scope=("setting_name", "profile", "policy"), group=group, max_rows=max_rows)

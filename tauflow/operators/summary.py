@@ -12,7 +12,7 @@ from tauflow.operators import aoi
 from tauflow.operators.dedup import dedup_first
 from tauflow.operators.packets import with_event_bytes
 from tauflow.operators.ranks import exact_percentile
-from tauflow.operators.sequence import MAX_ROWS
+from tauflow.operators.sequence import MAX_ROWS, partition_keys
 from tauflow.schemas import POLICIES, SCENARIO
 from tauflow.session import staged
 
@@ -27,18 +27,20 @@ def summarize(
     """One row per scenario. Gaps are taken per device inside a scenario and pooled.
 
     Copies are dropped and bytes worked out once, into a narrow work table; totals, gaps and residuals
-    then scan only their own columns of it.
+    then scan only their own columns of it. Gaps are worked out once, too. Events that come with their slices
+    (``_slice``, in order of time within each stream) are not cut again.
     """
     present = events.dropna(subset=list(group))
     unique = present if deduplicated else dedup_first(present, scope, order)
     stream = [*group, "device_id"]
     rows = staged(
         with_event_bytes(unique).select(
-            *stream, "ts_ns", "seq", "kbits", "mqtt_bytes", skip_nan(F.abs("res")).alias("abs_res")
+            *partition_keys(events, stream), "ts_ns", "kbits", "mqtt_bytes", skip_nan(F.abs("res")).alias("abs_res")
         ),
         "unique-events",
     )
-    gaps = aoi.event_gaps(rows.select(*stream, "ts_ns", "seq"), stream, max_rows=max_rows).select(*group, "gap_ns")
+    gaps = aoi.pooled_gaps(rows.select(*partition_keys(rows, stream), "ts_ns"), stream, max_rows=max_rows)
+    gaps = staged(gaps.select(*group, "gap_ns"), "gaps")
     totals = rows.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n_events"),
         ((F.max("ts_ns") - F.min("ts_ns")) / F.lit(1e9)).alias("_span"),

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tauflow.operators import delta
+from tauflow.functions import wire
+from tauflow.operators import aoi, delta, experiments
 from tauflow.operators.trigger import Trigger
 from tauflow.plans import queries
 from tauflow.plans.queries import QUERIES
@@ -48,3 +49,49 @@ def test_policies_of_many_streams_in_a_state(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(buckets, "BUCKETS", 3)
     got = sorted(map(str, QUERIES["stream_bandit"](spark, sf_dir).collect()))
     assert got == sorted(map(str, QUERIES["bandit_replay"](spark, sf_dir).collect()))
+
+
+def test_a_sweep_cuts_its_streams_once(spark, monkeypatch):
+    """Events keep the slices of their readings; equal times, copies and readings without a time change nothing."""
+    n = F.col("id")
+    rows = spark.range(400).select(
+        F.concat(F.lit("d"), n % 3).alias("device_id"), F.when(n % 2 == 0, "temp").otherwise("mic_rms").alias("sensor"),
+        (F.floor(n / 9) * 1_000_000_000).alias("ts_ns"), (n - F.when(n % 17 == 0, 12).otherwise(0)).alias("seq"),
+        (F.sin(n * n) * 20).alias("x"), F.lit("slow_10kbps").alias("profile"))
+    settings = [Trigger(alpha=0.9, tau=9.0, kbits=8, heartbeat_s=4, name="a"), Trigger(alpha=0.9, tau=0.0, kbits=6, policy="periodic", name="b")]
+    whole = sorted(map(str, queries._rounded_summary(experiments.policy_sweep(rows, settings, max_rows=None)).collect()))
+
+    def never(*_):
+        raise AssertionError("cut again")
+
+    monkeypatch.setattr(aoi, "cut_long_streams", never)
+    cut = queries._rounded_summary(experiments.policy_sweep(rows, settings, max_rows=4))
+    assert len(whole) == 4 and sorted(map(str, cut.collect())) == whole
+
+
+def test_pooled_gaps_across_slices(spark):
+    times = [(k, t) for k in ("a", None) for t in (None, 7, 1, 1, 3, 20, 21, 22, 22, 50, -4)]
+    rows = spark.createDataFrame(times, "device_id string, ts_ns long")
+    expected = sorted(2 * [5, 0, 2, 4, 13, 1, 1, 0, 28])
+    for most in (None, 1, 3, 100):
+        assert sorted(r.gap_ns for r in aoi.pooled_gaps(rows, ["device_id"], max_rows=most).collect()) == expected
+
+
+def test_first_slices_row_by_row_or_by_arrays(spark, monkeypatch):
+    rows = spark.range(300).select(
+        F.lit("d").alias("device_id"), F.lit("temp").alias("sensor"), (F.col("id") * 1_000_000_000).alias("ts_ns"),
+        F.col("id").alias("seq"), F.sin(F.col("id") * F.col("id")).alias("x"))
+    settings = [Trigger(alpha=0.9, tau=t, kbits=8, heartbeat_s=h, bootstrap=b, min_emit_interval_ms=g)
+                for t, h, b, g in ((0.8, 40, True, 0), (5.0, None, False, 0), (5.0, None, True, 0), (0.5, 7, False, 3000))]
+    whole = sorted(map(str, delta.send_on_delta(rows, settings, max_rows=None).collect()))
+    for few in (0, delta._FEW_ROWS):
+        monkeypatch.setattr(delta, "_FEW_ROWS", few)
+        assert sorted(map(str, delta.send_on_delta(rows, settings, max_rows=50).collect())) == whole
+
+
+def test_length_of_pooled_texts(spark):
+    texts = ['plain', 'q"uo\\te', 'tab\tand\x01\x1f', 'ümlaut \U0001f600', '']
+    rows = spark.createDataFrame([(t, u, None if i == 4 else "x") for i, t in enumerate(texts) for u in texts], "a string, b string, c string")
+    quoted = F.octet_length(F.concat(*[wire._json_string(F.col(c)) for c in "abc"]))
+    got = rows.select("c", quoted.alias("n"), wire._text_length(F.concat("a", "b", "c")).alias("m")).collect()
+    assert all(r.m == (r.n - 6 if r.c else None) for r in got)
