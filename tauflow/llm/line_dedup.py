@@ -10,8 +10,8 @@ among them, however short a line is. Lines without a token (blank lines) stay.
    hashes: its two least, its two largest, or the two that come first from 0 on (three places that the exchange of one token
    cannot all change): three comparisons for each line, so large groups of near copies are settled without pairing their
    members. This only saves work; it decides nothing on its own.
-4. All other pairs: the prefix of a line (the tokens of which a match must share one) is joined by token with the
-   shorter prefix of lines at most as long; length, position and a 128-bit parity bitmap of the set rule out pairs inside the join
+4. All other pairs: the prefixes of the lines (the tokens of which a match must share one) are shuffled by token once and joined
+   with themselves; length, position and a 128-bit parity bitmap of the set rule out pairs inside the join
    (a token in one of two sets only changes one bit, so the sets differ in at least as many tokens as bits).
    Pairs of which both lines are settled are left out.
 5. What is left is verified on the texts. If there are at most ``FEW`` pairs, their ids are broadcast to fetch the
@@ -89,7 +89,7 @@ def token_levels(docs: DataFrame) -> bytes:
     Counting is a partial aggregate over all texts; BUCKETS bytes reach the driver, whatever the input.
     """
     words = docs.select(F.explode(_pieces(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("t")).where("t <> ''")
-    found = words.groupBy(F.pmod(F.xxhash64("t"), F.lit(BUCKETS)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    found = words.groupBy(F.xxhash64("t").bitwiseAND(BUCKETS - 1).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     level = F.least(F.floor(2.5 * F.log2(F.col("n") + 1)), F.lit(126)).cast("int")
     every = docs.sparkSession.range(BUCKETS).join(found, F.col("id") == F.col("b"), "left")
     row = F.struct("id", F.lpad(F.hex(F.coalesce(level, F.lit(0))), 2, "0").alias("level"))
@@ -110,36 +110,36 @@ def first_lines(docs: DataFrame) -> DataFrame:
 
 def with_prefixes(lines: DataFrame, levels: bytes) -> DataFrame:
     """Add lid, size, prefix (rarest tokens first), bitmap and the hashes of extreme tokens to the different lines."""
-    table = F.lit(levels)
+    # One literal, folded before the tasks start. Coalesced, as longs that are never null are sorted much faster.
+    table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
 
     def key(h: Column) -> Column:
-        """Orders by rarity, then by hash; tokens that share a key only cost a comparison."""
-        level = F.ascii(F.substring(table, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, 1).cast("string"))
-        return level.cast("bigint") * (1 << 56) + h.bitwiseAND((1 << 56) - 1)
-
-    rows = lines.withColumn("_h", F.sort_array(F.array_distinct(F.transform(_words(F.col("line")), lambda t: F.xxhash64(t)))))
-    rows = rows.withColumn("_k", F.sort_array(F.transform("_h", key)))
+        """Orders by rarity, then by 40 bits of the hash; tokens that share a key only cost a comparison."""
+        level = F.coalesce(table[h.bitwiseAND(BUCKETS - 1)], F.lit(0).cast("bigint"))
+        return F.shiftleft(level, 40).bitwiseOR(h.bitwiseAND((1 << 40) - 1))
+
+    hashes = F.array_distinct(F.transform(_pieces(F.col("line")), lambda t: F.xxhash64(t)))
+    rows = lines.withColumn("_h", F.sort_array(F.array_remove(hashes, F.xxhash64(F.lit("")))))
+    # How many hashes are below 0: the place that 0 would take, told without a step per token outside compiled code.
+    below = F.array_position(F.sort_array(F.array_append("_h", F.lit(0).cast("bigint"))), F.lit(0).cast("bigint")) - 1
+    rows = rows.withColumns({"_k": F.sort_array(F.transform("_h", key)), "_n": below.cast("int")})
     size = F.size("_h")
+    halves = F.slice("_h", F.lit(1), F.col("_n")), F.slice("_h", F.col("_n") + 1, size)
     return rows.select(
         F.monotonically_increasing_id().alias("lid"), "doc_id", "line_no", "_text", "line", size.alias("size"),
-        *[_parity(i).alias(f"p{i}") for i in (0, 1)],
+        *[_parity(half).alias(f"p{i}") for i, half in enumerate(halves)],
         F.slice("_k", F.lit(1), size - _ceil(size * NUM, DEN) + 1).alias("prefix"),
         F.array(
             *[F.xxhash64(F.lit(i), F.try_element_at("_h", F.lit(a)), F.try_element_at("_h", F.lit(b))) for i, (a, b) in enumerate(ENDS)],
-            F.xxhash64(F.lit(len(ENDS)), F.slice(F.concat(F.filter("_h", lambda h: h >= 0), "_h"), 1, 2)),
+            F.xxhash64(F.lit(len(ENDS)), F.slice(F.concat("_h", "_h"), F.col("_n") + 1, F.least(size, F.lit(2)))),
         ).alias("ends"),
     )
 
 
-def _parity(half: int) -> Column:
-    """64 of 128 parities of the set: each token flips the one bit that seven bits of its hash name."""
+def _parity(half: Column) -> Column:
+    """64 of 128 parities of the set: each token flips the one bit that its hash's sign and last six bits name."""
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-
-    def flip(bits: Column, h: Column) -> Column:
-        bit = F.call_function("shiftleft", one, h.bitwiseAND(63).cast("int"))
-        return F.when(h.bitwiseAND(64) == 64 * half, bits.bitwiseXOR(bit)).otherwise(bits)
-
-    return F.aggregate("_h", none, flip)
+    return F.aggregate(half, none, lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", one, h.bitwiseAND(63).cast("int"))))
 
 
 def _apart(a: str, b: str) -> Column:
@@ -150,9 +150,10 @@ def _apart(a: str, b: str) -> Column:
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Line ids (x) that match an earlier line among the pairs (a, b)."""
     few = pairs.count() <= FEW
+    # The same ids for both sides: the texts are read and shuffled once.
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
 
     def side(p: str) -> DataFrame:
-        ids = pairs.select(F.col(p).alias("lid")).distinct()
         wanted = lines.join(F.broadcast(ids) if few else ids, "lid", "left_semi")
         place = F.struct("doc_id", "line_no", "_text")
         return wanted.select(F.col("lid").alias(p), place.alias(f"at_{p}"), F.col("line").alias(f"line_{p}"), F.col("size").alias(f"size_{p}"))
@@ -179,23 +180,28 @@ def _hub_pairs(lines: DataFrame) -> DataFrame:
 
 def _prefix_pairs(lines: DataFrame) -> DataFrame:
     """Pairs by prefix, length, position and bitmap; ``lines`` have a flag ``settled``."""
-    def entries(p: str, tokens: Column) -> DataFrame:
+    size, whole = F.col("size").cast("bigint"), (1 << 30) - 1
+    first = F.col("i") <= size - _ceil(size * (2 * NUM), NUM + DEN)
+
+    def entries(p: str) -> DataFrame:
         rows = lines.select(
-            F.posexplode(tokens).alias("i", "token"), F.col("lid").alias(p), F.col("p0").alias(f"{p}0"), F.col("p1").alias(f"{p}1"), "size", "settled"
+            F.posexplode("prefix").alias("i", "token"), F.col("lid").alias(p), F.col("p0").alias(f"{p}0"), F.col("p1").alias(f"{p}1"), "size", "settled"
         )
-        packed = F.col("i").cast("bigint") + F.col("size").cast("bigint") * (1 << 24) + F.when(F.col("settled"), 1 << 56).otherwise(0)
-        return rows.select("token", p, f"{p}0", f"{p}1", packed.alias(f"{p}_info"))
-
-    size = F.col("size")
-    index = F.slice("prefix", F.lit(1), size - _ceil(size * (2 * NUM), NUM + DEN) + 1)
-    x, y = entries("a", F.col("prefix")), entries("b", index)
-    part = lambda p, shift, width: F.shiftright(f"{p}_info", shift).bitwiseAND((1 << width) - 1).cast("int")
-    (ai, asize, asettled), (bi, bsize, bsettled) = [(part(p, 0, 24), part(p, 24, 32), part(p, 56, 1)) for p in "ab"]
-    apart = _apart("a", "b")
-    need = F.floor((NUM * (asize + bsize) + NUM + DEN - 1) / (NUM + DEN))
+        # From the highest bit: whether it is a later token than the shorter line of a match needs, size, settled, position.
+        high = size.bitwiseOR(F.when(first, 0).otherwise(1 << 30).cast("bigint"))
+        low = F.col("i").cast("bigint").bitwiseOR(F.when(F.col("settled"), 1 << 31).otherwise(0).cast("bigint"))
+        return rows.select("token", p, f"{p}0", f"{p}1", F.shiftleft(high, 32).bitwiseOR(low).alias(f"{p}_info"))
+
+    # Both sides are the same table, so Spark shuffles it once; a later token is longer than any line as ``bsize``.
+    x, y = entries("a"), entries("b")
+    asize, bsize = F.shiftright("a_info", 32).bitwiseAND(whole), F.shiftright("b_info", 32)
+    ai, bi = (F.col(c).bitwiseAND((1 << 31) - 1) for c in ("a_info", "b_info"))
+    unsettled = F.col("a_info").bitwiseAND(F.col("b_info")).bitwiseAND(1 << 31) == 0
     once = (bsize < asize) | (bsize == asize) & (F.col("b") < F.col("a"))
+    both = asize + bsize
+    enough = lambda shared: shared * (NUM + DEN) >= both * NUM
     room = F.least(asize - ai, bsize - bi)  # positions count from 0: the shared token and those after it
-    condition = once & (asize * NUM <= bsize * DEN) & (asettled + bsettled < 2) & (room >= need) & (apart <= asize + bsize - 2 * need)
+    condition = once & (asize * NUM <= bsize * DEN) & unsettled & enough(room) & enough(F.shiftright(both - _apart("a", "b"), 1))
     return x.join(y, (x.token == y.token) & condition).select("a", "b").distinct()
 
 

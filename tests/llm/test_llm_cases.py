@@ -404,3 +404,35 @@ def test_totals_of_unrounded_posteriors_meet_the_targets(spark):
 def test_posteriors_are_not_rounded(spark, docs, labels):
     rows = mixing.document_rates(docs, labels).collect()
     assert any(abs(20 * r[f"p_{a}{b}"] - round(20 * r[f"p_{a}{b}"])) > 1e-3 for r in rows for a, b in mixing.DOMAINS)
+
+
+def test_prefixes_are_shuffled_once_and_pairs_are_whole(spark):
+    """The join of the prefixes with themselves has one exchange by token, and finds what a comparison of all pairs finds."""
+    words = [f"w{i * i % 997}" for i in range(60)]
+    rows = [(i, " ".join(words[(i * 7 + k) % 60] for k in range(5 + i % 23) if (i + k) % 9 or i % 3)) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = line_dedup._stored(line_dedup.with_prefixes(line_dedup.first_lines(docs), line_dedup.token_levels(docs)), "lines")
+    flagged = lines.select("lid", "size", "p0", "p1", "prefix", (F.col("doc_id") % 5 == 0).alias("settled"))
+    found = line_dedup._prefix_pairs(flagged)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = {frozenset(r) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.find("Initial Plan")].count("ReusedExchange") == 1
+    sets = {r.lid: (set(r.line.split()), r.doc_id % 5 == 0) for r in lines.collect()}
+    like = {frozenset((a, b)) for a, (s, x) in sets.items() for b, (t, y) in sets.items()
+            if a < b and not (x and y) and 5 * len(s & t) >= 4 * len(s | t)}
+    assert like and like <= got
+
+
+def test_parity_takes_each_token_once(spark):
+    """Both halves together hold as many odd bits as the set has tokens, less those that meet on a bit."""
+    texts = ["", "a", "a b c d e f g", " ".join(f"t{i}" for i in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = line_dedup.with_prefixes(line_dedup.first_lines(docs), bytes(line_dedup.BUCKETS)).collect()
+    assert sorted(r.size for r in rows) == [1, 7, 300]
+    for r in rows:
+        bits = sum(bin(p & (1 << 64) - 1).count("1") for p in (r.p0, r.p1))
+        assert bits <= r.size and bits % 2 == r.size % 2 and r.prefix == sorted(r.prefix) and len(r.prefix) == r.size - -(-r.size * 4 // 5) + 1
