@@ -436,3 +436,27 @@ def test_parity_takes_each_token_once(spark):
     for r in rows:
         bits = sum(bin(p & (1 << 64) - 1).count("1") for p in (r.p0, r.p1))
         assert bits <= r.size and bits % 2 == r.size % 2 and r.prefix == sorted(r.prefix) and len(r.prefix) == r.size - -(-r.size * 4 // 5) + 1
+
+
+def test_tokens_are_counted_only_where_long_ones_crowd(spark, monkeypatch):
+    """Both orders of the tokens remove the same lines, also between sizes on both sides of a power of two."""
+    rows = []
+    for n in (4, 5, 7, 8, 9, 13, 15, 16, 17, 30, 31, 32, 33, 36, 40):
+        words = [f"{'x' * (k % 7)}{k}" for k in range(n)]
+        rows += [(100 * n + i, " ".join(words[i:] + [f"{n}-{i}-{j}" for j in range(i // 2)])) for i in range(9) if i < n]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plainly = plain.without_copied_lines(rows)
+    count, counted = line_dedup.token_levels, []
+    monkeypatch.setattr(line_dedup, "token_levels", lambda d: counted.append(1) or count(d))
+    for crowd, times in ((line_dedup.CROWD, 0), (-1, 1)):
+        monkeypatch.setattr(line_dedup, "CROWD", crowd)
+        counted.clear()
+        got = line_dedup.dedup_lines(docs).collect()
+        same([(r.doc_id, r.text) for r in got], [(d, plainly[d, t]) for d, t in rows])
+        assert len(counted) == times
+    lines = line_dedup.with_prefixes(line_dedup.first_lines(docs)).withColumn("settled", F.lit(False)).cache()
+    got = {frozenset(r) for r in line_dedup._prefix_pairs(lines).collect()}
+    sets = {r.lid: set(r.line.split()) for r in lines.collect()}
+    like = {frozenset((a, b)) for a, s in sets.items() for b, t in sets.items() if a < b and 5 * len(s & t) >= 4 * len(s | t)}
+    assert like and like <= got
+    assert any(min(map(len, p)) < 16 <= max(map(len, p)) for p in ([sets[i] for i in pair] for pair in like))
