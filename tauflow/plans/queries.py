@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tauflow.functions import measures, quantize, signals, wire
 from tauflow.operators import (
@@ -179,12 +182,27 @@ def publish_size(spark, sf_dir):
     return sized.select("doc_id", "topic", "qos", "mqtt_bytes")
 
 
+@F.pandas_udf(T.DoubleType())
+def _power(x: pd.Series, y: pd.Series) -> pd.Series:
+    """The C library's power, as in the SQL: beyond 53 bits Java's can differ in the last place. Null for null or where there is none."""
+
+    def power(a: float, b: float) -> float:
+        try:
+            return math.pow(a, b)
+        except (OverflowError, ValueError):
+            return math.nan
+
+    return pd.Series([power(a, b) for a, b in zip(x, y)], x.index, "float64").where(x.notna() & y.notna())
+
+
 @query
 def remaining_length_bytes(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents")
     # Up to the fourth power of the length, to reach all size classes and the error beyond them; null above 64 bits.
-    size = F.pow(F.col("n_chars").cast("double"), 1 + F.col("doc_id") % 4).try_cast("bigint")
-    return docs.select("doc_id", size.alias("size")).select("doc_id", "size", wire.remaining_length_bytes(F.col("size")).alias("n"))
+    sizes = docs.select("doc_id", _power(F.col("n_chars").cast("double"), (1 + F.col("doc_id") % 4).cast("double")).alias("size"))
+    # The cast alone takes 2^63, which does not fit, as one less.
+    sizes = sizes.select("doc_id", F.when(F.col("size") < 2.0**63, F.col("size").try_cast("bigint")).alias("size"))
+    return sizes.select("doc_id", "size", wire.remaining_length_bytes(F.col("size")).alias("n"))
 
 
 @query

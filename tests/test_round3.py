@@ -1,13 +1,15 @@
 """Queries on tables larger than the test tables."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tauflow.functions import wire
 from tauflow.operators import aoi, delta, experiments
 from tauflow.operators.trigger import Trigger
-from tauflow.plans import queries
+from tauflow.plans import oracle, queries
 from tauflow.plans.queries import QUERIES
 from tauflow.streaming import buckets
+from tests.check import differences
 
 
 def test_length_bytes_of_sizes_beyond_64_bits(spark, tmp_path):
@@ -18,6 +20,26 @@ def test_length_bytes_of_sizes_beyond_64_bits(spark, tmp_path):
     assert got[7] == (100**4, 4) and got[2] == (200_000**3, None) and got[11][1] is None and got[11][0] > 9 * 10**18
 
 
+def test_length_bytes_of_sizes_beyond_53_bits(spark, tmp_path):
+    """Powers that no double holds are rounded as the SQL rounds them, ties of both directions among them."""
+    n = F.col("id")
+    fourth = spark.range(9_700, 55_109).select((4 * n + 3).alias("doc_id"), n.alias("n_chars"))
+    third = spark.range(5_400, 55_109).select((4 * n + 2).alias("doc_id"), (38 * n + 1).alias("n_chars"))
+    odd = [(0, None), (None, 5), (None, 1), (-1, None), (-2, 2), (-4, 0), (1, 0), (3, -30_165), (5, 3_037_000_499), (6, 2_097_151)]
+    rows = fourth.union(third).union(spark.createDataFrame(odd, "doc_id long, n_chars long"))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert differences(QUERIES["remaining_length_bytes"](spark, str(tmp_path)), con, oracle.oracle_sql()["remaining_length_bytes"]) == []
+
+
+def test_length_bytes_of_sizes_without_a_number(spark, tmp_path):
+    """The SQL ends with an error at these: 2^63 is the least that does not fit, zero has no negative power."""
+    rows = spark.createDataFrame([(2, 2_097_152), (-2, 0)], "doc_id long, n_chars long")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r.size, r.n) for r in QUERIES["remaining_length_bytes"](spark, str(tmp_path)).collect()] == [(None, None)] * 2
+
+
 def test_start_states_cost_nothing_per_stream(spark):
     """Slices of many streams go through Python in batches, each pass once, streams of unknown devices among them."""
     rows = spark.range(3000).select(
